@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import mixing, substring_dedup, url_filter
+from fieldloom.llm import chat_template, minhash_dedup, mixing, substring_dedup, url_filter
 
 QUERIES = {
+    "op2_chat_format": chat_template.op2_chat_format,
+    "op3_minhash": minhash_dedup.op3_minhash,
     "op4_url_filter": url_filter.op4_url_filter,
     "op9_mix": mixing.op9_mix,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLES = {
+    "op2_chat_format": chat_template.OP2_SQL,
+    "op3_minhash": minhash_dedup.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op9_mix": mixing.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
