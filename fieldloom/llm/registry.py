@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import chat_template, minhash_dedup, mixing, substring_dedup, url_filter
+from fieldloom.llm import chat_template, embedding_dedup, minhash_dedup, mixing, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op2_chat_format": chat_template.op2_chat_format,
     "op3_minhash": minhash_dedup.op3_minhash,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
+    "op8_topk": topk_search.op8_topk,
     "op9_mix": mixing.op9_mix,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
@@ -16,6 +18,8 @@ ORACLES = {
     "op2_chat_format": chat_template.OP2_SQL,
     "op3_minhash": minhash_dedup.OP3_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
+    "op8_topk": topk_search.OP8_SQL,
     "op9_mix": mixing.OP9_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
 }
