@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import chat_template, embedding_dedup, minhash_dedup, mixing, sentencepiece_codec, substring_dedup, topk_search, url_filter
+from fieldloom.llm import chat_template, embedding_dedup, minhash_dedup, mixing, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_chat_format": chat_template.op2_chat_format,
     "op3_minhash": minhash_dedup.op3_minhash,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op8_topk": topk_search.op8_topk,
     "op9_mix": mixing.op9_mix,

@@ -66,11 +66,16 @@ def set_digest(hashes: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def minhash(hashes: np.ndarray, k: int) -> np.ndarray:
-    """``k`` minimum hashes cut to 16 bits each (a b-bit signature with b = 16)."""
+def minima(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The least value of each of ``k`` hash functions over a set, as signed integers."""
     seeds = _weights(3 * k)
     xor, mul = seeds[k : 2 * k], seeds[2 * k :]
     least = np.full(k, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 1024):
         np.minimum(least, ((hashes[i : i + 1024, None] ^ xor) * mul).min(axis=0), out=least)
-    return (mix64(least) & np.uint64(0xFFFF)).astype(np.uint16)
+    return least.astype(np.int64)
+
+
+def minhash(hashes: np.ndarray, k: int) -> np.ndarray:
+    """``k`` minimum hashes cut to 16 bits each (a b-bit signature with b = 16)."""
+    return (mix64(minima(hashes, k).astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
