@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import chat_template, embedding_dedup, minhash_dedup, mixing, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filter
+from fieldloom.llm import chat_template, embedding_dedup, minhash_dedup, mixing, pii, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
+    "op7_pii": pii.op7_pii,
     "op8_topk": topk_search.op8_topk,
     "op9_mix": mixing.op9_mix,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
