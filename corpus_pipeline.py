@@ -1,12 +1,58 @@
-"""The corpus pipeline: stages from raw documents to token ids."""
+"""The corpus pipeline: from raw documents to token ids, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+again as the next one's docs.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from fieldloom.llm import minhash_dedup, mixing, pii, sentencepiece_codec, toxicity
 from fieldloom.llm.common import materialize, table
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold."""
+    return toxicity.keep_clean(docs, toxicity.train(spark, docs, sf_dir))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one
+    with the smallest id. Of rows that share an id one stays; rows without an id all stay."""
+    kept = minhash_dedup.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    once = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    known = docs.join(kept, "doc_id", "left_semi").withColumn("_row", once).where("_row = 1").select(docs.columns)
+    return known.union(docs.where("doc_id is null"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms, and their lengths."""
+    out = pii.pseudonymise(docs, pii.DEMO_KEY).select(docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long"))).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by Poisson counts towards the sources' target shares, shuffled."""
+    return mixing.mix(docs).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their SentencePiece ids."""
+    coded = sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(spark))
+    return coded.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dedup", drop_near_copies),
+    ("pii", hide_personal_data),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+
+#: SQL can express neither the learned lexicon nor the tokenizer; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -185,6 +186,31 @@ class Matcher:
         return QUOTED if quoted or reported else 1.0
 
 
+class Scorer:
+    """Scores of texts: (score, number of kinds of hits) each. Texts are taken in portions of
+    about PORTION characters, so a batch of long texts needs little memory."""
+
+    PORTION = 2_000_000
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon, self.matcher = lexicon, Matcher(lexicon)
+
+    def scores(self, texts: list[str | None]) -> Iterator[tuple[float, int]]:
+        held, size = [], 0
+        for i, t in enumerate(texts):
+            held.append(_words(t))
+            size += len(t or "")
+            if size >= self.PORTION or i == len(texts) - 1:
+                self.matcher.learn(set().union(*(w for _, w in held)))
+                for lowered, words in held:
+                    hits = self.matcher.hits(lowered, words)
+                    clean = 1.0 - self.lexicon.base
+                    for kind, weight in sorted(hits.items()):
+                        clean *= 1.0 - min(0.995, self.lexicon.worth.get(kind, self.lexicon.default * self.lexicon.base)) * weight
+                    yield 1.0 - clean, len(hits)
+                held, size = [], 0
+
+
 def _words(text: str | None) -> tuple[str, list[str]]:
     lowered = (text or "").lower()
     return lowered, WORD.findall(lowered)
@@ -271,20 +297,9 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(lexicon)
+        scorer = Scorer(lexicon)
         for b in batches:
-            texts = [_words(t) for t in b["_text"]]
-            matcher.learn(set().union(*(w for _, w in texts)))
-            rows = []
-            for lowered, words in texts:
-                if not matcher.known.keys() >= set(words):
-                    matcher.learn(set(words))
-                hits = matcher.hits(lowered, words)
-                clean = 1.0 - lexicon.base
-                for kind, weight in sorted(hits.items()):
-                    clean *= 1.0 - min(0.995, lexicon.worth.get(kind, lexicon.default * lexicon.base)) * weight
-                s = 1.0 - clean
-                rows.append((s, int(s >= threshold), len(hits)))
+            rows = [(s, int(s >= threshold), n) for s, n in scorer.scores(b["_text"].tolist())]
             out = pd.DataFrame(rows, columns=["score", "predicted", "n_hits"])
             out.insert(0, "doc_id", b["_id"].to_numpy())
             yield out
@@ -293,6 +308,17 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
     return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, f"doc_id {kind}, score double, predicted int, n_hits int")
 
 
+def keep_clean(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(lexicon)
+        for b in batches:
+            yield b.filter(pa.array([s < threshold for s, _ in scorer.scores(b.column(text).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> "F.Column":
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
