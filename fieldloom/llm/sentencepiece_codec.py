@@ -18,6 +18,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm.common import table
 
@@ -235,8 +236,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.int32()))], [*part.schema.names, ids])
 
-    schema = docs.schema.add(ids, "array<int>")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded", threads: int = 2) -> DataFrame:
@@ -251,7 +251,7 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded
             out = [None if r is None else next(got) for r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
 
-    return docs.mapInArrow(run, docs.schema.add(text, "string"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def parity(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
