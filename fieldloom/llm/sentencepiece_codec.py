@@ -13,9 +13,12 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Texts are encoded in batches of about this many characters.
 BATCH_CHARS = 1_000_000
+#: Ids are decoded in batches of about this many.
+BATCH_IDS = 500_000
 
 
 @dataclass
@@ -105,7 +110,7 @@ def build(m: Model):
         for p in ranked:
             halves = [(p[:i], p[i:]) for i in range(1, len(p)) if p[:i] in real and p[i:] in real]
             merges += sorted(halves, key=lambda h: (ids[h[0]], ids[h[1]]))
-        tokenizer = Tokenizer(models.BPE(ids, merges, unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=200_000))
+        tokenizer = Tokenizer(models.BPE(ids, merges, unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback))
     else:
         raise ValueError("only unigram and BPE models are supported")
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
@@ -144,20 +149,27 @@ class Codec:
     lately go to the library. Otherwise whole texts go there.
     """
 
-    KNOWN = 300_000  # words kept; beyond, the memory starts anew
+    KNOWN = 200_000  # words kept; beyond, the memory starts anew
 
     def __init__(self, data: bytes) -> None:
-        m = parse_model(data)
-        self.whole = build(m)
+        m = self.model = parse_model(data)
         self.plain = not m.charsmap and not m.squeeze and m.dummy_prefix and m.escape
         pieces = [p for p, _, k in m.pieces if k in (NORMAL, USER_DEFINED)]
         self.splits = m.escape and not any(MARK in p.lstrip(MARK) for p in pieces) and not any(k == USER_DEFINED for _, _, k in m.pieces)
-        self.words = build(m)
-        self.words.normalizer = None
         self.ids: dict[str, list[int]] = {}
         self.strip = m.dummy_prefix
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
 
+    @cached_property
+    def whole(self):
+        return build(self.model)
+
+    @cached_property
+    def words(self):
+        tokenizer = build(self.model)
+        tokenizer.normalizer = None
+        return tokenizer
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         if not self.splits:
             return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -246,10 +258,14 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model, threads)
         for b in batches:
-            rows = b.column(ids).to_pylist()
-            got = iter(codec.decode([r for r in rows if r is not None]))
-            out = [None if r is None else next(got) for r in rows]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(ids)), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH_IDS)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                part = b.slice(i, j - i)
+                rows = part.column(ids).to_pylist()
+                got = iter(codec.decode([r for r in rows if r is not None]))
+                out = [None if r is None else next(got) for r in rows]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, text])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())]))
 
