@@ -14,7 +14,7 @@ def lines(df: DataFrame, key: str, text: str) -> DataFrame:
 def pipe_rows(by_line: DataFrame, key: str, least: int = 2) -> DataFrame:
     """``key, line_no, cells`` of Markdown table rows of at least ``least`` cells, without separators."""
     t = F.trim("line")
-    cells = F.transform(F.split(F.regexp_replace(t, r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(t, r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return by_line.where(t.startswith("|")).withColumn("cells", cells).where((F.size("cells") >= least) & ~F.forall("cells", lambda c: c.rlike("^:?-+:?$"))).select(
         key, "line_no", "cells")
 
