@@ -10,6 +10,7 @@ speech is worth less, direct address full.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +37,8 @@ EDITS = (5, 9)
 #: Words on either side of a hit that make its context, and what a quoted hit is worth.
 WINDOW, QUOTED = 6, 0.35
 THRESHOLD = 0.3
+#: Odds by which scores are scaled, so that even odds of being toxic give the threshold.
+EVEN = (1 - THRESHOLD) / THRESHOLD
 #: Words that report speech or talk about a word, in the corpus's languages.
 REPORTING = frozenset("said says say wrote writes called calls word term quote quoted quotes slur sagte sagt schrieb nannte wort begriff zitat "
                       "dit disait écrit appelé mot terme citation dijo dice escribió llamó palabra término cita".split())
@@ -115,9 +118,12 @@ def letters(words: list[str]) -> np.ndarray:
 
 
 class Matcher:
-    """Finds the kind of hit (``word:T``, ``near:T:E``, ``stem:T``) of every word, remembering."""
+    """Finds the kind of hit (``word:T``, ``near:T:E``, ``stem:T``) of every word, remembering.
 
-    KNOWN = 300_000
+    In a text, a stem's kind also says how many different words begin with it (up to MANY).
+    """
+
+    KNOWN, MANY = 300_000, 4
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon, self.exact = lexicon, set(lexicon.words)
@@ -164,6 +170,8 @@ class Matcher:
         """Kinds of hits in a text and how much their best context lets them count."""
         known = self.known
         found = {w: known[w] for w in set(words) if known.get(w)}
+        times = Counter(found.values())
+        found = {w: f"{k}:{min(times[k], self.MANY)}" if k.startswith("stem:") else k for w, k in found.items()}
         if not found or not context:
             return dict.fromkeys(found.values(), 1.0)
         out: dict[str, float] = {}
@@ -195,6 +203,17 @@ class Scorer:
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon, self.matcher = lexicon, Matcher(lexicon)
 
+    def _worth(self, kind: str) -> float:
+        """What was measured for the kind; for a stem met more often than in the sample, for fewer times."""
+        worth, head, times = self.lexicon.worth, kind, 0
+        if kind.startswith("stem:"):
+            head, _, n = kind.rpartition(":")
+            times = int(n)
+        while kind not in worth and times > 1:
+            times -= 1
+            kind = f"{head}:{times}"
+        return worth.get(kind, self.lexicon.default * self.lexicon.base)
+
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, int]]:
         held, size = [], 0
         for i, t in enumerate(texts):
@@ -206,8 +225,8 @@ class Scorer:
                     hits = self.matcher.hits(lowered, words)
                     clean = 1.0 - self.lexicon.base
                     for kind, weight in sorted(hits.items()):
-                        clean *= 1.0 - min(0.995, self.lexicon.worth.get(kind, self.lexicon.default * self.lexicon.base)) * weight
-                    yield 1.0 - clean, len(hits)
+                        clean *= 1.0 - min(0.995, self._worth(kind)) * weight
+                    yield (1.0 - clean) / (1.0 - clean + clean * EVEN), len(hits)
                 held, size = [], 0
 
 
@@ -261,11 +280,9 @@ def fit(sample: DataFrame) -> Lexicon:
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     ratio = k * F.log(k / (n * rate)) + F.when(n > k, (n - k) * F.log((n - k) / (n * max(1e-9, 1 - rate)))).otherwise(0.0)
     kept = counted.where((k >= RATE * n) & (k > 0) & (ratio >= EVIDENCE)).orderBy(F.desc("k"), "term").limit(TERMS).collect()
-    stems = sorted((r.term[:-1] for r in kept if r.term.endswith("*")), key=len)
-    least: list[str] = []
-    for s in stems:  # a stem within a stem adds nothing
-        if not any(s.startswith(t) for t in least):
-            least.append(s)
+    rates = {r.term[:-1]: r.k / r.n for r in kept if r.term.endswith("*")}
+    # A stem within a stem adds nothing unless it says clearly more.
+    least = [s for s in sorted(rates, key=len) if not any(s[:n] in rates and rates[s[:n]] >= rates[s] - 0.1 for n in range(1, len(s)))]
     lexicon = Lexicon([r.term for r in kept if not r.term.endswith("*")], least)
 
     def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
