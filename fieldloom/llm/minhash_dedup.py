@@ -2,19 +2,20 @@
 
 A document's signature is K = CHUNKS * CHUNK symbols of 16 bits (b-bit minwise hashing). The
 signature distance of two documents is the number of differing symbols. The signature is cut
-into CHUNKS chunks; when two signatures differ in at most THRESHOLD = 2 * (CHUNKS - 1) - 1
-symbols, by the pigeonhole principle at least two chunks differ in at most one symbol each.
-Every chunk is listed once per allowed error place, with that symbol left out, and equal keys
-meet: all pairs within the threshold are found. As two chunks agree, the pairs of a large bucket
-may be sought under a second chunk's keys without losing any. Pairs are then confirmed on the
-full shingle sets.
-
-At similarity 0.8 a symbol differs with probability 0.2, and a pair exceeds the threshold (25 of
-56 symbols) with probability of about 1e-5; at 0.85, 1e-7.
-
-Work stays linear in large groups: documents with equal sets are one node; in each bucket only
-(least, other) pairs are tried first; then only pairs of buckets whose ends are still in
-different components.
+into CHUNKS chunks; when two signatures differ in at most THRESHOLD = 2 * CHUNKS - 1 symbols, by
+the pigeonhole principle some chunk differs in at most one. Every chunk is listed once per
+allowed error place, with that symbol left out, and equal keys meet: all pairs within the
+threshold are found. Pairs are then confirmed on the full shingle sets.
+
+At similarity 0.8 a symbol differs with probability 0.2, and a pair exceeds the threshold (28 of
+56 symbols) with probability below 1e-6.
+
+Large groups of copies cost little more than their size: documents with equal sets are one
+node; of each list first only the pairs with its medoid and with the nearest signatures are
+confirmed; after that only pairs whose ends are still in different components. For that, lists
+that share nodes and are large are put together, so a group that fills many lists is worked on
+once, block against block, and its nodes get a signature of LONG symbols that leaves few pairs
+to confirm (at similarity 0.8, LONG_THRESHOLD is passed with a probability of about 1e-7).
 """
 
 from __future__ import annotations
@@ -23,18 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import materialize, table
 from fieldloom.llm.components import connected_components
 from fieldloom.llm.shingles import minhash, set_digest, shingle_set
+from fieldloom.llm.vectors import runs
 
 CHUNKS, CHUNK = 14, 4
 K = CHUNKS * CHUNK
-THRESHOLD = 2 * (CHUNKS - 1) - 1
-#: Buckets with more nodes than this are split by a second chunk's keys before pairs are made.
-LARGE = 128
+THRESHOLD = 2 * CHUNKS - 1
+#: Nodes of one list that are worked on together; larger lists are cut into blocks.
+BLOCK = 512
+#: Lists with more nodes are put together after the first pass.
+LARGE = 48
+#: Symbols (of 8 bits) of the long signature, and the most that may differ.
+LONG, LONG_THRESHOLD = 1024, 272
+#: Nearest signatures of each node that are tried first.
+NEAREST = 2
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
@@ -53,15 +62,100 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, d1 long, d2 long, sig binary")
 
 
-def bucket_keys(nodes: DataFrame) -> DataFrame:
-    """``key, chunk, node``: one key for every chunk and place of an allowed error."""
+def listed(nodes: DataFrame) -> DataFrame:
+    """``key, place, node``: one key for every chunk and place of an allowed error."""
     keys = []
     for c in range(CHUNKS):
         for gap in range(CHUNK):
             symbols = [F.expr(f"substring(sig, {2 * (c * CHUNK + i) + 1}, 2)") for i in range(CHUNK) if i != gap]
             keys.append(F.xxhash64(F.lit(c * CHUNK + gap), *symbols))
-    listed = nodes.select(F.posexplode(F.array(*keys)).alias("at", "key"), F.col("doc_id").alias("node"))
-    return listed.select("key", F.floor(F.col("at") / CHUNK).cast("int").alias("chunk"), "node")
+    return nodes.select(F.posexplode(F.array(*keys)).alias("place", "key"), F.col("doc_id").alias("node"))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Signature distances of all rows of ``a`` and ``b``."""
+    out = np.empty((len(a), len(b)), np.uint8)
+    step = max(1, 65536 // max(1, len(b)))
+    for i in range(0, len(a), step):
+        out[i : i + step] = (a[i : i + step, None, :] != b).sum(axis=2)
+    return out
+
+
+def own_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first place at which each row's pair of signatures has equal keys: where it counts."""
+    same = (a == b).reshape(-1, CHUNKS, CHUNK)
+    chunk = (same.sum(axis=2) >= CHUNK - 1).argmax(axis=1)
+    at = same[np.arange(len(a)), chunk]
+    return chunk * CHUNK + np.where(at.all(axis=1), 0, at.argmin(axis=1))
+
+
+def block_pairs(work: DataFrame, first: bool) -> DataFrame:
+    """Pairs (a, b) within the threshold, from block against block of a list or group.
+
+    ``work`` has ``key, place, node, bi, bj, own, part, sig`` and perhaps ``long``. A pair is given from its
+    own place only (groups have place -1 and give all of theirs). ``first``: pairs with the
+    block's medoid and of nearest signatures; else all pairs whose parts differ and whose long
+    signatures, if there are any, are near.
+    """
+    work = work.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "own", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["key", "bi", "bj"]):
+            ids, place, bi, bj = t["node"].to_numpy(), t["place"][0].as_py(), t["bi"][0].as_py(), t["bj"][0].as_py()
+            s = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, K)
+            long = np.frombuffer(b"".join(t["long"].to_pylist()), np.uint8).reshape(-1, LONG) if "long" in t.column_names else None
+            cut = int((t["own"].to_numpy() == bi).sum()) if bi != bj else 0
+            if bi != bj and cut in (0, len(ids)):
+                continue  # the other block is empty
+            d = distances(s[:cut], s[cut:]) if cut else distances(s, s)
+            if first:
+                medoid = int(d.sum(axis=1, dtype=np.int64).argmin())
+                np.fill_diagonal(d, 255)
+                near = np.argpartition(d, NEAREST - 1, axis=1)[:, :NEAREST] if len(ids) > NEAREST else d.argmin(axis=1)[:, None]
+                i = np.concatenate([np.full(len(ids), medoid), np.repeat(np.arange(len(ids)), near.shape[1])])
+                j = np.concatenate([np.arange(len(ids)), near.ravel()])
+                ok = d[i, j] <= THRESHOLD
+                i, j = i[ok], j[ok]
+            else:
+                part = t["part"].to_numpy()
+                other = part[:cut, None] != part[cut:] if cut else np.triu(part[:, None] != part, 1)
+                i, j = np.nonzero(other & (d <= THRESHOLD))
+                j = j + cut
+            for x in range(0, len(i), 8192):
+                u, v = i[x : x + 8192], j[x : x + 8192]
+                if place >= 0:
+                    mine = own_place(s[u], s[v]) == place
+                    u, v = u[mine], v[mine]
+                if long is not None:
+                    near_enough = (long[u] != long[v]).sum(axis=1) <= LONG_THRESHOLD
+                    u, v = u[near_enough], v[near_enough]
+                u, v = ids[u], ids[v]
+                if len(u):
+                    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return work.mapInArrow(run, "a long, b long")
+
+
+def in_blocks(members: DataFrame, grid: bool) -> DataFrame:
+    """Adds ``own, bi, bj`` for ``nb`` blocks: each block by itself, or (``grid``) with every other too."""
+    own = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    if not grid:
+        return own.withColumn("bi", F.col("own")).withColumn("bj", F.col("own"))
+    at = own.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return at.withColumn("bi", F.least("own", "_at")).withColumn("bj", F.greatest("own", "_at")).drop("_at")
+
+
+def long_sketch(docs: DataFrame, width: int) -> DataFrame:
+    """``node, long``: the long signature of every document."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 512):
+                part = b.iloc[i : i + 512]
+                long = [minhash(shingle_set(t, width), LONG).astype(np.uint8).tobytes() for t in part["text"]]
+                yield pd.DataFrame({"node": part["doc_id"].to_numpy(), "long": long})
+
+    return docs.mapInPandas(run, "node long, long binary")
 
 
 def within_threshold(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -128,29 +222,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     nodes = materialize(alive.join(classes.select(*same, F.col("rep").alias("doc_id")), ["doc_id", *same], "left_semi")
                         .select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]))
     texts = docs.where("doc_id is not null")
-    keys = bucket_keys(nodes)
-    full = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
-    members = materialize(keys.join(full, "key").select("key", "chunk", "node", "first"))
-    stars = materialize(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = materialize(confirm(within_threshold(stars, nodes), texts, width, percent))
+    keys = listed(nodes)
+    sizes = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
+    sizes = materialize(sizes)
+    more = sizes.where("size > 2").select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
+    members = materialize(keys.join(more, "key"))
+    sig = nodes.select(F.col("doc_id").alias("node"), "sig")
+    start = block_pairs(in_blocks(members, False).join(sig, "node"), True)
+    twos = within_threshold(sizes.where("size = 2").select("a", "b").distinct(), nodes)
+    tried = materialize(start.union(twos).distinct())
+    links = materialize(confirm(tried, texts, width, percent))
     parts = materialize(connected_components(links.union(copies)))
 
-    # Pairs of a bucket that the stars left in different components.
-    own = materialize(members.join(parts, "node", "left").select("key", "chunk", "node", F.coalesce("component", "node").alias("part")))
-    split = (own.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"), F.count(F.lit(1)).alias("size"))
-             .where("_lo <> _hi").select("key", "size"))
-    rest = own.join(split, "key")
-    small = rest.where(F.col("size") <= LARGE).select("key", F.lit(0).cast("long").alias("key2"), "node", "part")
-    second = keys.select(F.col("key").alias("key2"), F.col("chunk").alias("chunk2"), "node")
-    large = rest.where(F.col("size") > LARGE).join(second, "node").where("chunk <> chunk2").select("key", "key2", "node", "part")
-    left = small.union(large)
-    right = left.select("key", "key2", F.col("node").alias("b"), F.col("part").alias("_pb"))
-    cross = (left.select("key", "key2", F.col("node").alias("a"), F.col("part").alias("_pa")).join(right, ["key", "key2"])
-             .where("a < b and _pa <> _pb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    cross = materialize(within_threshold(cross, nodes))
+    # Pairs whose ends are still in different components.
+    own = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    split = own.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"), F.min("node").alias("_first")).where("_lo <> _hi").select("key", "_first")
+    rest = materialize(own.join(split, "key"))
+    few = block_pairs(in_blocks(rest.where(F.col("size") <= LARGE), True).join(sig, "node"), False)
+    hubs = rest.where(F.col("size") > LARGE).select(F.col("_first").alias("a"), F.col("node").alias("b"))
+    groups = materialize(connected_components(hubs))
+    grouped = rest.where(F.col("size") > LARGE).select("node", "part").distinct().join(groups, "node").withColumnRenamed("component", "key")
+    nb = grouped.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    long = materialize(long_sketch(texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width))
+    many = block_pairs(in_blocks(grouped.join(nb, "key").withColumn("place", F.lit(-1)), True).join(sig, "node").join(long, "node"), False)
+    cross = materialize(few.union(many).distinct().join(tried, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
-        more = materialize(confirm(cross, texts, width, percent))
-        parts = connected_components(links.union(copies).union(more))
+        found = materialize(confirm(cross, texts, width, percent))
+        parts = connected_components(links.union(copies).union(found))
 
     of = parts.select(F.col("node").alias("doc_id"), "component")
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
