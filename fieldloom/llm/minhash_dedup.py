@@ -41,7 +41,7 @@ BLOCK = 512
 #: Lists with more nodes are put together after the first pass.
 LARGE = 48
 #: Symbols (of 8 bits) of the long signature, and the most that may differ.
-LONG, LONG_THRESHOLD = 1024, 272
+LONG, LONG_THRESHOLD = 2048, 504
 #: Nearest signatures of each node that are tried first.
 NEAREST = 2
 
@@ -89,13 +89,13 @@ def own_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chunk * CHUNK + np.where(at.all(axis=1), 0, at.argmin(axis=1))
 
 
-def block_pairs(work: DataFrame, first: bool) -> DataFrame:
+def block_pairs(work: DataFrame, first: bool, percent: int = 0) -> DataFrame:
     """Pairs (a, b) within the threshold, from block against block of a list or group.
 
-    ``work`` has ``key, place, node, bi, bj, own, part, sig`` and perhaps ``long``. A pair is given from its
+    ``work`` has ``key, place, node, bi, bj, own, part, sig`` and perhaps ``n, long``. A pair is given from its
     own place only (groups have place -1 and give all of theirs). ``first``: pairs with the
-    block's medoid and of nearest signatures; else all pairs whose parts differ and whose long
-    signatures, if there are any, are near.
+    block's medoid and of nearest signatures; else all pairs whose parts differ and, where there
+    are long signatures, that are near by those and whose set sizes allow ``percent`` similarity.
     """
     work = work.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "own", "node")
 
@@ -104,6 +104,7 @@ def block_pairs(work: DataFrame, first: bool) -> DataFrame:
             ids, place, bi, bj = t["node"].to_numpy(), t["place"][0].as_py(), t["bi"][0].as_py(), t["bj"][0].as_py()
             s = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, K)
             long = np.frombuffer(b"".join(t["long"].to_pylist()), np.uint8).reshape(-1, LONG) if "long" in t.column_names else None
+            n = t["n"].to_numpy() if long is not None else None
             cut = int((t["own"].to_numpy() == bi).sum()) if bi != bj else 0
             if bi != bj and cut in (0, len(ids)):
                 continue  # the other block is empty
@@ -127,8 +128,10 @@ def block_pairs(work: DataFrame, first: bool) -> DataFrame:
                     mine = own_place(s[u], s[v]) == place
                     u, v = u[mine], v[mine]
                 if long is not None:
-                    near_enough = (long[u] != long[v]).sum(axis=1) <= LONG_THRESHOLD
-                    u, v = u[near_enough], v[near_enough]
+                    like = np.minimum(n[u], n[v]) * 100 >= percent * np.maximum(n[u], n[v])
+                    u, v = u[like], v[like]
+                    like = (long[u] != long[v]).sum(axis=1) <= LONG_THRESHOLD
+                    u, v = u[like], v[like]
                 u, v = ids[u], ids[v]
                 if len(u):
                     both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
@@ -147,15 +150,16 @@ def in_blocks(members: DataFrame, grid: bool) -> DataFrame:
 
 
 def long_sketch(docs: DataFrame, width: int) -> DataFrame:
-    """``node, long``: the long signature of every document."""
+    """``node, n, long``: set size and long signature of every document."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 512):
                 part = b.iloc[i : i + 512]
-                long = [minhash(shingle_set(t, width), LONG).astype(np.uint8).tobytes() for t in part["text"]]
-                yield pd.DataFrame({"node": part["doc_id"].to_numpy(), "long": long})
+                sets = [shingle_set(t, width) for t in part["text"]]
+                long = [minhash(s, LONG).astype(np.uint8).tobytes() for s in sets]
+                yield pd.DataFrame({"node": part["doc_id"].to_numpy(), "n": [len(s) for s in sets], "long": long})
 
-    return docs.mapInPandas(run, "node long, long binary")
+    return docs.mapInPandas(run, "node long, n long, long binary")
 
 
 def within_threshold(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -244,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     grouped = rest.where(F.col("size") > LARGE).select("node", "part").distinct().join(groups, "node").withColumnRenamed("component", "key")
     nb = grouped.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
     long = materialize(long_sketch(texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width))
-    many = block_pairs(in_blocks(grouped.join(nb, "key").withColumn("place", F.lit(-1)), True).join(sig, "node").join(long, "node"), False)
+    many = block_pairs(in_blocks(grouped.join(nb, "key").withColumn("place", F.lit(-1)), True).join(sig, "node").join(long, "node"), False, percent)
     cross = materialize(few.union(many).distinct().join(tried, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
         found = materialize(confirm(cross, texts, width, percent))
