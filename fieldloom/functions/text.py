@@ -111,8 +111,18 @@ def severity(ms: Column) -> Column:
 
 
 def seconds(ms: Column) -> Column:
-    """Seconds with one decimal, as text."""
-    return F.format_string("%.1f", ms / F.lit(1000.0))
+    """Seconds with one decimal, as text, of whole milliseconds from 0 on.
+
+    The double is rounded by its exact value, an exact half to the even digit, as C and Python
+    do; ``format_string`` would round the half of the shortest decimal up.
+    """
+    q = ms / F.lit(1000.0)
+    high = F.floor(q * 2**20) / F.lit(2.0**20)
+    over = (high * 1000 - ms) + (q - high) * 1000  # what the double exceeds the fraction by, exactly
+    low, half = F.floor(ms / 100), F.pmod(ms, F.lit(100)) - 50
+    up = (half > 0) | ((half == 0) & ((over > 0) | ((over == 0) & (F.pmod(low, F.lit(2)) == 1))))
+    tenths = low + up.cast("long")
+    return F.format_string("%d.%d", F.floor(tenths / 10), F.pmod(tenths, F.lit(10)))
 
 
 def escape_cell(c: Column) -> Column:
