@@ -9,6 +9,8 @@ whatever separators they are written with; different values of a kind stay diffe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +39,18 @@ HINT = r"[0-9@]|AKIA|(?:password|passwd|token|secret|api_key|apikey) ?[=:]"
 FIRST_DAY, SIDE = "1900-01-01", 270
 
 
-def _noise(key: str, kind: str, round_: Column, other: Column, at: Column) -> Column:
-    """A keyed pseudo-random number for position ``at`` from the other half."""
-    digest = F.sha2(F.concat(F.lit(f"{key}|{kind}|"), round_.cast("string"), F.lit("|"), other), 256)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often and in whatever lambda it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _digest(key: str, kind: str, round_: Column, other: Column) -> Column:
+    """A round's keyed digest of the other half."""
+    return F.sha2(F.concat(F.lit(f"{key}|{kind}|"), round_.cast("string"), F.lit("|"), other), 256)
+
+
+def _noise(digest: Column, at: Column) -> Column:
+    """A pseudo-random number for position ``at``."""
     return F.conv(F.substr(digest, F.pmod(at * 5, F.lit(58)) + 1, F.lit(6)), 16, 10).cast("int")
 
 
@@ -62,7 +73,8 @@ def feistel(value: Column, key: str, kind: str, alphabet: str | None = None) ->
         half = F.floor(F.size(chars) / 2).cast("int")
         left = r % 2 == 0  # the half that is shifted in this round
         other = F.array_join(F.when(left, F.slice(chars, half + 1, F.size(chars) - half)).otherwise(F.slice(chars, F.lit(1), half)), "")
-        return F.transform(chars, lambda c, i: F.when((i < half) == left, _shift(c, _noise(key, kind, r, other, i), alphabet)).otherwise(c))
+        return _let(_digest(key, kind, r, other), lambda d: F.transform(
+            chars, lambda c, i: F.when((i < half) == left, _shift(c, _noise(d, i), alphabet)).otherwise(c)))
 
     rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(rounds, F.split(value, ""), one_round, lambda chars: F.array_join(chars, ""))
@@ -74,8 +86,8 @@ def _bare(value: Column) -> Column:
 
 def _refill(shape: Column, bare: Column) -> Column:
     """``shape`` with its letters and digits replaced, in order, by those of ``bare``."""
-    return F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(
-        c.rlike("[0-9A-Za-z]"), F.substr(bare, F.length(_bare(F.substr(shape, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+    return _let(bare, lambda b: F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(
+        c.rlike("[0-9A-Za-z]"), F.substr(b, F.length(_bare(F.substr(shape, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), ""))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -108,8 +120,8 @@ def _iban_check(country: Column, account: Column) -> Column:
 def _pair(key: str, kind: str, high: Column, low: Column, side: int) -> Column:
     """A keyed permutation of the pairs of numbers below ``side``."""
     def one_round(acc: Column, r: Column) -> Column:
-        high_next = F.pmod(acc["high"] + _noise(key, kind, r, acc["low"].cast("string"), F.lit(0)), F.lit(side))
-        low_next = F.pmod(acc["low"] + _noise(key, kind, r, acc["high"].cast("string"), F.lit(0)), F.lit(side))
+        high_next = F.pmod(acc["high"] + _noise(_digest(key, kind, r, acc["low"].cast("string")), F.lit(0)), F.lit(side))
+        low_next = F.pmod(acc["low"] + _noise(_digest(key, kind, r, acc["high"].cast("string")), F.lit(0)), F.lit(side))
         even = r % 2 == 0
         return F.struct(F.when(even, high_next).otherwise(acc["high"]).alias("high"), F.when(even, acc["low"]).otherwise(low_next).alias("low"))
 
@@ -127,18 +139,21 @@ def _date(value: Column, key: str) -> Column:
     day = F.when(iso, year_first).otherwise(F.coalesce(day_first, month_first))
     number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     moved = _pair(key, "date", F.floor(number / SIDE), F.pmod(number, F.lit(SIDE)), SIDE)
-    to = F.date_add(F.lit(FIRST_DAY).cast("date"), moved["high"] * SIDE + moved["low"])
-    out = F.when(iso, F.date_format(to, "yyyy-MM-dd")).when(
-        day_first.isNotNull(), F.concat(F.date_format(to, "dd"), sep, F.date_format(to, "MM"), sep, F.date_format(to, "yyyy"))).otherwise(
-        F.concat(F.date_format(to, "MM"), sep, F.date_format(to, "dd"), sep, F.date_format(to, "yyyy")))
-    return F.when(number.between(0, SIDE * SIDE - 1), out).otherwise(value)
+    to = _let(moved, lambda m: F.date_add(F.lit(FIRST_DAY).cast("date"), m["high"] * SIDE + m["low"]))
+
+    def out(to: Column) -> Column:
+        return F.when(iso, F.date_format(to, "yyyy-MM-dd")).when(
+            day_first.isNotNull(), F.concat(F.date_format(to, "dd"), sep, F.date_format(to, "MM"), sep, F.date_format(to, "yyyy"))).otherwise(
+            F.concat(F.date_format(to, "MM"), sep, F.date_format(to, "dd"), sep, F.date_format(to, "yyyy")))
+
+    return F.when(number.between(0, SIDE * SIDE - 1), _let(to, out)).otherwise(value)
 
 
 def _ip(value: Column, key: str) -> Column:
     o = [F.substring_index(F.substring_index(value, ".", n), ".", -1).cast("int") for n in (1, 2, 3, 4)]
     moved = _pair(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536)
-    return F.concat_ws(".", *[x.cast("string") for half in ("high", "low") for x in (
-        F.floor(moved[half] / 256).cast("int"), F.pmod(moved[half], F.lit(256)))])
+    return _let(moved, lambda m: F.concat_ws(".", *[x.cast("string") for half in ("high", "low") for x in (
+        F.floor(m[half] / 256).cast("int"), F.pmod(m[half], F.lit(256)))]))
 
 
 def _whole(kind: str) -> str:
@@ -155,9 +170,7 @@ def pseudonym(value: Column, key: str) -> Column:
     at = F.instr(value, "@")
     local = F.substring_index(value, "@", 1)
     body = F.substr(bare, F.lit(1), F.length(bare) - 1)
-    new_body = feistel(body, key, "card")
     country, account = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5))
-    new_account = feistel(account, key, "iban")
     code = F.when(value.startswith("+"), F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[^0-9])", 0)).otherwise("")
     number = F.substr(value, F.length(code) + 1)
     return (F.when(at > 0, F.concat(_refill(local, feistel(_bare(local), key, "email")), F.substr(value, at)))
@@ -167,10 +180,10 @@ def pseudonym(value: Column, key: str) -> Column:
             .when(value.rlike(_whole("date")), _date(value, key))
             .when(value.rlike(_whole("ssn")), _refill(value, feistel(bare, key, "ssn")))
             .when(value.rlike(_whole("iban")) & (_mod97(F.concat(account, F.substr(bare, F.lit(1), F.lit(4)))) == 1),
-                  _refill(value, F.concat(country, _iban_check(country, new_account), new_account)))
+                  _refill(value, _let(feistel(account, key, "iban"), lambda x: F.concat(country, _iban_check(country, x), x))))
             .when(value.rlike(_whole("phone")), F.concat(code, _refill(number, feistel(_bare(number), key, "phone"))))
             .when(value.rlike(_whole("card")), F.when(_luhn(body) == F.substr(bare, F.length(bare), F.lit(1)),
-                                                      _refill(value, F.concat(new_body, _luhn(new_body)))).otherwise(value))
+                                                      _refill(value, _let(feistel(body, key, "card"), lambda x: F.concat(x, _luhn(x))))).otherwise(value))
             .when(value.rlike(r"^[A-Za-z0-9_/+-]{8,128}$"), _refill(value, feistel(bare, key, "secret")))
             .otherwise(value))
 
