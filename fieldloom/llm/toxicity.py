@@ -10,6 +10,7 @@ speech is worth less, direct address full.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +35,11 @@ RATE, EVIDENCE = 0.5, 14.0
 STEMS = (4, 5, 6, 7)
 #: Allowed edits by length of the word: none below the first, one below the second, else two.
 EDITS = (5, 9)
+#: What a word or beginning that training has not met is worth beside its term, for each edit (a
+#: choice, not fitted: training may hold no misspelled term). The words that training has met near a
+#: term lower this for the term's other neighbours, as if PEERS more words had been worth it in full.
+#: A word met there moves from this to its own measure, with the weight of PRIOR documents.
+PER_EDIT, PEERS, PRIOR = 0.8, 3, 0.5
 #: Words on either side of a hit that make its context, and what a quoted hit is worth.
 WINDOW, QUOTED = 6, 0.35
 THRESHOLD = 0.3
@@ -44,6 +50,8 @@ REPORTING = frozenset("said says say wrote writes called calls word term quote q
                       "dit disait écrit appelé mot terme citation dijo dice escribió llamó palabra término cita".split())
 QUOTES = "\"'“”„«»‘’"
 WORD = re.compile(r"[^\W\d_]+")
+#: Words with the digits and symbols inside them, as in id1ot or i*iot.
+MIXED = re.compile(r"[^\W_]+(?:[-*@$!#+.|_'’]{1,3}[^\W_]+)*")
 
 
 @dataclass
@@ -53,8 +61,18 @@ class Lexicon:
     words: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
     worth: dict[str, float] = field(default_factory=dict)
+    rates: dict[str, float] = field(default_factory=dict)
+    peers: dict[str, float] = field(default_factory=dict)
     base: float = 0.01
-    default: float = 0.5
+
+    def inherited(self, kind: str) -> float:
+        """What a kind is worth by its term or stem: PER_EDIT for each edit (one for a stem), less by
+        what the term's other neighbours are worth."""
+        sort, term, *rest = kind.split(":")
+        if sort == "stem":
+            return self.rates.get(term, 0.0) * PER_EDIT
+        edits = int(rest[0]) if sort == "near" else 0
+        return self.worth.get(f"word:{term}", 0.0) * PER_EDIT**edits * (self.peers.get(term, 1.0) if edits else 1.0)
 
 
 class Automaton:
@@ -118,9 +136,9 @@ def letters(words: list[str]) -> np.ndarray:
 
 
 class Matcher:
-    """Finds the kind of hit (``word:T``, ``near:T:E``, ``stem:T``) of every word, remembering.
+    """Finds the kind of hit (``word:T``, ``near:T:E:WORD``, ``stem:T``) of every word, remembering.
 
-    In a text, a stem's kind also says how many different words begin with it (up to MANY).
+    A word near a term counts as such before it counts for a stem. In a text, a stem's kind also says how many different words begin with it (up to MANY).
     """
 
     KNOWN, MANY = 300_000, 4
@@ -157,19 +175,23 @@ class Matcher:
             hit = None
             if w in self.exact:
                 hit = f"word:{w}"
-            else:
+            elif c and (m := self.automaton.match(w, 1 if len(w) < EDITS[1] else 2)):
+                hit = f"near:{m[0]}:{m[1]}:{w}"
+            elif w.isalpha():
                 for n in self.lengths:
                     if w[:n] in self.stems and len(w) >= n:
                         hit = f"stem:{w[:n]}"
                         break
-                if hit is None and c and (m := self.automaton.match(w, 1 if len(w) < EDITS[1] else 2)):
-                    hit = f"near:{m[0]}:{m[1]}"
             self.known[w] = hit
 
     def hits(self, lowered: str, words: list[str], context: bool = True) -> dict[str, float]:
         """Kinds of hits in a text and how much their best context lets them count."""
         known = self.known
         found = {w: known[w] for w in set(words) if known.get(w)}
+        # A mixed word adds nothing to a part of it that is a hit.
+        for w in [w for w in found if not w.isalpha()]:
+            if any(part in found for part in WORD.findall(w)):
+                del found[w]
         times = Counter(found.values())
         found = {w: f"{k}:{min(times[k], self.MANY)}" if k.startswith("stem:") else k for w, k in found.items()}
         if not found or not context:
@@ -178,13 +200,17 @@ class Matcher:
         spans = list(WORD.finditer(lowered))
         for i, m in enumerate(spans):
             if kind := found.get(m[0]):
-                out[kind] = max(out.get(kind, 0.0), self._context(lowered, spans, i))
+                out[kind] = max(out.get(kind, 0.0), self._context(lowered, spans, i, m))
+        if any(not w.isalpha() for w in found):
+            starts = [m.start() for m in spans]
+            for m in MIXED.finditer(lowered):
+                if not m[0].isalpha() and (kind := found.get(m[0])):
+                    out[kind] = max(out.get(kind, 0.0), self._context(lowered, spans, bisect_left(starts, m.start()), m))
         return out
 
     @staticmethod
-    def _context(text: str, spans: list[re.Match], i: int) -> float:
-        """QUOTED for a hit in quotation marks or after a reporting word, else 1."""
-        m = spans[i]
+    def _context(text: str, spans: list[re.Match], i: int, m: re.Match) -> float:
+        """QUOTED for a hit ``m`` (the words before it end at ``i``) in quotation marks or after a reporting word, else 1."""
         before, after = text[max(0, m.start() - 80) : m.start()], text[m.end() : m.end() + 80]
         reported = any(s[0] in REPORTING for s in spans[max(0, i - WINDOW) : i])
         quoted = before[-1:] != "" and before[-1:] in QUOTES and after[:1] != "" and after[:1] in QUOTES
@@ -204,7 +230,8 @@ class Scorer:
         self.lexicon, self.matcher = lexicon, Matcher(lexicon)
 
     def _worth(self, kind: str) -> float:
-        """What was measured for the kind; for a stem met more often than in the sample, for fewer times."""
+        """What was measured for the kind; for a stem met more often than in the sample, for fewer
+        times; else what it inherits."""
         worth, head, times = self.lexicon.worth, kind, 0
         if kind.startswith("stem:"):
             head, _, n = kind.rpartition(":")
@@ -212,7 +239,7 @@ class Scorer:
         while kind not in worth and times > 1:
             times -= 1
             kind = f"{head}:{times}"
-        return worth.get(kind, self.lexicon.default * self.lexicon.base)
+        return worth[kind] if kind in worth else self.lexicon.inherited(kind)
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, int]]:
         held, size = [], 0
@@ -231,8 +258,9 @@ class Scorer:
 
 
 def _words(text: str | None) -> tuple[str, list[str]]:
+    """The text in lower case, its words, and beside them those with digits or symbols inside."""
     lowered = (text or "").lower()
-    return lowered, WORD.findall(lowered)
+    return lowered, WORD.findall(lowered) + [w for w in MIXED.findall(lowered) if not w.isalpha() and not w.isdigit()]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, use, limit: int = SAMPLE) -> DataFrame:
@@ -261,13 +289,14 @@ def unlike(sample: DataFrame) -> DataFrame:
 
 
 def fit(sample: DataFrame) -> Lexicon:
-    """A lexicon from ``text, toxic`` rows. At most 2 * TERMS terms and their counts reach the driver."""
+    """A lexicon from ``text, toxic`` rows. At most TERMS terms, and the counts of them and of the
+    sample's words near them, reach the driver."""
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                words = set(_words(text)[1])
+                words = set(filter(str.isalpha, _words(text)[1]))
                 stems = {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
                 rows += [(t, toxic) for t in words | stems]
             yield pd.DataFrame(rows, columns=["term", "toxic"])
@@ -283,7 +312,7 @@ def fit(sample: DataFrame) -> Lexicon:
     rates = {r.term[:-1]: r.k / r.n for r in kept if r.term.endswith("*")}
     # A stem within a stem adds nothing unless it says clearly more.
     least = [s for s in sorted(rates, key=len) if not any(s[:n] in rates and rates[s[:n]] >= rates[s] - 0.1 for n in range(1, len(s)))]
-    lexicon = Lexicon([r.term for r in kept if not r.term.endswith("*")], least)
+    lexicon = Lexicon([r.term for r in kept if not r.term.endswith("*")], least, rates={s: rates[s] for s in least})
 
     def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(lexicon)
@@ -297,11 +326,19 @@ def fit(sample: DataFrame) -> Lexicon:
             yield pd.DataFrame(rows, columns=["kind", "toxic"])
 
     found = sample.mapInPandas(kinds, "kind string, toxic int").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
-    for r in found.orderBy(F.desc("n"), "kind").limit(3 * TERMS).collect():
+    met = found.orderBy("kind").collect()
+    near = [r for r in met if r.kind.startswith("near:")]
+    for r in met:
         if r.kind == "none":
             lexicon.base = min(0.25, (r.k + rate) / (r.n + 1))
-        else:
-            lexicon.worth[r.kind] = (r.k + 0.5 * rate) / (r.n + 0.5)
+        elif not r.kind.startswith("near:"):
+            lexicon.worth[r.kind] = (r.k + PRIOR * rate) / (r.n + PRIOR)
+    shares: dict[str, list[float]] = {}
+    for r in near:
+        shares.setdefault(r.kind.split(":")[1], []).append(min(1.0, r.k / r.n / max(1e-9, lexicon.inherited(r.kind))))
+    lexicon.peers = {t: (sum(x) + PEERS) / (len(x) + PEERS) for t, x in shares.items()}
+    for r in near:
+        lexicon.worth[r.kind] = (r.k + PRIOR * lexicon.inherited(r.kind)) / (r.n + PRIOR)
     return lexicon
 
 
