@@ -15,7 +15,8 @@ from fieldloom.llm.common import salted_join, table, unit_hash
 
 #: Rates of at most so many sources are sent to every task; more are joined with salted keys.
 BROADCAST_SOURCES = 10_000
-#: The largest mean repetition rate; its distribution ends well inside MAX_COPIES terms.
+#: The largest rate drawn at once; its distribution ends well inside MAX_COPIES terms. A larger
+#: rate is split into equal parts, each with a draw of its own, that add up.
 MAX_RATE = 32.0
 MAX_COPIES = 128
 
@@ -26,7 +27,7 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
 
     ``weights`` are target shares (any scale; sources not named get 0). Without them the target
     share is ``n_docs ** temperature``. ``total`` is the wanted number of rows (default: as many
-    as there are). A rate above ``MAX_RATE`` is held there. A null source is a source of its own,
+    as there are). A null source is a source of its own,
     named ''. Counts cover all documents; partial sums make a hot source cheap.
     """
     sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("_source")).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -41,7 +42,7 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
     want = F.lit(total).cast("double") if total is not None else F.col("_sn").cast("double")
     rate = want * F.col("_w").cast("double") / F.greatest(F.col("_sw"), F.lit(1)).cast("double") / F.col("n_docs").cast("double")
     # One row of sums: a broadcast of fixed size.
-    return sizes.join(F.broadcast(sums)).select("_source", "n_docs", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
+    return sizes.join(F.broadcast(sums)).select("_source", "n_docs", rate.alias("rate"))
 
 
 def _cdf(rate) -> "F.Column":
@@ -66,8 +67,9 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     (they are replaced).
     """
     docs = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_order")
+    parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     r = rates(docs, source, weights, temperature, total).select(
-        "_source", F.col("rate").alias("mix_rate"), _cdf(F.col("rate")).alias("_cdf"))
+        "_source", F.col("rate").alias("mix_rate"), parts.alias("_parts"), _cdf(F.col("rate") / parts).alias("_cdf"))
     few = r.limit(BROADCAST_SOURCES + 1).collect()
     keyed = docs.withColumn("_source", F.coalesce(F.col(source), F.lit("")))
     if len(few) <= BROADCAST_SOURCES:
@@ -77,7 +79,11 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: d
     ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     u = unit_hash(F.lit(str(seed)), ident)
     copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    out = (joined.withColumn("_u", u).withColumn("mix_copies", copies).drop("_source", "_cdf", "_u")
+    # A sum of Poisson draws is a Poisson draw at the sum of the rates. The first part draws as an undivided rate does.
+    draws = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda part: unit_hash(F.lit(str(seed)), ident, part.cast("string")))
+    more = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c <= u)))
+    copies = F.when(F.col("_parts") > 1, copies + more).otherwise(copies)
+    out = (joined.withColumn("_u", u).withColumn("mix_copies", copies).drop("_source", "_cdf", "_parts", "_u")
            .where("mix_copies > 0")
            .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
            .withColumn("mix_order", F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), ident, F.col("mix_copy").cast("string")))))

@@ -301,6 +301,16 @@ def test_mixing(spark):
         mixing.BROADCAST_SOURCES = old
 
 
+def test_mixing_rates_above_one_draw(spark):
+    df = spark.range(0, 20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 100, "small").otherwise("big").alias("source"))
+    out = mixing.mix(df, weights={"big": 1.0, "small": 1.0})
+    n = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(n["small"] - 10_000) < 500 and abs(n["big"] - 10_000) < 500
+    counts = [r.n for r in out.where("source = 'small'").groupBy("doc_id").agg(F.max("mix_copies").alias("n")).collect()]
+    mean = sum(counts) / len(counts)
+    assert len(counts) == 100 and 0.5 < sum((c - mean) ** 2 for c in counts) / len(counts) / mean < 1.6
+
+
 # --- 10: substring dedup --------------------------------------------------------------------
 
 def brute_lines(rows, least=5):
