@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a Python worker turns into objects at once.
+PORTION = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +43,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def portions(batches: Iterator[pa.RecordBatch], text: str, size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts hold about ``size`` bytes (one longer text is a slice of
+    its own), so that a worker's memory depends neither on Arrow's batch size nor on long rows."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
 def unit_hash(*cols) -> "F.Column":
     """A uniform double in [0, 1): the first 52 bits of an MD5, equal in any engine."""
     digest = F.substring(F.md5(F.concat_ws("|", *cols)), 1, 13)

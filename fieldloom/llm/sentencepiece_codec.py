@@ -8,7 +8,6 @@ scores for BPE models. ``parity`` compares the result with the sentencepiece lib
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import table
+from fieldloom.llm.common import portions, table
 
 MODEL_DIR = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
@@ -33,10 +32,10 @@ UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Values fixed by the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Texts are encoded in batches of about this many characters.
-BATCH_CHARS = 1_000_000
+#: Characters of one text that are cut into words at once.
+WINDOW = 250_000
 #: Ids are decoded in batches of about this many.
-BATCH_IDS = 500_000
+BATCH_IDS = 250_000
 
 
 @dataclass
@@ -141,24 +140,44 @@ def read_model(spark: SparkSession, name: str = MODEL, folder: str = MODEL_DIR)
         return f.read()
 
 
+def gather(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start : start + length]``, one after the other."""
+    ends = np.cumsum(lengths)
+    if not len(ends) or not ends[-1]:
+        return flat[:0]
+    return flat[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)]
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``counts`` neighbours (0 for an empty run)."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
 class Codec:
     """Encodes and decodes batches with the library, once per distinct word.
 
     Where no piece holds a mark after another character (``splits``), a word's pieces do not
     depend on its neighbours, so texts are cut before runs of marks and only words not seen
-    lately go to the library. Otherwise whole texts go there.
+    lately go to the library. Otherwise whole texts go there. Ids are kept and given as flat
+    arrays, never as lists of Python integers.
     """
 
-    KNOWN = 200_000  # words kept; beyond, the memory starts anew
+    KNOWN = 100_000  # words kept; beyond, the memory starts anew
+    AT_ONCE = 10_000  # words given to the library in one call
 
     def __init__(self, data: bytes) -> None:
         m = self.model = parse_model(data)
         self.plain = not m.charsmap and not m.squeeze and m.dummy_prefix and m.escape
         pieces = [p for p, _, k in m.pieces if k in (NORMAL, USER_DEFINED)]
         self.splits = m.escape and not any(MARK in p.lstrip(MARK) for p in pieces) and not any(k == USER_DEFINED for _, _, k in m.pieces)
-        self.ids: dict[str, list[int]] = {}
         self.strip = m.dummy_prefix
-        self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
+        raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m.pieces]
+        self.piece_len = np.array([len(x) for x in raw], np.int64)
+        self.piece_at = np.cumsum(self.piece_len) - self.piece_len
+        self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self._forget()
 
     @cached_property
     def whole(self):
@@ -170,23 +189,76 @@ class Codec:
         tokenizer.normalizer = None
         return tokenizer
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.at, self.len, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > self.KNOWN and self.index:
+            self._forget()
+            new = list(words)
+        flat, lengths = [self.flat], [self.len]
+        for i in range(0, len(new), self.AT_ONCE):
+            some = new[i : i + self.AT_ONCE]
+            ids = [e.ids for e in self.words.encode_batch_fast(some, add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(lengths[-1].sum())))
+            self.index.update(zip(some, range(len(self.index), len(self.index) + len(some)), strict=True))
+        self.flat, self.len = np.concatenate(flat), np.concatenate(lengths)
+        self.at = np.cumsum(self.len) - self.len
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids)."""
         if not self.splits:
-            return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [self._cut(t) for t in texts]
-        new = list(set().union(*cut).difference(self.ids))
-        if len(self.ids) + len(new) > self.KNOWN:
-            self.ids, new = {}, list(set().union(*cut))
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            self.ids.update(zip(some, (e.ids for e in self.words.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.ids.__getitem__, words))) for words in cut]
-
-    def _cut(self, text: str) -> list[str]:
+            ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            return lengths, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
+        lengths, out = np.zeros(len(texts), np.int64), []
+        held: list[str] = []
+        counts: list[tuple[int, int]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            self._learn(set(held))
+            at = np.fromiter(map(self.index.__getitem__, held), np.int64, len(held))
+            rows, n = np.array(counts, np.int64).reshape(-1, 2).T
+            np.add.at(lengths, rows, sums(self.len[at], n))
+            out.append(gather(self.at[at], self.len[at], self.flat))
+            held.clear()
+            counts.clear()
+            size = 0
+
+        for row, text in enumerate(texts):
+            for part in self._parts(text):
+                words = self._cut(part)
+                held += words
+                counts.append((row, len(words)))
+                size += len(part)
+                if size >= WINDOW:
+                    flush()
+        flush()
+        return lengths, np.concatenate(out)
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """The normalised text, in parts of about WINDOW characters that end before a run of marks."""
         if not self.plain:
             text = self.whole.normalizer.normalize_str(text)
         elif text:
-            text = f"{MARK}{text.replace(' ', MARK)}"
+            text = f"{MARK}{text}"
+        start = 0
+        while len(text) - start > WINDOW:
+            m = re.compile(f"[^ {MARK}](?=[ {MARK}])").search(text, start + WINDOW)
+            if not m:
+                break
+            yield text[start : m.end()]
+            start = m.end()
+        yield text[start:]
+
+    def _cut(self, text: str) -> list[str]:
+        if self.plain:
+            text = text.replace(" ", MARK)
         if not text:
             return []
         if f"{MARK}{MARK}" in text or text[-1] == MARK:
@@ -194,39 +266,67 @@ class Codec:
         words = text.replace(MARK, f" {MARK}").split(" ")  # no spaces are left in a normalised text
         return words if words[0] else words[1:]
 
-    def decode(self, rows: list[list[int]]) -> list[str]:
-        out = []
-        for ids in rows:
-            try:
-                s = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8")
-                out.append(s[1:] if self.strip and s[:1] == " " else s)
-            except UnicodeDecodeError:  # not what encoding gives; the library says what it means
-                out.append(self.whole.decode(ids, skip_special_tokens=False))
-        return out
+    def decode(self, lengths: np.ndarray, ids: np.ndarray) -> pa.Array:
+        """The texts of the runs of ``ids``."""
+        sizes = sums(self.piece_len[ids], lengths)
+        data = gather(self.piece_at[ids], self.piece_len[ids], self.piece_bytes)
+        starts = np.cumsum(sizes) - sizes
+        full = starts[sizes > 0]
+        try:
+            data.tobytes().decode("utf-8")
+            whole = not (data[full] & 0xC0 == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if not whole:  # not what encoding gives; the library says what it means
+            ends = np.cumsum(lengths)
+            return pa.array([self._decode_one(ids[a:b]) for a, b in zip(ends - lengths, ends, strict=True)], pa.string())
+        if self.strip:
+            drop = full[data[full] == 32]
+            data, sizes = np.delete(data, drop), sizes.copy()
+            sizes[np.flatnonzero(sizes)[np.isin(full, drop)]] -= 1
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data.tobytes()))
+
+    def _decode_one(self, ids: np.ndarray) -> str:
+        try:
+            s = gather(self.piece_at[ids], self.piece_len[ids], self.piece_bytes).tobytes().decode("utf-8")
+        except UnicodeDecodeError:
+            return self.whole.decode(ids.tolist(), skip_special_tokens=False)
+        return s[1:] if self.strip and s[:1] == " " else s
 
 
-_BUILT: dict[str, Codec] = {}
+def _codec(data: bytes, threads: int) -> Codec:
+    """A codec for one task. It isn't kept beyond: workers are reused by other operators."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+    return Codec(data)
 
 
-def _codec(data: bytes, threads: int) -> Codec:
-    """One codec per Python worker and model."""
-    name = hashlib.sha256(data).hexdigest()
-    if name not in _BUILT:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        _BUILT[name] = Codec(data)
-    return _BUILT[name]
-
-
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= BATCH_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _lists(lengths: np.ndarray, ids: np.ndarray, null: np.ndarray) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()), mask=pa.array(null))
+
+
+def _without(texts: pa.Array, null: np.ndarray) -> pa.Array:
+    return pc.if_else(pa.array(null), pa.scalar(None, pa.string()), texts) if null.any() else texts
+
+
+def _coded(docs: DataFrame, model: bytes, text: str, ids: str, decoded: str | None, threads: int) -> DataFrame:
+    docs = docs.drop(ids, decoded) if decoded else docs.drop(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model, threads)
+        for b in portions(batches, text):
+            null = b.column(text).is_null().to_numpy(zero_copy_only=False)
+            lengths, got = codec.encode([t or "" for t in b.column(text).to_pylist()])
+            columns, names = [*b.columns, _lists(lengths, got, null)], [*b.schema.names, ids]
+            if decoded:
+                columns.append(_without(codec.decode(lengths, got), null))
+                names.append(decoded)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", threads: int = 2) -> DataFrame:
@@ -236,23 +336,20 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
     their length. A column of ``docs`` named like ``ids`` is replaced. An empty table gives an
     empty result.
     """
-    docs = docs.drop(ids)
+    return _coded(docs, model, text, ids, None, threads)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model, threads)
-        for b in batches:
-            texts = b.column(text).to_pylist()
-            for i, j in _chunks(texts):
-                got = iter(codec.encode([t for t in texts[i:j] if t is not None]))
-                out = [None if t is None else next(got) for t in texts[i:j]]
-                part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.int32()))], [*part.schema.names, ids])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+def encode_and_decode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded", threads: int = 2) -> DataFrame:
+    """Columns of ``docs``, ``ids`` as by ``encode`` and ``decoded`` as by ``decode``, in one pass of one worker."""
+    return _coded(docs, model, text, ids, decoded, threads)
 
 
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded", threads: int = 2) -> DataFrame:
-    """Columns of ``docs`` and ``text``, the text of ``ids``; null for null ids."""
+    """Columns of ``docs`` and ``text``, the text of ``ids``.
+
+    Null ids: null text. No ids: empty text. Repeated rows decode alike. A column of ``docs`` named
+    like ``text`` is replaced. An empty table gives an empty result.
+    """
     docs = docs.drop(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,10 +359,11 @@ def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded
             cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH_IDS)) + 1).tolist(), b.num_rows]
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 part = b.slice(i, j - i)
-                rows = part.column(ids).to_pylist()
-                got = iter(codec.decode([r for r in rows if r is not None]))
-                out = [None if r is None else next(got) for r in rows]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, text])
+                got = part.column(ids)
+                null = got.is_null().to_numpy(zero_copy_only=False)
+                lengths = pc.fill_null(pc.list_value_length(got), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = pc.list_flatten(got).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*part.columns, _without(codec.decode(lengths, flat), null)], [*part.schema.names, text])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())]))
 
@@ -276,7 +374,7 @@ def parity(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        for b in batches:
+        for b in portions(batches, text):
             theirs = [None if t is None else sp.encode(t) for t in b.column(text).to_pylist()]
             differ = [x != y for x, y in zip(theirs, b.column("ids").to_pylist(), strict=True)]
             yield b.filter(pa.array(differ, pa.bool_()))
@@ -288,7 +386,7 @@ def parity(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = read_model(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, model), model)
+    coded = encode_and_decode(docs, model)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +189,9 @@ def test_toxicity_learns(spark):
     assert out[1000].predicted == 1
     assert out[1001].score == out[1002].score < 0.3 and out[1004].predicted == 0
     assert out[1003].score < out[0].score
+    far = docs(spark, ['“' + "so then " * 40 + "nitwit" + " and so on" * 40 + '”', '“so”\nnitwit\n“on”', "“a” nitwit “b”"])
+    far = [r.score for r in toxicity.score(far, lex).orderBy("doc_id").collect()]
+    assert far[0] < far[1] == far[2]
     assert toxicity.keep_clean(d, lex).where("doc_id = 0").count() == 0
     assert toxicity.score(d.limit(0), lex).count() == 0
     nothing = toxicity.fit(toxicity.training_rows(d, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)))
@@ -366,9 +370,22 @@ def test_sentencepiece_parity_and_round_trip(spark):
     assert sentencepiece_codec.parity(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), model).count() == 0
     out = sentencepiece_codec.decode(sentencepiece_codec.encode(d, model), model).orderBy("doc_id").collect()
     assert all(r.decoded == (r.text if r.text is None else r.text.replace("▁", " ")) for r in out)
+    both = sentencepiece_codec.encode_and_decode(d.withColumn("decoded", F.lit(1)), model)
+    assert both.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "decoded"]
+    assert [(r.ids, r.decoded) for r in both.orderBy("doc_id").collect()] == [(r.ids, r.decoded) for r in out]
     assert sentencepiece_codec.encode(empty(spark), model).count() == 0
 
 
+def encoded(codec, texts):
+    lengths, ids = codec.encode(texts)
+    ends = lengths.cumsum()
+    return [ids[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)]
+
+
+def decoded(codec, rows):
+    return codec.decode(np.array([len(r) for r in rows]), np.array([i for r in rows for i in r])).to_pylist()
+
+
 def test_decode_of_any_ids(spark):
     import sentencepiece
 
@@ -376,8 +393,20 @@ def test_decode_of_any_ids(spark):
     codec = sentencepiece_codec.Codec(model)
     sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     ids = sp.encode("Hello wörld")
-    assert codec.decode([ids]) == [sp.decode(ids)]
-    assert "\ufffd" in codec.decode([[200, 201]])[0]
+    assert decoded(codec, [ids, [], ids]) == [sp.decode(ids), "", sp.decode(ids)]
+    assert "\ufffd" in decoded(codec, [[200, 201], ids])[0]
+    frame = spark.createDataFrame([(1, ids), (2, []), (3, None)], "n long, ids array<int>")
+    assert [r.text for r in sentencepiece_codec.decode(frame, model, text="text").orderBy("n").collect()] == [sp.decode(ids), "", None]
+
+
+def test_long_texts_are_cut_into_windows(spark, monkeypatch):
+    model = sentencepiece_codec.read_model(spark)
+    codec = sentencepiece_codec.Codec(model)
+    texts = [LONG[:20_000], "ab " * 5_000 + "  tail", "x" * 9_000, "a  b" * 900, ""]
+    whole = encoded(codec, texts)
+    monkeypatch.setattr(sentencepiece_codec, "WINDOW", 700)
+    monkeypatch.setattr(sentencepiece_codec.Codec, "KNOWN", 50)
+    assert encoded(sentencepiece_codec.Codec(model), texts) == whole
 
 
 def test_unigram_model():
@@ -396,4 +425,4 @@ def test_unigram_model():
     data = m.SerializeToString()
     sp, codec = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_codec.Codec(data)
     texts = ["ab abc", "  a   b ", "xé ab", "", "cab bac", "abab aab"]
-    assert codec.encode(texts) == [sp.encode(t) for t in texts]
+    assert encoded(codec, texts) == [sp.encode(t) for t in texts]
