@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -244,3 +247,119 @@ def chunks(payload: Column, size: int = 6000) -> Column:
     """The payload cut into pieces of ``size`` characters; their concatenation is the payload."""
     n = F.greatest(F.ceil(F.length(payload) / size), F.lit(1)).cast("int")
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(payload, i * size + 1, F.lit(size)))
+
+
+def row_text(cells: Column) -> Column:
+    """The cells of a row put together in lower case, without white space and parentheses of either width."""
+    return F.lower(F.regexp_replace(F.array_join(F.transform(cells, text), ""), r"(?U)[\s（）()]+", ""))
+
+
+def section_line(c: Column) -> Column:
+    """A line without dot leaders and what follows them, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text(c), r"\.{3,}.*$", ""), r"(?U)\s+", " "))
+
+
+def is_contents_line(c: Column) -> Column:
+    """Whether a line has the dot leaders of a table of contents."""
+    return F.coalesce(F.contains(c, F.lit("...")), F.lit(False))
+
+
+def iso_time(c: Column) -> Column:
+    """The moment of an ISO 8601 timestamp with date, time and zone; null for anything else."""
+    shape = c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    return F.when(shape, F.try_to_timestamp(c))
+
+
+def forbidden_lines(c: Column, pattern: str) -> Column:
+    """``line_no, line`` (from 1) of the lines that hold the pattern, as an array of structs."""
+    lines = F.transform(F.split(line_ends(c), "\n"), lambda l, i: F.struct((i + 1).alias("line_no"), l.alias("line")))
+    return F.filter(lines, lambda s: s["line"].rlike(pattern))
+
+
+#: Letters that text shows when it was read in a wrong encoding.
+MOJIBAKE = "[ÃÂÅåäæçèéê]"
+
+
+def has_cjk(c: Column) -> Column:
+    return F.coalesce(c.rlike(f"[{CJK}]"), F.lit(False))
+
+
+def has_non_ascii(c: Column) -> Column:
+    return F.coalesce(F.octet_length(c) > F.length(c), F.lit(False))
+
+
+def has_mojibake(c: Column) -> Column:
+    return F.coalesce(c.rlike(MOJIBAKE), F.lit(False))
+
+
+def is_well_formed_xml(c: Column) -> Column:
+    """Whether a text parses as XML with one root element."""
+    read = F.from_xml(c, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return c.isNotNull() & (F.trim(c) != "") & read["_bad"].isNull()
+
+
+def language_name(code: Column, names: dict[str, str]) -> Column:
+    """The language's name, else its code in capitals."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.lower(code)] if names else F.lit(None)
+    return F.coalesce(known, F.upper(code))
+
+
+def not_in(c: Column, states: list[str]) -> Column:
+    """Whether a state is none of a list; a missing one is none."""
+    return ~F.coalesce(c.isin(*states), F.lit(False))
+
+
+def prefixed_texts(items: Column, keep, prefix: str, mark: str = ", ") -> Column:
+    """The texts of an array for which ``keep`` holds, each after ``prefix``, put together."""
+    return F.array_join(F.transform(F.filter(items, keep), lambda x: F.concat(F.lit(prefix), x)), mark)
+
+
+def text_class(c: Column, dictionary: Column, external: Column, user_input: Column) -> tuple[Column, Column]:
+    """(class, action) of a shown text: external and user input stay, dictionary entries are mapped, fixed
+    texts are translated, and what is none of these is to be confirmed."""
+    kind = (F.when(external, "external").when(user_input, "user-input").when(dictionary, "dictionary").when(c.isNull() | (F.trim(c) == ""), "unconfirmed").otherwise("fixed"))
+    action = (F.when(kind.isin("external", "user-input"), "keep").when(kind == "dictionary", "map").when(kind == "fixed", "translate").otherwise("confirm"))
+    return kind, action
+
+
+def key_values(key: str):
+    """A function of a JSON text: the distinct texts, whatever their case, of a key at any depth; the first
+    spelling stays. JSON of any shape has to be walked, so this runs in Python."""
+    def walk(value, out: dict[str, str]) -> None:
+        if isinstance(value, list):
+            for x in value:
+                walk(x, out)
+        elif isinstance(value, dict):
+            for k, x in value.items():
+                if k.lower() == key.lower() and isinstance(x, str | int | float) and str(x).strip():
+                    out.setdefault(str(x).lower(), str(x))
+                walk(x, out)
+
+    def one(text: str | None) -> list[str] | None:
+        out: dict[str, str] = {}
+        try:
+            walk(json.loads(text), out)
+        except (TypeError, ValueError):
+            return None
+        return list(out.values())
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run
+
+
+def without_block(c: Column, title: str) -> Column:
+    """The text without the blocks that a line ``title`` opens: that line and all up to the line ``}`` that closes
+    its braces (braces count on lines of their own)."""
+    def step(acc: Column, line: Column) -> Column:
+        trimmed = F.trim(line)
+        opens = ~acc["inside"] & (line == title)
+        depth = F.when(acc["inside"] & (trimmed == "{"), acc["depth"] + 1).when(acc["inside"] & (trimmed == "}") & (acc["depth"] > 0), acc["depth"] - 1).otherwise(acc["depth"])
+        ends = acc["inside"] & (trimmed == "}") & (acc["depth"] == 1)
+        kept = F.when(acc["inside"] | opens, acc["out"]).otherwise(F.concat(acc["out"], F.array(line)))
+        return F.struct(kept.alias("out"), ((acc["inside"] | opens) & ~ends).alias("inside"), depth.alias("depth"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"), F.lit(0).alias("depth"))
+    return F.aggregate(F.split(line_ends(c), "\n"), start, step, lambda acc: F.array_join(acc["out"], "\n"))

@@ -108,23 +108,27 @@ def diagnostics(by_table: DataFrame) -> DataFrame:
     return by_table.select(*TABLE, said.alias("diagnostic")).where("diagnostic is not null")
 
 
-def header_map(headers: Column, cells: Column) -> Column:
-    """Cells by header; blank headers are ``columnN``, repeated ones get ``#2``, ``#3``, ..."""
+def header_keys(headers: Column) -> Column:
+    """A key for each header; blank ones are ``columnN``, repeated ones get ``#2``, ``#3``, ..."""
     named = F.transform(headers, lambda h, i: F.when(T.text(h) == "", F.concat(F.lit("column"), (i + 1).cast("string"))).otherwise(T.text(h)))
-    keys = F.transform(named, lambda h, i: F.concat(h, F.when(
+    return F.transform(named, lambda h, i: F.concat(h, F.when(
         F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda x: x == h)) > 1,
         F.concat(F.lit("#"), F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda x: x == h)).cast("string"))).otherwise("")))
+
+
+def header_map(keys: Column, cells: Column) -> Column:
+    """Cells by the keys of their headers."""
     return F.map_from_arrays(keys, F.transform(keys, lambda k, i: T.text(F.try_element_at(cells, i + 1))))
 
 
-def warnings(headers: Column, roles_at: list[Column], default: Column) -> Column:
-    """Repeated headers, headers without a role, and a default that needs a look."""
+def header_warnings(headers: Column, roles_at: list[Column]) -> Column:
+    """Repeated headers and headers without a role."""
     n = normal(headers)
     repeated = F.transform(F.filter(F.transform(headers, lambda h, i: F.struct(T.text(h).alias("h"), i.alias("i"), F.array_position(n, T.header(h)).alias("p"))),
                                     lambda s: (s["h"] != "") & (s["p"] < s["i"] + 1)), lambda s: F.concat(F.lit("duplicateHeader:"), s["h"]))
     used = F.transform(F.filter(F.array(*roles_at), lambda r: r > 0), lambda r: T.text(F.try_element_at(headers, r.cast("int"))))
     left = F.transform(F.filter(F.transform(headers, T.text), lambda h: (h != "") & ~F.array_contains(used, h)), lambda h: F.concat(F.lit("unmappedHeader:"), h))
-    return F.concat(repeated, left, F.when(default != "", F.array(F.lit("defaultValue:需要人工确认默认值语义"))).otherwise(F.array().cast("array<string>")))
+    return F.concat(repeated, left)
 
 
 def fields(grids: DataFrame, context: str | None = None) -> DataFrame:
@@ -134,6 +138,8 @@ def fields(grids: DataFrame, context: str | None = None) -> DataFrame:
     ``json_path``. Rows without code and name, sample rows and blank rows are left out.
     """
     known = roles(with_inherited(tables(grids)).where("not skipped and headers is not null")).drop("first")
+    # What depends on the header alone is worked out once per table.
+    known = known.withColumn("_keys", header_keys(F.col("headers"))).withColumn("_warned", header_warnings(F.col("headers"), [F.col(f"role_{r}") for r in HEADERS]))
     rows = grids.join(known, TABLE).where(F.col("inherited") | (F.col("row_idx") > F.col("header_idx")))
     get = {r: T.text(F.when(F.col(f"role_{r}") > 0, F.try_element_at("cells", F.col(f"role_{r}").cast("int")))) for r in HEADERS}
     rows = rows.withColumns({f"_{r}": c for r, c in get.items()})
@@ -148,8 +154,8 @@ def fields(grids: DataFrame, context: str | None = None) -> DataFrame:
         *TABLE, "row_idx", *[F.col(f"_{r}").alias(r) for r in HEADERS if r != "required"], required.alias("required"),
         reason.alias("required_reason"), F.col("_code").startswith("*").alias("required_by_marker"),
         T.marker_mismatch(F.col("_code"), required).alias("required_mismatch"), path.alias("json_path"),
-        header_map(F.col("headers"), F.col("cells")).alias("raw_columns"),
-        warnings(F.col("headers"), [F.col(f"role_{r}") for r in HEADERS], F.col("_default_value")).alias("warnings"),
+        header_map(F.col("_keys"), F.col("cells")).alias("raw_columns"),
+        F.concat("_warned", F.when(F.col("_default_value") != "", F.array(F.lit("defaultValue:需要人工确认默认值语义"))).otherwise(F.array().cast("array<string>"))).alias("warnings"),
         F.lit("mapped-field").alias("classification"), F.lit(1.0).alias("confidence"))
 
 
@@ -165,6 +171,102 @@ def review(documents: DataFrame, catalogue: DataFrame) -> DataFrame:
     return empty.union(catalogue.where("code = '' and name = ''").select("doc_id", F.lit("field without code and name").alias("issue")))
 
 
+#: What marks the rows and lines of the parts of an interface, by part.
+TITLE_LABELS, NOTE_LABELS = ("名称", "name"), ("功能描述", "description")
+ROW_MARKS = (("interface", ("接口名称",)), ("request", ("请求参数", "请求参数加密前", "入参", "入参格式说明")), ("response", ("返回结果", "响应参数", "响应消息说明", "出参")))
+LINE_MARKS = (("signature", ("签名算法", "参与签名字段")), ("headers", ("请求头公共参数", "公共请求头", "header参数")), ("request", ("入参格式说明", "入参", "请求参数")),
+              ("response", ("响应消息说明", "响应参数", "返回参数", "出参")), ("data", ("data参数属性描述如下",)))
+INTERFACE, PLAIN_TITLE = "接口", "接口说明"
+
+
+def interface_titles(grids: DataFrame, rows: int = 6) -> DataFrame:
+    """``doc_id, sheet, title``: name and description given in the first ``rows`` rows of a table, as
+    ``name（description）``; tables without a name have none."""
+    label, value = T.header(F.try_element_at("cells", F.lit(1))), T.text(F.try_element_at("cells", F.lit(2)))
+    said = (F.size("cells") >= 2) & (value != "") & (value != T.text(F.try_element_at("cells", F.lit(1))))
+    at = F.row_number().over(Window.partitionBy(*TABLE).orderBy("row_idx"))
+    top = grids.select(*TABLE, "row_idx", "cells", at.alias("_at")).where(F.col("_at") <= rows)
+    g = top.groupBy(*TABLE).agg(*[F.min_by(value, F.when(said & label.isin(*names), F.col("row_idx"))).alias(n) for n, names in (("_t", TITLE_LABELS), ("_d", NOTE_LABELS))],
+                                *[F.max(F.when(said & label.isin(*names), 1)).alias(n) for n, names in (("_ht", TITLE_LABELS), ("_hd", NOTE_LABELS))])
+    title = F.when(F.col("_ht").isNotNull(), F.when(F.col("_hd").isNotNull(), F.concat("_t", F.lit("（"), F.col("_d"), F.lit("）"))).otherwise(F.col("_t")))
+    return g.select(*TABLE, title.alias("title")).where("title is not null")
+
+
+def _marked(text: Column, marks) -> Column:
+    out = F.lit(None).cast("string")
+    for part, words in reversed(marks):
+        out = F.when(F.greatest(*[F.instr(text, w) for w in words], F.lit(0)) > 0, part).otherwise(out)
+    return out
+
+
+def row_marker(cells: Column) -> Column:
+    """interface, request or response for a row that begins such a part, else null."""
+    return _marked(T.row_text(cells), ROW_MARKS)
+
+
+def interface_hints(catalogue: DataFrame) -> DataFrame:
+    """``doc_id, sheet, hint``: the capitals that the first field ``n_type`` of a table with any names."""
+    text = F.replace(F.concat_ws(" ", "name", "description"), F.lit(" "), F.lit(""))
+    found = F.regexp_extract(text, "[A-Z][A-Z0-9_]{3,}", 0)
+    named = catalogue.where((F.lower(T.field_code(F.col("code"))) == "n_type") & (found != ""))
+    return named.groupBy(*TABLE).agg(F.min_by(found, "row_idx").alias("hint"))
+
+
+def section_context(by_line: DataFrame, key: str = "doc_id", order: str = "line_no", line: str = "line") -> DataFrame:
+    """``key, order, line`` (cleaned) and what holds from each line on: ``interface_no, interface_title, subsection_no,
+    subsection_title, part``.
+
+    A heading ``3.n title`` of an interface, or ``3.n`` alone with the title in one of the three lines before,
+    starts an interface and ends the subsection; ``3.n.m title`` starts a subsection. ``part`` is the
+    part of the message that the lines after belong to. Blank lines and lines of a table of contents say
+    nothing. Each thing that holds is the last one said before, by a window over the lines of a document.
+    """
+    raw = F.coalesce(F.col(line), F.lit(""))
+    df = by_line.select(key, order, T.section_line(F.col(line)).alias("line"), T.is_contents_line(raw).alias("_toc")).where("line <> ''")
+    l = F.col("line")
+    w = Window.partitionBy(key).orderBy(order)
+    df = df.withColumn("_near", F.collect_list("line").over(w.rowsBetween(-3, -1)))
+    fits = F.filter(F.reverse("_near"), lambda x: x.endswith(INTERFACE) & ~x.rlike("^[0-9]") & (x != PLAIN_TITLE))
+    near = F.try_element_at(fits, F.lit(1))
+    live = ~F.col("_toc")
+    direct = live & l.rlike(rf"^3\.[0-9]+\s+.+{INTERFACE}$")
+    alone = live & l.rlike(r"^3\.[0-9]+$")
+    opened = direct | (alone & near.isNotNull())
+    inner = live & l.rlike(r"^3\.[0-9]+\.[0-9]+\s*\S")
+    deep = lambda g: F.regexp_extract(l, r"^(3\.[0-9]+\.[0-9]+)\s*(.+?)$", g)
+    begin = F.when(opened, F.struct(
+        F.regexp_extract(l, r"^(3\.[0-9]+)", 1).alias("no"), F.when(direct, F.regexp_extract(l, r"^3\.[0-9]+\s+(.+)$", 1)).otherwise(near).alias("title")))
+    # A new interface resets the subsection to blanks.
+    sub = F.when(opened, F.struct(F.lit("").alias("no"), F.lit("").alias("title"))).when(inner, F.struct(deep(1).alias("no"), deep(2).alias("title")))
+    named = F.nullif(F.regexp_extract(l, r"^([A-Za-z_][A-Za-z0-9_]*)\s*参数$", 1), F.lit(""))
+    said = F.coalesce(named, _marked(F.replace(F.lower(l), F.lit(" "), F.lit("")), LINE_MARKS), F.when(inner & deep(2).contains("返回"), "response"))
+    part = F.when(live & ~opened & ~alone, said)
+    df = df.withColumns({"_begin": begin, "_sub": sub, "_part": part})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    held = {c: F.last(c, ignorenulls=True).over(upto) for c in ("_begin", "_sub", "_part")}
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return df.select(key, order, "line", blank(held["_begin"]["no"]).alias("interface_no"), blank(held["_begin"]["title"]).alias("interface_title"),
+                     blank(held["_sub"]["no"]).alias("subsection_no"), blank(held["_sub"]["title"]).alias("subsection_title"), blank(held["_part"]).alias("part"))
+
+
+def field_report(catalogue: DataFrame) -> DataFrame:
+    """``doc_id, sheet, row_idx, line``: the fields as rows of a Markdown table of twelve columns; the marker is ``*``
+    for a field marked as required, with `` mismatch`` where its column says otherwise."""
+    marker = F.concat(F.when(F.col("required_by_marker"), "*").otherwise(""), F.when(F.col("required_mismatch"), " mismatch").otherwise(""))
+    cells = F.array("json_path", "code", "name", "field_type", "length", "required", "nullable", "primary_key", "default_value", marker, "description", F.array_join("warnings", "; "))
+    return catalogue.select(*TABLE, "row_idx", T.markdown_row(cells, 12).alias("line"))
+
+
+def parsed_envelope(catalogue: DataFrame) -> DataFrame:
+    """``doc_id, json``: the document with its views and their fields as one JSON object. A document's
+    fields are few; nothing of other documents is put together with them."""
+    fields = [c for c in catalogue.columns if c not in TABLE]
+    by = lambda name: lambda a, b: F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0)
+    views = catalogue.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct(*fields)), by("row_idx")).alias("fields"))
+    docs = views.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sheet", "fields")), by("sheet")).alias("views"))
+    return docs.select("doc_id", F.to_json(F.struct("doc_id", F.size("views").alias("view_count"), "views")).alias("json"))
+
+
 def sections(rows: DataFrame, marker: Column, order: str = "row_idx") -> DataFrame:
     """Adds ``segment``: how many marker rows there are up to each row of its table."""
     return rows.withColumn("segment", F.sum(marker.cast("int")).over(Window.partitionBy(*TABLE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

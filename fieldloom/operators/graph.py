@@ -7,33 +7,59 @@ from pyspark.sql import functions as F
 
 from fieldloom.shared import stored
 
+#: Stored steps that are read together before they are written as one.
+COMPACT = 8
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
+
+class _Seen:
+    """A growing table of stored steps, written as one when there are many."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.df, self.steps = first, 1
+
+    def add(self, new: DataFrame) -> None:
+        self.df, self.steps = self.df.union(new), self.steps + 1
+        if self.steps >= COMPACT:
+            self.df, self.steps = stored(self.df), 1
+
+
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, name, depth``: what each start reaches over ``name -> depends_on``, itself at depth
-    0, each name once at its least depth. Cycles end; names without edges are kept as leaves."""
-    e = edges.select(F.col("name").alias("_from"), F.col("depends_on").alias("_to")).distinct()
-    new = starts.select(F.col("name").alias("start"), F.col("name"), F.lit(0).alias("depth")).distinct()
-    seen = new = stored(new)
-    for depth in range(1, most + 1):
+    0, each name once at its least depth. Cycles end; names without edges are kept as leaves. It ends when
+    a level brings nothing new, however many levels there are."""
+    e = stored(edges.select(F.col("name").alias("_from"), F.col("depends_on").alias("_to")).distinct())
+    new = stored(starts.select(F.col("name").alias("start"), F.col("name"), F.lit(0).alias("depth")).distinct())
+    seen, depth = _Seen(new), 0
+    while not new.isEmpty():
+        depth += 1
         step = new.join(e, F.col("name") == F.col("_from")).select("start", F.col("_to").alias("name"), F.lit(depth).alias("depth")).distinct()
-        new = stored(step.join(seen.select("start", "name"), ["start", "name"], "left_anti"))
-        if new.isEmpty():
-            return seen
-        seen = seen.union(new)
-    raise RuntimeError(f"more than {most} levels")
+        new = stored(step.join(seen.df.select("start", "name"), ["start", "name"], "left_anti"))
+        seen.add(new)
+    return seen.df
 
 
-def levels(edges: DataFrame, most: int = 100) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """``name, level``: leaves have level 0, others one more than the highest they depend on; null
     for names on or above a cycle. Ordering by level puts leaves first."""
     e = stored(edges.select("name", "depends_on").distinct())
     names = e.select("name").union(e.select("depends_on")).distinct()
-    done = stored(names.join(e.select("name").distinct(), "name", "left_anti").withColumn("level", F.lit(0)))
-    for level in range(1, most + 1):
-        left = e.join(done.select("name"), "name", "left_anti")
-        open_ = left.join(done.select(F.col("name").alias("depends_on")), "depends_on", "left_anti").select("name").distinct()
-        ready = stored(left.select("name").distinct().join(open_, "name", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            return names.join(done, "name", "left")
-        done = done.union(ready)
-    raise RuntimeError(f"more than {most} levels")
+    ready = stored(names.join(e.select("name").distinct(), "name", "left_anti").withColumn("level", F.lit(0)))
+    done, left, level = _Seen(ready), e, 0
+    while not ready.isEmpty():
+        level += 1
+        # Edges to what has just got its level are done with; a name without edges left is next.
+        rest = stored(left.join(ready.select(F.col("name").alias("depends_on")), "depends_on", "left_anti"))
+        ready = stored(left.select("name").distinct().join(rest.select("name").distinct(), "name", "left_anti").withColumn("level", F.lit(level)))
+        left = rest
+        done.add(ready)
+    return names.join(done.df, "name", "left")
+
+
+def removal_order(edges: DataFrame, target: str | int) -> DataFrame:
+    """``name, level`` of what ``target`` depends on, leaves first, without the target; and ``in_cycle`` for
+    the names that have no level, which a warning is due for."""
+    starts = edges.sparkSession.createDataFrame([(target,)], "name " + edges.schema["name"].dataType.simpleString())
+    below = closure(edges, starts).select("name")
+    own = edges.join(below, "name", "left_semi")
+    out = levels(own).where(F.col("name") != F.lit(target))
+    return out.withColumn("in_cycle", F.col("level").isNull())

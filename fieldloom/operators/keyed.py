@@ -58,8 +58,8 @@ def config_merge(template: DataFrame, target: DataFrame, key: str = "key", value
 
 
 def verify_targets(sources: DataFrame, targets: DataFrame, name: str, suffix: str) -> DataFrame:
-    """Each name of ``sources`` with whether ``name-suffix`` is among the targets (first record of each)."""
-    t = targets.groupBy(F.upper(name).alias("_t")).agg(F.first(name).alias("target_name"))
+    """Each name of ``sources`` with whether ``name-suffix`` is among the targets (of several spellings the least)."""
+    t = targets.groupBy(F.upper(name).alias("_t")).agg(F.min(name).alias("target_name"))
     s = sources.groupBy(name).agg(F.count(F.lit(1)).alias("records"))
     return s.join(t, F.upper(F.concat(F.col(name), F.lit(f"-{suffix}"))) == F.col("_t"), "left").select(
         name, "records", "target_name", F.col("target_name").isNotNull().alias("verified"))
@@ -157,6 +157,15 @@ def pivot_counts(df: DataFrame, keys: list[str], column: str, values: list[str])
     return df.groupBy(*keys).agg(*[F.count_if(F.col(column) == v).alias(v) for v in values])
 
 
+def checked_parameters(df: DataFrame, required: list[str], message: str = "missing parameters") -> DataFrame:
+    """Rows with ``error_code, error``: -1 and the names of the required columns that are null or blank, or 0
+    and null; a row with an error has no other data."""
+    missing = F.filter(F.array(*[F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(c)) for c in required]), lambda x: x.isNotNull())
+    bad = F.size(missing) > 0
+    kept = [F.when(~bad, F.col(c)).alias(c) for c in df.columns]
+    return df.select(*kept, F.when(bad, -1).otherwise(0).alias("error_code"), F.when(bad, F.concat(F.lit(f"{message}: "), F.array_join(missing, ", "))).alias("error"))
+
+
 def where_given(df: DataFrame, required: dict[str, object], optional: dict[str, object]) -> DataFrame:
     """Rows equal to all required values and to those optional values that are not None."""
     missing = [k for k, v in required.items() if v in (None, "")]

@@ -39,24 +39,27 @@ def product_group(name: Column, root: str, skip: str = "his", groups: list | Non
     return out
 
 
-def stats(called: DataFrame, root: str, lists: bool = False) -> DataFrame:
+def stats(called: DataFrame, root: str) -> DataFrame:
     """Per interface: count, maximum with the trace and time of its first occurrence, mean, first
-    seq, short name, group and severity. ``lists`` adds the ordered durations and times, which
-    hold every call of an interface in one row."""
+    seq, short name, group and severity."""
     top = F.max(F.struct(F.col("ms").alias("ms"), (-F.col("seq")).alias("nseq"), F.col("trace_id"), F.col("ts")))
     aggs = [F.count(F.lit(1)).alias("calls"), top.alias("_top"), F.sum("ms").alias("total_ms"), F.min("seq").alias("first_seq")]
-    if lists:
-        aggs.append(F.array_sort(F.collect_list(F.struct("seq", "ms", "ts"))).alias("_all"))
     out = called.groupBy("full_name").agg(*aggs)
     hit = F.col("_top.ms") > 0  # without a duration there is no slowest call to point at
     out = out.select("full_name", T.last_segment(F.col("full_name")).alias("short_name"), product_group(F.col("full_name"), root).alias("product_group"), "calls",
                      F.col("_top.ms").alias("max_ms"), F.when(hit, F.col("_top.trace_id")).otherwise("").alias("max_trace"),
                      F.when(hit, F.col("_top.ts")).alias("max_ts"), (F.col("total_ms") / F.col("calls")).alias("mean_ms"),
-                     T.severity(F.col("_top.ms")).alias("severity"), "first_seq",
-                     *([F.col("_all.ms").alias("durations"), F.col("_all.ts").alias("times")] if lists else []))
+                     T.severity(F.col("_top.ms")).alias("severity"), "first_seq")
     return out
 
 
+def durations(called: DataFrame, span: int = 10_000) -> DataFrame:
+    """``full_name, part, ms, times``: the durations and times of an interface in order of arrival, as lists of
+    the calls of ``span`` numbers each, so that a row stays small however often an interface is called."""
+    parts = called.groupBy("full_name", F.floor(F.col("seq") / span).alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "ms", "ts"))).alias("_all"))
+    return parts.select("full_name", "part", F.col("_all.ms").alias("ms"), F.col("_all.ts").alias("times"))
+
+
 def ranked(by_interface: DataFrame, top: int) -> DataFrame:
     """The ``top`` interfaces by maximum, ties by first occurrence, with their rank."""
     best = by_interface.orderBy(F.desc("max_ms"), "first_seq").limit(top)
@@ -64,6 +67,11 @@ def ranked(by_interface: DataFrame, top: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("max_ms"), "first_seq")))
 
 
+def in_groups(by_interface: DataFrame) -> DataFrame:
+    """The interfaces by group name, inside a group by maximum, ties by first occurrence."""
+    return by_interface.orderBy("product_group", F.desc("max_ms"), "first_seq")
+
+
 def by_group(by_interface: DataFrame) -> DataFrame:
     return by_interface.groupBy("product_group").agg(F.count(F.lit(1)).alias("interfaces"), F.sum("calls").alias("calls"), F.max("max_ms").alias("worst_ms"))
 
@@ -72,9 +80,12 @@ def severities(by_interface: DataFrame) -> DataFrame:
     return by_interface.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "mid", "low")])
 
 
-def envelope(messages: DataFrame) -> DataFrame:
-    """Sampled messages and distinct interfaces."""
-    return messages.agg(F.count(F.lit(1)).alias("sampled"), F.countDistinct(T.interface_name(F.col("full_message"))).alias("interfaces"))
+def envelope(messages: DataFrame, total: int | None = None) -> DataFrame:
+    """Messages that the search matched in all (``total``, as the export says; default: the sampled ones),
+    sampled messages and distinct interfaces."""
+    sampled = F.count(F.lit(1))
+    matched = sampled if total is None else F.lit(total).cast("long")
+    return messages.agg(matched.alias("total"), sampled.alias("sampled"), F.countDistinct(T.interface_name(F.col("full_message"))).alias("interfaces"))
 
 
 def slow_ratio(messages: DataFrame, keys: list[str], slow_ms: int = 15000) -> DataFrame:
@@ -86,6 +97,19 @@ def slow_ratio(messages: DataFrame, keys: list[str], slow_ms: int = 15000) -> Da
     return out.withColumn("ratio", ratio).withColumn("band", band)
 
 
+def text_report(by_interface: DataFrame, top: int = 50) -> DataFrame:
+    """``section, line_no, line``: the ranking, the groups and the severities as lines of text."""
+    rank = ranked(by_interface, top).select(F.lit("rank").alias("section"), F.col("rank").alias("line_no"), F.concat_ws(
+        " ", F.concat("rank", F.lit(".")), "short_name", F.concat(T.seconds(F.col("max_ms")), F.lit("s")), F.concat(F.lit("x"), "calls"), "product_group"))
+    groups = by_group(by_interface)
+    # One row per product group, a short fixed list.
+    groups = groups.select(F.lit("group"), F.row_number().over(Window.orderBy("product_group")), F.concat_ws(
+        " ", "product_group", F.concat(F.col("interfaces").cast("string"), F.lit(" interfaces")), F.concat(T.seconds(F.col("worst_ms")), F.lit("s"))))
+    counts = severities(by_interface).select(F.lit("severity"), F.lit(1), F.concat_ws(
+        " ", *[F.concat(F.lit(f"{s}="), F.col(s).cast("string")) for s in ("high", "mid", "low")]))
+    return rank.union(groups).union(counts).toDF("section", "line_no", "line")
+
+
 def report(by_interface: DataFrame, top: int = 20) -> DataFrame:
     """The ranking as lines of a Markdown table: ``line_no, line``."""
     cells = F.array(F.col("rank").cast("string"), "short_name", "product_group", F.col("calls").cast("string"), T.seconds(F.col("max_ms")), "severity")

@@ -27,14 +27,30 @@ def costs(ops: DataFrame, keys: list[str], op: str, ms: str) -> DataFrame:
     return g.withColumn("mean_ms", F.col("cost_ms") / F.col("calls")).withColumn("share", F.col("cost_ms") / total)
 
 
-def repeats(ops: DataFrame, trace: str, op: str, least: int = 3) -> DataFrame:
-    return ops.groupBy(trace, op).agg(F.count(F.lit(1)).alias("calls")).where(F.col("calls") >= least)
+def repeats(ops: DataFrame, trace: str, op: str, least: int = 3, share: float = 0.3) -> DataFrame:
+    """Operations that a trace calls at least ``least`` times, with ``share`` of its calls and whether that is
+    over the given one."""
+    calls = ops.groupBy(trace, op).agg(F.count(F.lit(1)).alias("calls"))
+    part = F.col("calls") / F.sum("calls").over(Window.partitionBy(trace))
+    return calls.withColumn("share", part).withColumn("dominant", F.col("share") > share).where(F.col("calls") >= least)
+
+
+def distribution(logs: DataFrame, trace: str, by: str) -> DataFrame:
+    """``trace, by, rows, share``: how the rows of a trace spread over applications or loggers."""
+    rows = logs.groupBy(trace, by).agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy(trace)))
 
 
 def around(points: DataFrame, logs: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Rows of ``logs`` (``key, ts``) within ``seconds`` of a point (``key, at``) of the same key."""
-    near = F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))) <= seconds * 1_000_000
-    return points.join(logs, key).where(near)
+    """Rows of ``logs`` (``key, ts``) within ``seconds`` of a point (``key, at``) of the same key.
+
+    Both sides meet by key and span of ``seconds``, a point in its own span and the two beside it, so a key
+    with very many rows is worked on in parts.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    span = lambda c: F.floor(micros(c) / (seconds * 1_000_000))
+    p = points.withColumn("_span", F.explode(F.sequence(span("at") - 1, span("at") + 1)))
+    return p.join(logs.withColumn("_span", span("ts")), [key, "_span"]).where(F.abs(micros("ts") - micros("at")) <= seconds * 1_000_000).drop("_span")
 
 
 def terms(df: DataFrame, field: str, most: int) -> DataFrame:
@@ -43,7 +59,10 @@ def terms(df: DataFrame, field: str, most: int) -> DataFrame:
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int, most: int = 1000) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(min(limit, most))
+    """Rows ``offset`` to ``offset + limit`` in an order. A page of more than ``most`` rows is refused."""
+    if limit > most:
+        raise ValueError(f"a page has at most {most} rows, not {limit}")
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def search(df: DataFrame, must: dict[str, str] | None = None, phrase: tuple[str, str] | None = None,

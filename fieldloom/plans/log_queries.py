@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import intervals, slow_calls, traces
@@ -71,15 +71,31 @@ def slow_call_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slow_calls.severities(_stats(spark, sf_dir))
 
 
-@query(CALLS + "SELECT (SELECT count(*) FROM m) AS sampled, count(DISTINCT full_name) AS interfaces FROM c")
+@query(CALLS + "SELECT (SELECT count(*) FROM m) AS total, (SELECT count(*) FROM m) AS sampled, count(DISTINCT full_name) AS interfaces FROM c")
 def slow_call_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slow_calls.envelope(messages(spark, sf_dir))
 
 
-@query(CALLS + """SELECT full_name, list(ms ORDER BY seq)::VARCHAR AS durations FROM c GROUP BY full_name""")
+@query(CALLS + """SELECT full_name, CAST(seq // 1000 AS BIGINT) AS part, '[' || string_agg(ms, ', ' ORDER BY seq) || ']' AS durations, count(t) AS times FROM c GROUP BY 1, 2""")
 def slow_call_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = slow_calls.stats(slow_calls.calls(messages(spark, sf_dir)), ROOT, lists=True)
-    return out.select("full_name", F.concat(F.lit("["), F.array_join(F.col("durations").cast("array<string>"), ", "), F.lit("]")).alias("durations"))
+    out = slow_calls.durations(slow_calls.calls(messages(spark, sf_dir)), 1000)
+    return out.select("full_name", "part", F.concat(F.lit("["), F.array_join(F.col("ms").cast("array<string>"), ", "), F.lit("]")).alias("durations"), F.size("times").cast("long").alias("times"))
+
+
+@query(CALLS + """, r AS (SELECT *, row_number() OVER (ORDER BY max_ms DESC, first_seq) AS k FROM s),
+by_group AS (SELECT product_group, count(*) AS interfaces, max(max_ms) AS worst FROM s GROUP BY 1)
+SELECT 'rank' AS section, CAST(k AS INTEGER) AS line_no, concat(k, '. ', short_name, ' ', printf('%.1f', max_ms / 1000.0), 's x', calls, ' ', product_group) AS line FROM r WHERE k <= 50
+UNION ALL SELECT 'group', CAST(row_number() OVER (ORDER BY product_group) AS INTEGER), concat(product_group, ' ', interfaces, ' interfaces ', printf('%.1f', worst / 1000.0), 's') FROM by_group
+UNION ALL SELECT 'severity', 1, concat('high=', count(*) FILTER (severity = 'high'), ' mid=', count(*) FILTER (severity = 'mid'), ' low=', count(*) FILTER (severity = 'low')) FROM s""")
+def slow_call_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slow_calls.text_report(_stats(spark, sf_dir))
+
+
+@query(CALLS + "SELECT product_group, full_name, CAST(row_number() OVER (PARTITION BY product_group ORDER BY max_ms DESC, first_seq) AS INTEGER) AS place FROM s")
+def slow_calls_in_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = slow_calls.in_groups(_stats(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("product_group").orderBy(F.desc("max_ms"), "first_seq"))
+    return ordered.select("product_group", "full_name", place.alias("place"))
 
 
 @query(f"""
@@ -124,7 +140,13 @@ def operation_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.costs(_ops(spark, sf_dir), ["user_id"], "op", "ms")
 
 
-@query(_OPS_SQL + "SELECT user_id, op, count(*) AS calls FROM o GROUP BY 1, 2 HAVING count(*) >= 3")
+@query("SELECT user_id, event_type, count(*) AS rows, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS share FROM events GROUP BY 1, 2")
+def trace_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.distribution(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query(_OPS_SQL + """, g AS (SELECT user_id, op, count(*) AS calls, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS share FROM o GROUP BY 1, 2)
+SELECT *, share > 0.3 AS dominant FROM g WHERE calls >= 3""")
 def operation_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.repeats(_ops(spark, sf_dir), "user_id", "op")
 

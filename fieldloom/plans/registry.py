@@ -17,4 +17,4 @@ def query(sql: str):
     return add
 
 
-from fieldloom.plans import catalogue_queries, keyed_queries, log_queries, run_queries, text_queries  # noqa: E402, F401
+from fieldloom.plans import catalogue_queries, context_queries, keyed_queries, log_queries, run_queries, text_queries  # noqa: E402, F401

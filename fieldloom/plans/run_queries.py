@@ -111,22 +111,22 @@ def ownership_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH i AS (SELECT p_brand, p_name AS name, CAST(p_partkey % 97 AS DOUBLE) AS xcol, CAST(p_size AS DOUBLE) * 0.75 + p_partkey * 0.001 AS yrow, p_partkey FROM part),
-j AS (SELECT *, CASE WHEN yrow - lag(yrow) OVER w > 0.5 THEN 1 ELSE 0 END AS jump FROM i WINDOW w AS (PARTITION BY p_brand ORDER BY yrow, xcol, name)),
-k AS (SELECT *, CAST(sum(jump) OVER (PARTITION BY p_brand ORDER BY yrow, xcol, name ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM j)
-SELECT p_partkey, line, lead(xcol) OVER (PARTITION BY p_brand, line ORDER BY xcol, name) - xcol AS gap FROM k""")
+j AS (SELECT *, CASE WHEN yrow - lag(yrow) OVER w > 0.5 THEN 1 ELSE 0 END AS jump FROM i WINDOW w AS (PARTITION BY p_brand ORDER BY yrow, xcol, p_partkey)),
+k AS (SELECT *, CAST(sum(jump) OVER (PARTITION BY p_brand ORDER BY yrow, xcol, p_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line FROM j)
+SELECT p_partkey, line, lead(xcol) OVER (PARTITION BY p_brand, line ORDER BY xcol, p_partkey) - xcol AS gap FROM k""")
 def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "part").select("p_brand", F.col("p_name").alias("name"), (F.col("p_partkey") % 97).cast("double").alias("xcol"),
                                                 (F.col("p_size").cast("double") * 0.75 + F.col("p_partkey") * 0.001).alias("yrow"), "p_partkey")
-    return intervals.layout_rows(items, ["p_brand"], 0.5).select("p_partkey", "line", "gap")
+    return intervals.layout_rows(items, ["p_brand"], "p_partkey", 0.5).select("p_partkey", "line", "gap")
 
 
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS name, p_partkey // 3 AS depends_on FROM part WHERE p_partkey // 3 > 0 UNION SELECT p_partkey, p_partkey // 5 FROM part WHERE p_partkey // 5 > 0),
-r AS (SELECT p_partkey AS start, p_partkey AS name, 0 AS depth FROM part WHERE p_size = 1 UNION SELECT start, depends_on, depth + 1 FROM r JOIN e USING (name))
+r AS (SELECT p_partkey AS start, p_partkey AS name, 0 AS depth FROM part UNION SELECT start, depends_on, depth + 1 FROM r JOIN e USING (name))
 SELECT start, name, min(depth) AS depth FROM r GROUP BY 1, 2""")
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     edges = _edges(p)
-    return graph.closure(edges, p.where("p_size = 1").select(F.col("p_partkey").alias("name")))
+    return graph.closure(edges, p.select(F.col("p_partkey").alias("name")))
 
 
 def _edges(p):

@@ -59,12 +59,12 @@ LOG_EXPORT = f"total_results long, messages array<struct<{_MESSAGE},message:stru
 
 
 def log_export(spark: SparkSession, path: str) -> DataFrame:
-    """``seq, full_message, timestamp, traceId`` of a JSON export, whose messages may be nested
-    under ``message``; ``seq`` is their order in the file."""
+    """``seq, full_message, timestamp, traceId, total_results`` of a JSON export, whose messages may be nested
+    under ``message``; ``seq`` is their order in the file, ``total_results`` what the search matched in all."""
     raw = spark.read.option("multiLine", True).schema(LOG_EXPORT).json(path)
-    m = raw.select(F.posexplode("messages").alias("seq", "m"))
+    m = raw.select("total_results", F.posexplode("messages").alias("seq", "m"))
     pick = lambda c: F.coalesce(f"m.{c}", f"m.message.{c}").alias(c)
-    return m.select("seq", pick("full_message"), pick("timestamp"), pick("traceId"))
+    return m.select("seq", pick("full_message"), pick("timestamp"), pick("traceId"), "total_results")
 
 
 def feedback_entries(df: DataFrame, column: str = "json") -> DataFrame:

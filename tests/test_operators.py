@@ -1,10 +1,11 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text as T
-from fieldloom.operators import encodings, graph, intervals, keyed, manifest, slow_calls
+from fieldloom.operators import encodings, graph, intervals, keyed, manifest, slow_calls, traces, updates
 from fieldloom.sources import texts
 
 
@@ -91,16 +92,55 @@ def test_manifest(spark):
     attempts = spark.createDataFrame([("r", "explorer", 1, "failed", t(0), t(1)), ("r", "explorer", 3, "suspended", t(0), t(2))],
                                      "run_id string, stage string, attempt int, status string, started timestamp, completed timestamp")
     assert len(manifest.attempt_issues(stages, attempts).collect()) == 3
-    actions = spark.createDataFrame([("r", "deploy", "pending", "", True, False, True)], "run_id string, type string, state string, scope string, `write` boolean, authorized boolean, terminal boolean")
-    assert len(manifest.action_issues(actions).collect()) == 3
-    scopes = spark.createDataFrame([("r", ["a", "b"], ["b", "c"])], "run_id string, wanted array<string>, checked array<string>")
-    assert {r.subject for r in manifest.scope_issues(scopes).collect()} == {"a", "c"}
+    actions = spark.createDataFrame(
+        [("r", "1.2", "deploy", "running", "", "business-code-deploy", True, False, True, True, False), ("r", "1.0", "old", None, None, None, True, True, True, None, None),
+         ("r", "1.2", "done", "completed", "x", "business-code-deploy", True, True, True, True, True), ("r", "1.2", "early", "planned", None, None, False, None, None, False, True)],
+        "run_id string, version string, type string, state string, scope string, category string, `write` boolean, authorized boolean, run_authorized boolean, terminal boolean, ready boolean")
+    assert sorted((r.subject, r.message) for r in manifest.action_issues(actions).collect()) == [
+        ("deploy", "state and terminal flag differ"), ("deploy", "write is not authorised"), ("deploy", "write without scope"), ("early", "ready before the action ended")]
+    scopes = spark.createDataFrame([("r", ["a", "b"], t(3), t(2))], "run_id string, checked array<string>, mutated timestamp, verified timestamp")
+    assert {r.subject for r in manifest.scope_issues(scopes, ["b", "c"]).collect()} == {"a", "c", "mutated"}
+    history = spark.createDataFrame([("r", [("serial", "t", "why"), ("multi-agent", None, "why")])], "run_id string, mode_history array<struct<mode:string,selected_at:string,reason:string>>")
+    assert [r.message for r in manifest.run_issues(runs.join(history, "run_id")).collect() if r.rule == "J2"] == ["multi-agent was not chosen at the start", "entry is incomplete"]
+    named = stages.withColumn("report", F.lit("10-explorer.md")).withColumn("timing_reason", F.when(F.col("name") == "verifier", "late"))
+    assert {(r.rule, r.subject) for r in manifest.stage_issues(runs, named).collect()} == {("J5", "summary"), ("J6", "verifier")} | {("J5", s) for s in manifest.STAGES[1:-1]}
+    owned = spark.createDataFrame([("r", "a", "s", "p"), ("r", "b", "s", "p"), ("r", None, "s", "q"), ("r", "a", "s", " ")], "run_id string, actor string, stage string, path string")
+    assert {r.message for r in manifest.ownership_issues(owned).collect()} == {"owned by several actors", "entry is incomplete", "path is empty"}
+    capabilities = spark.createDataFrame([("r", "x", "degraded", "p", "r"), ("r", "y", "odd", "p", None)], "run_id string, name string, state string, probe string, result string")
+    assert {(r.subject, r.message) for r in manifest.capability_issues(capabilities).collect()} == {("y", "entry is incomplete"), ("y", "unknown state")}
     reports = spark.createDataFrame([("r", "x.md", "A" * 300)], "run_id string, name string, content string")
     assert [r.message for r in manifest.redaction_issues(reports).collect()] == ["contains prohibited long Base64 payload"]
-    failures = spark.createDataFrame([("r", "s", 2, False), ("r", "t", None, False), ("r", "u", None, True)], "run_id string, signature string, retries int, historical boolean")
+    failures = spark.createDataFrame([("r", "s", "payload-compilation", 2, False, ""), ("r", "t", "net", None, False, "x"), ("r", "u", "net", None, True, "lost"), ("r", "v", "net", 5, False, "")],
+                                     "run_id string, signature string, category string, retries int, historical boolean, unknown_reason string")
+    failures = failures.withColumns({"fallback": F.lit("f"), "result": F.lit("r"), "retrospective": F.lit(True)})
     assert {r.subject for r in manifest.failure_issues(failures).collect()} == {"s", "t"}
 
 
+def test_deep_graph_and_order(spark):
+    """Chains deeper than a hundred levels, and the order in which what a name needs is removed."""
+    chain = spark.range(0, 103).select(F.col("id").alias("name"), (F.col("id") + 1).alias("depends_on"))
+    assert graph.closure(chain, spark.createDataFrame([(0,)], "name long")).agg(F.max("depth")).first()[0] == 103
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("a", "p"), ("p", "q"), ("q", "p")], "name string, depends_on string")
+    assert {(r.name, r.level, r.in_cycle) for r in graph.removal_order(e, "a").collect()} == {("c", 0, False), ("b", 1, False), ("p", None, True), ("q", None, True)}
+
+
+def test_page_is_refused_beyond_its_size(spark):
+    with pytest.raises(ValueError, match="1000"):
+        traces.page(spark.range(3), ["id"], 0, 1001)
+
+
+def test_updates(spark):
+    r = spark.createDataFrame([("p", "t", "config-created"), ("p", "t", "ok"), ("q", "t", None)], "plugin string, target string, status string")
+    assert [(x.plugin, x.created, x.missing) for x in updates.config_notes(r).collect()] == [("p", 1, 0)]
+    counts, todo = updates.status_summary(r, ["config-created"])
+    assert {(x.status, x.n) for x in counts.collect()} == {(None, 1), ("config-created", 1), ("ok", 1)} and todo.count() == 1
+    assert [tuple(x) for x in updates.profile_table(spark.createDataFrame([("b", None), ("a", " ")], "name string, v string"), ["name", "v"]).collect()] == [("a", "-"), ("b", "-")]
+    files = spark.createDataFrame([("t", "b.js", "web", "b"), ("t", "a.cls", "class", "a")], "target string, path string, kind string, name string")
+    assert json.loads(updates.deploy_manifest(files).first().json)["files"][0]["path"] == "a.cls"
+    written = spark.createDataFrame([(1, "insert"), (2, "skip")], "id int, action string")
+    assert [x.id for x in updates.rollback_keys(written, ["id"]).collect()] == [1]
+
+
 def test_diff_order_of_classes(spark):
     s = spark.createDataFrame([(1, "a"), (2, ""), (3, "x"), (5, None)], "k int, text string")
     l = spark.createDataFrame([(1, "a"), (2, "b"), (3, "y"), (4, "z")], "k int, text string")
