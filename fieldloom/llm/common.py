@@ -37,10 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and gives real sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/fieldloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Steps(df.sparkSession).keep(df)
+
+
+class Steps:
+    """Frames written to the shared folder and read back, and removed when later steps are written too."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/fieldloom"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove frames that nothing reads any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for f in frames:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(f))[1])
+            path.getFileSystem(conf).delete(path, True)
 
 
 def portions(batches: Iterator[pa.RecordBatch], text: str, size: int = PORTION) -> Iterator[pa.RecordBatch]:
@@ -54,6 +73,18 @@ def portions(batches: Iterator[pa.RecordBatch], text: str, size: int = PORTION)
                 yield b.slice(i, j - i)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that no column of ``df`` has it."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
 def unit_hash(*cols) -> "F.Column":
     """A uniform double in [0, 1): the first 52 bits of an MD5, equal in any engine."""
     digest = F.substring(F.md5(F.concat_ws("|", *cols)), 1, 13)
@@ -66,8 +97,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, ho
     A key with any share of the left rows is spread over ``salts`` partitions. ``right`` is
     small beside ``left`` (one row per key), so repeating it is cheap.
     """
-    names = left.columns
-    row = F.pmod(F.xxhash64(*[F.col(c) for c in names if c != key][:1] or [F.rand(7)]), F.lit(salts)).cast("int")
-    a = left.withColumn("_salt", row)
-    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [key, "_salt"], how).drop("_salt")
+    salt, = fresh(left.select(*left.columns, *[F.lit(0).alias(c) for c in right.columns]), "_salt")
+    hashed = [F.col(f.name) for f in left.schema.fields if f.name != key and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    row = F.pmod(F.xxhash64(*hashed or [F.rand(7)]), F.lit(salts)).cast("int")
+    a = left.withColumn(salt, row)
+    b = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [key, salt], how).drop(salt)
