@@ -1,10 +1,11 @@
 """PII pseudonyms that keep their format, with DataFrame expressions only.
 
-Personal values are found by one pattern and validated (check digits, octets, calendar dates).
-Each is replaced by a keyed permutation of itself within its format: a Feistel network over its
-letters and digits, in which every round shifts one half's characters, within their own
-alphabets, by a keyed hash of the other half. Equal values get equal pseudonyms everywhere,
-whatever separators they are written with; different values of a kind stay different.
+Personal values are found by one pattern, which also tells the kind of each, and validated (check
+digits, octets, calendar dates). Each is replaced by a keyed permutation of itself within its
+format: a Feistel network over its letters and digits, in which every round shifts one half's
+characters, within their own alphabets, by a keyed hash of the other half. Equal values get equal
+pseudonyms everywhere, cards, accounts and phones whatever separators they are written with;
+different values of a kind stay different.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import table
+from fieldloom.llm.common import fresh, table
 
 ROUNDS = 8
 #: What can be personal, in the order in which it is tried.
@@ -22,21 +23,29 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
-    "secret": r"(?<=\b(?:password|passwd|token|secret|api_key|apikey) ?[=:] ?[\"']?)[A-Za-z0-9_/+-]{8,128}",
+    "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
+    "secret": r"(?<=\b(?:password|passwd|token|secret|api_key|apikey) ?[=:] ?[\"']?)[A-Za-z0-9_/+-]{8,}+",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[A-Za-z0-9])",
-    "date": r"(?<![A-Za-z0-9./-])(?:[12][0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]{2}([/.])[0-9]{2}\1[12][0-9]{3})(?![A-Za-z0-9])(?![./-][0-9])",
+    "date": r"(?<![A-Za-z0-9./-])(?:[12][0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?<sep>[/.])[0-9]{2}\k<sep>[12][0-9]{3})(?![A-Za-z0-9])(?![./-][0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![A-Za-z0-9])"
              r"|(?<![A-Za-z0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![A-Za-z0-9])",
-    "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
+    # as cards are written: without separators, in fours (and perhaps a shorter rest), or as 4-6-5 and 4-6-4
+    "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![A-Za-z0-9])",
 }
-ANY = "|".join(PATTERNS.values())
+KINDS = list(PATTERNS)
+ANY = "|".join(f"(?<{kind}>{p})" for kind, p in PATTERNS.items())
 #: Texts without any of this hold nothing that the patterns find.
 HINT = r"[0-9@]|AKIA|(?:password|passwd|token|secret|api_key|apikey) ?[=:]"
-#: Dates move within FIRST_DAY and the SIDE * SIDE - 1 days after it (to 2099-08-05).
-FIRST_DAY, SIDE = "1900-01-01", 270
+#: Around a found value, between the kinds' places in it, and what escapes these three in a text.
+EDGE, PLACE, ESCAPE = "\x01", "\x02", "\x03"
+ESCAPES = {ESCAPE: "\x04", EDGE: "\x05", PLACE: "\x06"}
+TAGGED = EDGE + PLACE.join(f"${{{kind}}}" for kind in KINDS) + EDGE
+#: All dates that the patterns can find, from FIRST_DAY to LAST_DAY: DAYS of them. LATE of them have a day
+#: of the month above 12. Both numbers are products, so pairs of numbers stand for the dates exactly.
+FIRST_DAY, LAST_DAY = "1000-01-01", "2999-12-31"
+DAYS, LATE = (945, 773), (45, 9833)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -117,94 +126,134 @@ def _iban_check(country: Column, account: Column) -> Column:
     return F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
 
 
-def _pair(key: str, kind: str, high: Column, low: Column, side: int) -> Column:
-    """A keyed permutation of the pairs of numbers below ``side``."""
+def _pair(key: str, kind: str, number: Column, sides: tuple[int, int]) -> Column:
+    """A keyed permutation of the numbers below the product of ``sides``, as pairs of digits."""
     def one_round(acc: Column, r: Column) -> Column:
-        high_next = F.pmod(acc["high"] + _noise(_digest(key, kind, r, acc["low"].cast("string")), F.lit(0)), F.lit(side))
-        low_next = F.pmod(acc["low"] + _noise(_digest(key, kind, r, acc["high"].cast("string")), F.lit(0)), F.lit(side))
+        high_next = F.pmod(acc["high"] + _noise(_digest(key, kind, r, acc["low"].cast("string")), F.lit(0)), F.lit(sides[0]))
+        low_next = F.pmod(acc["low"] + _noise(_digest(key, kind, r, acc["high"].cast("string")), F.lit(0)), F.lit(sides[1]))
         even = r % 2 == 0
         return F.struct(F.when(even, high_next).otherwise(acc["high"]).alias("high"), F.when(even, acc["low"]).otherwise(low_next).alias("low"))
 
-    start = F.struct(high.cast("int").alias("high"), low.cast("int").alias("low"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one_round)
+    start = F.struct(F.floor(number / sides[1]).cast("int").alias("high"), F.pmod(number, F.lit(sides[1])).cast("int").alias("low"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, one_round, lambda acc: acc["high"].cast("long") * sides[1] + acc["low"])
+
+
+def _late_day(number: Column) -> Column:
+    """The ``number``-th date with a day of the month above 12: twelve days of each month are skipped."""
+    def date(month: Column) -> Column:
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), (number + 12 * (month + 1)).cast("int"))
+
+    near = F.floor(number / (LATE[0] * LATE[1] / 24_000)).cast("int")
+    months = F.sequence(F.greatest(near - 2, F.lit(0)), near + 2)
+    fits = F.filter(months, lambda m: ((F.year(date(m)) - 1000) * 12 + F.month(date(m)) - 1 == m) & (F.dayofmonth(date(m)) > 12))
+    return date(F.get(fits, F.lit(0)))
 
 
 def _date(value: Column, key: str) -> Column:
+    """The date moved among all dates. Written by numbers with the year last, it is read day first if it
+    can be; those that can only be month first move among themselves, so no two dates meet."""
     iso = value.substr(5, 1) == "-"
     sep = value.substr(3, 1)
-    year_first = F.to_date(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")))
     dotted = F.translate(value, ".", "/")
-    day_first = F.to_date(F.try_to_timestamp(dotted, F.lit("dd/MM/yyyy")))
+    day = F.to_date(F.try_to_timestamp(F.when(iso, value).otherwise(dotted), F.when(iso, F.lit("yyyy-MM-dd")).otherwise(F.lit("dd/MM/yyyy"))))
     month_first = F.to_date(F.try_to_timestamp(dotted, F.lit("MM/dd/yyyy")))
-    day = F.when(iso, year_first).otherwise(F.coalesce(day_first, month_first))
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    moved = _pair(key, "date", F.floor(number / SIDE), F.pmod(number, F.lit(SIDE)), SIDE)
-    to = _let(moved, lambda m: F.date_add(F.lit(FIRST_DAY).cast("date"), m["high"] * SIDE + m["low"]))
+    first = F.lit(FIRST_DAY).cast("date")
 
-    def out(to: Column) -> Column:
-        return F.when(iso, F.date_format(to, "yyyy-MM-dd")).when(
-            day_first.isNotNull(), F.concat(F.date_format(to, "dd"), sep, F.date_format(to, "MM"), sep, F.date_format(to, "yyyy"))).otherwise(
-            F.concat(F.date_format(to, "MM"), sep, F.date_format(to, "dd"), sep, F.date_format(to, "yyyy")))
+    def written(to: Column, one: str, two: str) -> Column:
+        return _let(to, lambda t: F.when(iso, F.date_format(t, "yyyy-MM-dd")).otherwise(
+            F.concat(F.date_format(t, one), sep, F.date_format(t, two), sep, F.date_format(t, "yyyy"))))
 
-    return F.when(number.between(0, SIDE * SIDE - 1), _let(to, out)).otherwise(value)
+    moved = F.date_add(first, _pair(key, "date", F.datediff(day, first), DAYS).cast("int"))
+    late = F.datediff(month_first, first) - 12 * ((F.year(month_first) - 1000) * 12 + F.month(month_first))
+    moved_late = _let(_pair(key, "late", late, LATE), _late_day)
+    return (F.when(day.isNotNull(), written(moved, "dd", "MM"))
+            .when(~iso & month_first.isNotNull(), written(moved_late, "MM", "dd")).otherwise(value))
 
 
 def _ip(value: Column, key: str) -> Column:
-    o = [F.substring_index(F.substring_index(value, ".", n), ".", -1).cast("int") for n in (1, 2, 3, 4)]
-    moved = _pair(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536)
-    return _let(moved, lambda m: F.concat_ws(".", *[x.cast("string") for half in ("high", "low") for x in (
-        F.floor(m[half] / 256).cast("int"), F.pmod(m[half], F.lit(256)))]))
+    o = [F.substring_index(F.substring_index(value, ".", n), ".", -1).cast("long") for n in (1, 2, 3, 4)]
+    moved = _pair(key, "ip", ((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], (65536, 65536))
+    return _let(moved, lambda m: F.concat_ws(".", *[F.pmod(F.shiftright(m, by), F.lit(256)).cast("string") for by in (24, 16, 8, 0)]))
+
+
+def _valid_part(value: Column, valid: Callable[[Column], Column], use: Callable[[Column], Column]) -> Column:
+    """``use`` of the longest beginning of ``value``, cut at separators, that is ``valid``, and the rest as
+    it is; all as it is where none is. A card may stand before its expiry date, an account before a word."""
+    ends = F.filter(F.sequence(F.length(value), F.lit(1), F.lit(-1)), lambda i: F.substr(value, i + 1, F.lit(1)).isin("", " ", "-"))
+    fits = F.filter(ends, lambda i: valid(_bare(F.substr(value, F.lit(1), i))))
+    return _let(F.get(fits, F.lit(0)), lambda i: F.when(i.isNull(), value).otherwise(F.concat(use(F.substr(value, F.lit(1), i)), F.substr(value, i + 1))))
 
 
-def _whole(kind: str) -> str:
-    """The pattern of a kind for a whole value, without what it asks of the surroundings."""
-    import re
+def _card(value: Column, key: str) -> Column:
+    def body(bare: Column) -> Column:
+        return F.substr(bare, F.lit(1), F.length(bare) - 1)
 
-    p = re.sub(r"\(\?<?[!=](?:[^()\[\]]|\[[^\]]*\]|\((?:[^()\[\]]|\[[^\]]*\])*\))*\)", "", PATTERNS[kind])
-    return f"^(?:{p})$"
+    return _valid_part(value, lambda b: (F.length(b) >= 13) & (_luhn(body(b)) == F.substr(b, F.length(b), F.lit(1))),
+                       lambda v: _refill(v, _let(feistel(body(_bare(v)), key, "card"), lambda x: F.concat(x, _luhn(x)))))
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one found value; the value itself where it does not validate."""
-    bare = _bare(value)
-    at = F.instr(value, "@")
-    local = F.substring_index(value, "@", 1)
-    body = F.substr(bare, F.lit(1), F.length(bare) - 1)
-    country, account = F.substr(bare, F.lit(1), F.lit(2)), F.substr(bare, F.lit(5))
+def _iban(value: Column, key: str) -> Column:
+    def new(v: Column) -> Column:
+        country = F.substr(v, F.lit(1), F.lit(2))
+        return _refill(v, _let(feistel(F.substr(_bare(v), F.lit(5)), key, "iban"), lambda x: F.concat(country, _iban_check(country, x), x)))
+
+    return _valid_part(value, lambda b: (F.length(b) >= 12) & (_mod97(F.concat(F.substr(b, F.lit(5)), F.substr(b, F.lit(1), F.lit(4)))) == 1), new)
+
+
+def _phone(value: Column, key: str) -> Column:
     code = F.when(value.startswith("+"), F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[^0-9])", 0)).otherwise("")
-    number = F.substr(value, F.length(code) + 1)
-    return (F.when(at > 0, F.concat(_refill(local, feistel(_bare(local), key, "email")), F.substr(value, at)))
-            .when(value.rlike(_whole("key")), F.concat(F.lit("AKIA"), feistel(F.substr(value, F.lit(5)), key, "key")))
-            .when(value.rlike(_whole("hex")), feistel(value, key, "hex", "0123456789abcdef"))
-            .when(value.rlike(_whole("ip")), _ip(value, key))
-            .when(value.rlike(_whole("date")), _date(value, key))
-            .when(value.rlike(_whole("ssn")), _refill(value, feistel(bare, key, "ssn")))
-            .when(value.rlike(_whole("iban")) & (_mod97(F.concat(account, F.substr(bare, F.lit(1), F.lit(4)))) == 1),
-                  _refill(value, _let(feistel(account, key, "iban"), lambda x: F.concat(country, _iban_check(country, x), x))))
-            .when(value.rlike(_whole("phone")), F.concat(code, _refill(number, feistel(_bare(number), key, "phone"))))
-            .when(value.rlike(_whole("card")), F.when(_luhn(body) == F.substr(bare, F.length(bare), F.lit(1)),
-                                                      _refill(value, _let(feistel(body, key, "card"), lambda x: F.concat(x, _luhn(x))))).otherwise(value))
-            .when(value.rlike(r"^[A-Za-z0-9_/+-]{8,128}$"), _refill(value, feistel(bare, key, "secret")))
-            .otherwise(value))
+    return _let(code, lambda c: F.concat(c, _let(F.substr(value, F.length(c) + 1), lambda n: _refill(n, feistel(_bare(n), key, "phone")))))
+
+
+def pseudonym(value: Column, kind: str, key: str) -> Column:
+    """The pseudonym of a value of a kind; the value itself where it does not validate."""
+    if kind == "email":
+        return F.concat(feistel(F.substring_index(value, "@", 1), key, "email"), F.lit("@"), F.substring_index(value, "@", -1))
+    if kind == "key":
+        return F.concat(F.lit("AKIA"), feistel(F.substr(value, F.lit(5)), key, "key"))
+    if kind == "hex":
+        return feistel(value, key, "hex", "0123456789abcdef")
+    if kind == "secret":
+        return feistel(value, key, "secret")
+    if kind == "ssn":
+        return _refill(value, feistel(_bare(value), key, "ssn"))
+    return {"ip": _ip, "date": _date, "iban": _iban, "phone": _phone, "card": _card}[kind](value, key)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Columns of ``docs`` with ``text`` pseudonymised, and ``n_found, n_replaced int``.
 
-    Null text stays null with counts 0; empty and very long texts are treated whole. Numbers
-    whose check digits fail and impossible dates stay. Repeated rows get equal results; columns
-    named ``n_found`` or ``n_replaced`` are replaced. An empty table gives an empty result.
-    Nothing is shuffled.
+    Null text stays null with counts 0; empty and very long texts are treated whole, and so are values
+    of any length. Numbers whose check digits fail and impossible dates stay. Repeated rows get equal
+    results; columns named ``n_found`` or ``n_replaced`` are replaced, others come back as they were. An empty
+    table gives an empty result. Nothing is shuffled.
     """
-    hinted = F.col(text).rlike(HINT)
-    none = F.array().cast("array<string>")
-    out = docs.drop("n_found", "n_replaced").withColumn("_found", F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
-    out = out.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key)))
-    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
-    names = docs.drop("n_found", "n_replaced").columns
-    return out.select(*[F.when(F.size("_found") > 0, joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in names],
-                      F.greatest(F.size("_found"), F.lit(0)).alias("n_found"), F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).alias("n_replaced"))
+    docs = docs.drop("n_found", "n_replaced")
+    found, new = fresh(docs, "found", "new")
+    plain = F.col(text)
+    for sign, code in ESCAPES.items():
+        plain = F.replace(plain, F.lit(sign), F.lit(ESCAPE + code))
+    # Every value goes between two edges, in its kind's place: text, value, text, value, ..., text.
+    out = docs.withColumn(found, F.when(F.col(text).rlike(HINT), F.split(F.regexp_replace(plain, ANY, TAGGED), EDGE, -1)))
+
+    def replaced(value: Column) -> Column:
+        def by_kind(places: Column) -> Column:
+            result = None
+            for i, kind in enumerate(KINDS):
+                chosen = pseudonym(places[i], kind, key)
+                result = F.when(places[i] != "", chosen) if result is None else result.when(places[i] != "", chosen)
+            return result
+
+        return _let(F.split(value, PLACE, -1), by_kind)
+
+    out = out.withColumn(new, F.transform(found, lambda v, i: F.when(i % 2 == 0, v).otherwise(replaced(v))))
+    joined = F.array_join(new, "")
+    for sign, code in reversed(ESCAPES.items()):
+        joined = F.replace(joined, F.lit(ESCAPE + code), F.lit(sign))
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: F.translate(a, PLACE, "") != b), lambda x: x))
+    some = F.size(found) > 1
+    return out.select(*[F.when(some, joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
+                      F.when(some, F.floor(F.size(found) / 2)).otherwise(0).cast("int").alias("n_found"), F.when(some, changed).otherwise(0).cast("int").alias("n_replaced"))
 
 
 #: The queries' key; a real run passes its own.
