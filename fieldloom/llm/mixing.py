@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import salted_join, table, unit_hash
+from fieldloom.llm.common import fresh, salted_join, table, unit_hash
 
 #: Rates of at most so many sources are sent to every task; more are joined with salted keys.
 BROADCAST_SOURCES = 10_000
@@ -23,26 +23,26 @@ MAX_COPIES = 128
 
 def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None,
           temperature: float = 0.5, total: int | None = None) -> DataFrame:
-    """One row per source: ``_source, n_docs, rate``.
+    """One row per source: ``source, n_docs, rate``.
 
     ``weights`` are target shares (any scale; sources not named get 0). Without them the target
     share is ``n_docs ** temperature``. ``total`` is the wanted number of rows (default: as many
     as there are). A null source is a source of its own,
     named ''. Counts cover all documents; partial sums make a hot source cheap.
     """
-    sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("_source")).agg(F.count(F.lit(1)).alias("n_docs"))
+    sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
     if weights is None:
         raw = F.pow(F.col("n_docs").cast("double"), F.lit(float(temperature)))
     else:
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        raw = F.coalesce(F.create_map(*pairs)[F.col("_source")], F.lit(0.0)) if pairs else F.lit(0.0)
+        raw = F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0.0)) if pairs else F.lit(0.0)
     # Integer weights add up exactly, in any order.
     sizes = sizes.withColumn("_w", F.round(raw * 1e6).cast("long"))
     sums = sizes.agg(F.sum("_w").alias("_sw"), F.sum("n_docs").alias("_sn"))
     want = F.lit(total).cast("double") if total is not None else F.col("_sn").cast("double")
     rate = want * F.col("_w").cast("double") / F.greatest(F.col("_sw"), F.lit(1)).cast("double") / F.col("n_docs").cast("double")
     # One row of sums: a broadcast of fixed size.
-    return sizes.join(F.broadcast(sums)).select("_source", "n_docs", rate.alias("rate"))
+    return sizes.join(F.broadcast(sums)).select("source", "n_docs", rate.alias("rate"))
 
 
 def _cdf(rate) -> "F.Column":
@@ -56,37 +56,41 @@ def _cdf(rate) -> "F.Column":
     return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_COPIES - 1)), start, step, lambda acc: acc["all"])
 
 
-def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", weights: dict[str, float] | None = None,
+def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", weights: dict[str, float] | None = None,
         temperature: float = 0.5, total: int | None = None, seed: int = 7) -> DataFrame:
     """All columns of ``docs`` plus ``mix_rate double, mix_copies int, mix_copy int, mix_order string``.
 
     A document with count 0 is absent; one with count n appears n times (``mix_copy`` 1..n).
     Rows are dealt over partitions by ``mix_order`` and sorted by it inside each, which is a
-    global shuffle. Rows with a null ``key`` draw as the text 'null'; repeated rows draw alike.
-    An empty table gives an empty result. ``docs`` must not have columns named ``mix_*``
-    (they are replaced).
+    global shuffle. A row draws by its ``key`` and ``text`` (null marked apart), so rows without a key
+    draw for themselves; only rows that repeat both draw alike. An empty table gives an empty result.
+    Columns of ``docs`` named ``mix_rate``, ``mix_copies``, ``mix_copy`` or ``mix_order`` are replaced, others
+    come back as they were.
     """
     docs = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_order")
-    parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    src, cdf, parts, rate, ident = fresh(docs, "source", "cdf", "parts", "mix_rate", "ident")
+    n_parts = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
     r = rates(docs, source, weights, temperature, total).select(
-        "_source", F.col("rate").alias("mix_rate"), parts.alias("_parts"), _cdf(F.col("rate") / parts).alias("_cdf"))
+        F.col("source").alias(src), F.col("rate").alias(rate), n_parts.alias(parts), _cdf(F.col("rate") / n_parts).alias(cdf))
     few = r.limit(BROADCAST_SOURCES + 1).collect()
-    keyed = docs.withColumn("_source", F.coalesce(F.col(source), F.lit("")))
+    who = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit("|"), F.coalesce(F.md5(F.col(text)), F.lit("null")))
+    keyed = docs.withColumn(src, F.coalesce(F.col(source), F.lit(""))).withColumn(ident, who)
     if len(few) <= BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(docs.sparkSession.createDataFrame(few, r.schema)), "_source", "left")
+        joined = keyed.join(F.broadcast(docs.sparkSession.createDataFrame(few, r.schema)), src, "left")
     else:
-        joined = salted_join(keyed, r, "_source")
-    ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    u = unit_hash(F.lit(str(seed)), ident)
-    copies = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+        joined = salted_join(keyed, r, src)
+
+    def draw(u):
+        return F.size(F.filter(cdf, lambda c: c <= u))
+
     # A sum of Poisson draws is a Poisson draw at the sum of the rates. The first part draws as an undivided rate does.
-    draws = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda part: unit_hash(F.lit(str(seed)), ident, part.cast("string")))
-    more = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_cdf", lambda c: c <= u)))
-    copies = F.when(F.col("_parts") > 1, copies + more).otherwise(copies)
-    out = (joined.withColumn("_u", u).withColumn("mix_copies", copies).drop("_source", "_cdf", "_parts", "_u")
-           .where("mix_copies > 0")
-           .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-           .withColumn("mix_order", F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), ident, F.col("mix_copy").cast("string")))))
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts) - 1), lambda part: unit_hash(F.lit(str(seed)), F.col(ident), part.cast("string")))
+    first = F.transform(F.array(unit_hash(F.lit(str(seed)), F.col(ident))), draw)[0]
+    copies = F.when(F.col(parts) > 1, first + F.aggregate(draws, F.lit(0), lambda n, u: n + draw(u))).otherwise(first)
+    order = F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), F.col(ident), F.col("mix_copy").cast("string")))
+    out = (joined.withColumn("mix_copies", copies).where("mix_copies > 0")
+           .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).withColumn("mix_order", order)
+           .select(*[F.col(c) for c in docs.columns], F.col(rate).alias("mix_rate"), "mix_copies", "mix_copy", "mix_order"))
     return out.repartition("mix_order").sortWithinPartitions("mix_order")
 
 
@@ -101,21 +105,20 @@ WITH RECURSIVE sizes AS (
   FROM documents GROUP BY 1),
 sums AS (SELECT sum(w) AS sw, sum(n) AS sn FROM sizes),
 r AS (
-  SELECT s, least(CAST(sn AS DOUBLE) * CAST(w AS DOUBLE) / CAST(sw AS DOUBLE) / CAST(n AS DOUBLE), {MAX_RATE}) AS rate
-  FROM sizes, sums),
+  SELECT s, CAST(sn AS DOUBLE) * CAST(w AS DOUBLE) / CAST(sw AS DOUBLE) / CAST(n AS DOUBLE) AS rate FROM sizes, sums),
+split AS (SELECT s, greatest(CAST(ceil(rate / {MAX_RATE}) AS INTEGER), 1) AS parts, rate / greatest(CAST(ceil(rate / {MAX_RATE}) AS INTEGER), 1) AS rate FROM r),
 cdf AS (
-  SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
+  SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM split
   UNION ALL
   SELECT s, rate, k + 1, p * rate / CAST(k + 1 AS DOUBLE), c + p * rate / CAST(k + 1 AS DOUBLE)
   FROM cdf WHERE k < {MAX_COPIES - 1}),
-drawn AS (
-  SELECT *, CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS UBIGINT) / 4503599627370496.0::DOUBLE AS u
-  FROM documents),
 lists AS (SELECT s, list(c ORDER BY k) AS cs FROM cdf GROUP BY s),
-counted AS (
-  SELECT d.*, CAST(len([x for x in cs if x <= u]) AS INTEGER) AS mix_copies
-  FROM drawn d JOIN lists ON s = coalesce(source, ''))
-SELECT doc_id, text, lang, source, n_chars, mix_copies, CAST(mix_copy AS INTEGER) AS mix_copy,
-       md5('7:order|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || mix_copy) AS mix_order
+named AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(md5(text), 'null') AS ident FROM documents),
+drawn AS (
+  SELECT d.*, cs, [CAST('0x' || substr(md5('7|' || ident || CASE WHEN p > 0 THEN '|' || p ELSE '' END), 1, 13) AS UBIGINT) / 4503599627370496.0::DOUBLE
+                   FOR p IN range(parts)] AS us
+  FROM named d JOIN split ON split.s = coalesce(source, '') JOIN lists ON lists.s = split.s),
+counted AS (SELECT *, CAST(list_sum([len([x FOR x IN cs IF x <= u]) FOR u IN us]) AS INTEGER) AS mix_copies FROM drawn)
+SELECT doc_id, text, lang, source, n_chars, mix_copies, CAST(mix_copy AS INTEGER) AS mix_copy, md5('7:order|' || ident || '|' || mix_copy) AS mix_order
 FROM (SELECT *, unnest(generate_series(1, mix_copies)) AS mix_copy FROM counted WHERE mix_copies > 0)
 """
