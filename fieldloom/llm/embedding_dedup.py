@@ -21,13 +21,16 @@ from fieldloom.llm.common import materialize, table
 from fieldloom.llm.components import connected_components
 from fieldloom.llm.vectors import matrix, runs, same_width, usable
 
-#: Pivots: the number, the size of the hashed sample they come from, and the cosine from which
-#: a sampled vector is too like an earlier pivot.
-PIVOTS, SAMPLE, ALIKE = 256, 4096, 0.7
+#: Pivots: the number, the size of the hashed sample they come from, and the cosines from which
+#: a sampled vector is too like an earlier pivot: the next one where the vectors are so alike that the one
+#: before leaves too few.
+PIVOTS, SAMPLE, ALIKE = 256, 4096, (0.7, 0.9, 0.97, 0.99, 0.999)
 #: Nearest pivots that describe a vector.
 TOP = 6
 #: Vectors in a block of an inverted list.
 BLOCK = 512
+#: Parts that the copies of one vector are dealt to.
+SALTS = 16
 
 
 def unit_rows(m: np.ndarray) -> np.ndarray:
@@ -36,14 +39,18 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def choose_pivots(vectors: np.ndarray, wanted: int) -> np.ndarray:
+def choose_pivots(vectors: np.ndarray, wanted: int, enough: int = 24) -> np.ndarray:
     """The first vectors, in the given order, that are unlike all pivots before them."""
     chosen: list[np.ndarray] = []
-    for v in vectors:
-        if len(chosen) == wanted:
+    for alike in ALIKE:
+        chosen = []
+        for v in vectors:
+            if len(chosen) == wanted:
+                break
+            if not chosen or float((np.array(chosen) @ v).max()) < alike:
+                chosen.append(v)
+        if len(chosen) >= enough:
             break
-        if not chosen or float((np.array(chosen) @ v).max()) < ALIKE:
-            chosen.append(v)
     return np.array(chosen)
 
 
@@ -84,6 +91,11 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def _same(vec: str) -> list:
+    """Two hashes that stand for a vector's 128 bits of identity."""
+    return [F.xxhash64(vec).alias("h1"), F.xxhash64(F.lit(11), F.col(vec)).alias("h2")]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id", vector: str = "embedding",
                     pivots: int = PIVOTS, top: int = TOP) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
@@ -162,8 +174,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     parts = connected_components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
     # Components are named by their least id; a class's own least id is its node.
     known = classes.join(links, F.col("rep") == F.col("node"), "left").drop("node").join(parts, F.col("rep") == F.col("node"), "left")
-    known = known.select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    member = x.join(known, "vec").select("id", "n_links", "component_id")
+    known = known.select(*_same("vec"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # Many copies of one vector share its key, so the rows are dealt by their ids too.
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    keyed = x.select("id", *_same("vec"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    member = keyed.join(known.withColumn("salt", F.explode(salts)), ["h1", "h2", "salt"]).select("id", "n_links", "component_id")
     out = vectors.select(F.col(key).alias("vec_id")).join(member, F.col("vec_id").cast("long") == F.col("id"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                      F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id"))
