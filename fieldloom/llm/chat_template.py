@@ -314,11 +314,15 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
 
         yield from _batches(parts(), schema, 2)
 
-    schema = pa.schema([("conv_id", pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()), ("part", pa.int32()), ("text", pa.string()),
+    schema = pa.schema([("conv_id", ID_TYPES[kind]), ("part", pa.int32()), ("text", pa.string()),
                         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
     return dealt.mapInArrow(run, f"conv_id {kind}, part int, text string, spans array<struct<start:int,end:int>>")
 
 
+#: Types that the id of a conversation can have.
+ID_TYPES = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
+
 def _batches(rows: Iterator[tuple], schema: pa.Schema, text_at: int | None = None) -> Iterator[pa.RecordBatch]:
     """Record batches of at most 2,000 rows or about 4 MB of text."""
     held, size = [], 0
@@ -336,7 +340,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, read from the parts that ``format_conversations`` made with
     the default template. Works on its partitions in their order; nothing is shuffled."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    schema = pa.schema([("conv_id", pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
+    schema = pa.schema([("conv_id", ID_TYPES[kind]), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
                         ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
