@@ -244,7 +244,8 @@ def piece(c: Column, n: int, mark: str = "^") -> Column:
 
 
 def chunks(payload: Column, size: int = 6000) -> Column:
-    """The payload cut into pieces of ``size`` characters; their concatenation is the payload."""
+    """The payload cut into pieces of ``size`` characters; their concatenation is the payload. A missing one counts as empty."""
+    payload = F.coalesce(payload, F.lit(""))
     n = F.greatest(F.ceil(F.length(payload) / size), F.lit(1)).cast("int")
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(payload, i * size + 1, F.lit(size)))
 
@@ -363,3 +364,22 @@ def without_block(c: Column, title: str) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"), F.lit(0).alias("depth"))
     return F.aggregate(F.split(line_ends(c), "\n"), start, step, lambda acc: F.array_join(acc["out"], "\n"))
+
+
+def reassembled(pieces: Column, count: Column) -> Column:
+    """The payload of (``place``, ``piece``) structs put together in order of their places; null unless there are
+    ``count`` of them, numbered from 0."""
+    ordered = F.array_sort(pieces)
+    whole = F.size(pieces) == count
+    numbered = F.forall(F.transform(ordered, lambda p, i: p["place"] == i), lambda ok: ok)
+    return F.when(whole & numbered, F.array_join(F.transform(ordered, lambda p: p["piece"]), ""))
+
+
+def connection_warnings(check: Column) -> Column:
+    """What is to be said about a connection check (struct of ``fallback_warning, connected, config_file, namespace,
+    port``), as an array: its own warning, and that it is not connected or else looks like the defaults."""
+    own = F.trim(F.coalesce(check["fallback_warning"], F.lit("")))
+    connected = F.coalesce(check["connected"], F.lit(False))
+    defaults = (F.coalesce(check["config_file"], F.lit("")) == "") & (F.coalesce(check["namespace"] == "USER", F.lit(False)) | F.coalesce(check["port"].cast("string") == "52773", F.lit(False)))
+    said = F.array(F.when(own != "", own), F.when(~connected, F.lit("not connected: probe before relying on it")).when(defaults, F.lit("looks like the defaults: verify the target")))
+    return F.filter(said, lambda x: x.isNotNull())

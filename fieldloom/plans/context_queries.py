@@ -268,3 +268,36 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, action = T.text_class(F.when(F.col("l_linenumber") != 1, F.col("l_linestatus")), F.col("l_linestatus") == "F", F.col("l_returnflag") == "R", F.lit(False))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), action.alias("action"))
+
+
+@query("""SELECT c_custkey, 'name' AS name, 0 AS at, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'tags', 1, c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'tags', 2, 'x y' FROM customer""")
+def yaml_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("# head\nname: '"), "c_name", F.lit("'  # said\ntags:\n  - "), "c_mktsegment", F.lit("\n  - \"x y\"\nempty:\nname: again\n"))
+    return texts.yaml_values(texts.lines(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text"), "c_custkey")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN props END AS object FROM events""")
+def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("CASE event_id % 3 WHEN 0 THEN concat('\ufeff', props) WHEN 1 THEN concat('[', props, ']') ELSE props END")
+    return table(spark, sf_dir, "events").select("event_id", texts.json_object(text).alias("object"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'own;' ELSE '' END || CASE WHEN o_orderstatus <> 'F' THEN 'not connected: probe before relying on it' WHEN o_custkey % 2 = 0 THEN
+  'looks like the defaults: verify the target' ELSE '' END AS said FROM orders""")
+def connection_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    check = F.struct(F.when(F.col("o_orderkey") % 2 == 0, " own ").alias("fallback_warning"), (F.col("o_orderstatus") == "F").alias("connected"), F.lit("").alias("config_file"),
+                     F.when(F.col("o_custkey") % 4 == 0, "USER").otherwise("APP").alias("namespace"), F.when(F.col("o_custkey") % 4 == 2, 52773).otherwise(1).alias("port"))
+    said = T.connection_warnings(check)
+    own = F.when(F.array_contains(said, "own"), "own;").otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(own, F.array_join(F.array_remove(said, "own"), "")).alias("said"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'headers.f' WHEN 2 THEN 'data.order.f' ELSE '' END AS path, CASE WHEN p_size % 2 = 0 THEN 'x_1' ELSE '' END AS code,
+  CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN 27 ELSE 2 END AS at, p_size % 3 = 0 AS temporary FROM part""")
+def field_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    context = F.when(size % 4 == 0, "").when(size % 4 == 1, "headers").when(size % 4 == 2, "order")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", T.json_path(F.lit("**f"), context).alias("path"), T.field_code(F.when(size % 2 == 0, " **x_1 ").otherwise("*")).alias("code"),
+        T.column_index(F.when(size % 3 == 0, "7").when(size % 3 == 1, "AB12").otherwise("c")).alias("at"),
+        T.temporary_failure(F.when(size % 3 == 0, "Execute+9^x <SYNTAX>").when(size % 3 == 1, "Execute+9\n<SYNTAX>")).alias("temporary"))

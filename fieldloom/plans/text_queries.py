@@ -53,10 +53,13 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 T.declared_encoding(F.col("html")).alias("encoding"))
 
 
-@query("""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a.cls' WHEN 1 THEN 'b/c.CSP' WHEN 2 THEN 'd.js' WHEN 3 THEN 'x\\y.png' ELSE 'none' END AS path FROM pages)
-SELECT page_id, replace(path, '\\', '/') AS path, CASE page_id % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'page' WHEN 2 THEN 'web-asset' WHEN 3 THEN 'web-asset' ELSE 'other' END AS kind FROM p""")
+_FILES = """concat('./', replace(regexp_extract(url, '://([^?#]*)', 1), '/', '{0}'), CASE page_id % 5 WHEN 0 THEN '.cls' WHEN 1 THEN '.CSP' WHEN 2 THEN '.js' WHEN 3 THEN '.png' ELSE '.none' END)"""
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_replace(replace({_FILES.format(chr(92))}, '{chr(92)}', '/'), '/+', '/', 'g') AS path FROM pages)
+SELECT page_id, substr(path, 3) AS path, CASE page_id % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'page' WHEN 2 THEN 'web-asset' WHEN 3 THEN 'web-asset' ELSE 'other' END AS kind FROM p""")
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.expr(r"CASE page_id % 5 WHEN 0 THEN 'a.cls' WHEN 1 THEN 'b/c.CSP' WHEN 2 THEN 'd.js' WHEN 3 THEN 'x\\y.png' ELSE 'none' END")
+    path = F.expr(_FILES.format(chr(92) * 2))
     return table(spark, sf_dir, "pages").select("page_id", T.normal_path(path).alias("path"), T.file_kind(path).alias("kind"))
 
 
@@ -65,11 +68,12 @@ def relaxed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.relaxed_map(F.col("props"))["k"].alias("k"), T.data_shape(F.col("props")).alias("shape"))
 
 
-@query("""WITH c AS (SELECT doc_id, length(text) AS n, CAST(greatest(ceil(length(text) / 600.0), 1) AS INTEGER) AS k FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, k AS chunks, CAST(n - (k - 1) * 600 AS INTEGER) AS last FROM c""")
+@query("""WITH c AS (SELECT doc_id, length(coalesce(text, '')) AS n, CAST(greatest(ceil(length(coalesce(text, '')) / 600.0), 1) AS INTEGER) AS k FROM documents)
+SELECT doc_id, k AS chunks, CAST(n - (k - 1) * 600 AS INTEGER) AS last, true AS whole FROM c""")
 def payload_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null").withColumn("c", T.chunks(F.col("text"), 600))
-    return d.select("doc_id", F.size("c").alias("chunks"), F.length(F.element_at("c", -1)).alias("last"))
+    d = table(spark, sf_dir, "documents").withColumn("c", T.chunks(F.col("text"), 600))
+    staged = F.reverse(F.transform("c", lambda x, i: F.struct(i.alias("place"), x.alias("piece"))))
+    return d.select("doc_id", F.size("c").alias("chunks"), F.length(F.element_at("c", -1)).alias("last"), (T.reassembled(staged, F.size("c")) == F.coalesce("text", F.lit(""))).alias("whole"))
 
 
 @query("""WITH r AS (SELECT n_nationkey, [n_name, r_name || '|x'] || CASE WHEN n_nationkey % 2 = 0 THEN ['even'] ELSE [] END AS c FROM nation JOIN region ON n_regionkey = r_regionkey)
@@ -80,11 +84,12 @@ def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", T.markdown_row(cells, 3).alias("line"))
 
 
-@query("""SELECT doc_id, count(*) AS lines, CAST(coalesce(sum(CASE WHEN length(l) > 200 THEN 1 ELSE 0 END), 0) AS BIGINT) AS long_lines
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL) GROUP BY doc_id""")
+@query("""SELECT d.doc_id, count(l) AS lines, count(*) FILTER (length(l) > 200) AS long_lines
+FROM documents d LEFT JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) s ON s.doc_id = d.doc_id GROUP BY d.doc_id""")
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ls = texts.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return ls.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.length("line") > 200).alias("long_lines"))
+    d = table(spark, sf_dir, "documents")
+    ls = d.select("doc_id").join(texts.lines(d, "doc_id", "text"), "doc_id", "left")
+    return ls.groupBy("doc_id").agg(F.count("line").alias("lines"), F.count_if(F.length("line") > 200).alias("long_lines"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),

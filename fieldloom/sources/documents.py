@@ -87,6 +87,16 @@ def docx_rows(content: bytes) -> Iterator[tuple[str, int, list[str]]]:
             yield f"Table {n}", i, [" ".join("".join(t.text or "" for t in c.iter(f"{W}t")).split()) for c in row.findall(f"{W}tc")]
 
 
+def docx_paragraphs(content: bytes) -> Iterator[str]:
+    """The paragraphs of a document outside its tables that hold text, in order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+    for p in body.findall(f"{W}p") if body is not None else ():
+        text = "".join(t.text or "" for t in p.iter(f"{W}t")).strip()
+        if text:
+            yield text
+
+
 READERS = {".xlsx": xlsx_rows, ".docx": docx_rows}
 
 
@@ -104,6 +114,31 @@ def grids(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, GRID)
 
 
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, line``: the text of the DOCX files among ``path, content, suffix`` rows."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(path, i, p) for path, content in zip(b["path"], b["content"], strict=True) for i, p in enumerate(docx_paragraphs(bytes(content)))]
+            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "line"])
+
+    return docs.where("suffix = '.docx'").mapInPandas(run, "doc_id string, line_no int, line string")
+
+
+#: Folders of build output, whose modules do not count.
+BUILD_FOLDERS = ("target", "archetype-resources")
+
+
+def modules(spark: SparkSession, root: str) -> DataFrame:
+    """``artifact, folder`` of the ``pom.xml`` files below ``root``: no build output, no ids with a placeholder, no files
+    that do not parse; of several with one id the last path wins."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "pom.xml").text(root)
+    df = raw.select(F.col("_metadata.file_path").alias("path"), F.from_xml("value", "artifactId string").alias("pom"))
+    for folder in BUILD_FOLDERS:
+        df = df.where(~F.contains("path", F.lit(f"/{folder}/")))
+    df = df.select("path", F.trim("pom.artifactId").alias("artifact")).where("artifact <> ''").where(~F.contains("artifact", F.lit("$")))
+    return df.groupBy("artifact").agg(F.regexp_replace(F.max("path"), "/[^/]*$", "").alias("folder"))
+
+
 def supported(docs: DataFrame) -> DataFrame:
     """``suffix, files, readable`` of what is there."""
     return docs.groupBy("suffix").agg(F.count(F.lit(1)).alias("files"), F.first(F.col("suffix").isin(*READERS)).alias("readable"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +79,50 @@ def feedback_entries(df: DataFrame, column: str = "json") -> DataFrame:
     is_obj = F.col("_e.value").startswith("{")
     return m.select(F.col("_e.key").alias("key"), F.when(is_obj, obj["candidate"]).otherwise(F.col("_e.value")).alias("candidate"),
                     F.when(is_obj, obj["confidence"]).alias("confidence"), F.when(is_obj, obj["reason"]).alias("reason"), "seq")
+
+
+def json_object(c) -> "F.Column":
+    """The text of a JSON object without a leading byte-order mark; null for anything whose root is no object."""
+    bare = F.trim(F.regexp_replace(c, "^\ufeff", ""))
+    return F.when(bare.startswith("{") & F.try_parse_json(bare).isNotNull(), bare)
+
+
+def yaml_values(by_line: DataFrame, key: str) -> DataFrame:
+    """``key, name, at, value``: the top-level scalars (``at`` 0) and list items (``at`` from 1) of a simple YAML text.
+    Quotes around a value and comments after a blank are dropped; of a repeated name the first counts."""
+    line = F.col("line")
+    scalar = r"^([A-Za-z_][\w-]*)\s*:\s*(.*)$"
+    w = Window.partitionBy(key).orderBy("line_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.nullif(F.regexp_extract(line, scalar, 1), F.lit(""))
+    df = by_line.select(key, "line_no", "line", own.alias("_own")).withColumn("name", F.last("_own", ignorenulls=True).over(upto))
+    df = df.withColumn("_block", F.count("_own").over(upto)).where("name is not null")
+    item = F.regexp_extract(line, r"^\s*-\s+(.*)$", 1)
+    raw = F.when(F.col("_own").isNotNull(), F.regexp_extract(line, scalar, 2)).otherwise(item)
+    bare = F.trim(F.regexp_replace(raw, r"(^|\s)#.*$", ""))
+    value = F.regexp_replace(bare, r"""^(["'])(.*)\1$""", "$2")
+    df = df.withColumn("value", value).where("value <> ''")
+    first = F.min("_block").over(Window.partitionBy(key, "name"))
+    df = df.withColumn("_first", first).where("_block = _first")
+    inside = Window.partitionBy(key, "name").orderBy("line_no")
+    at = F.when(F.col("_own").isNotNull(), 0).otherwise(F.count(F.when(F.col("_own").isNull(), 1)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.select(key, "name", at.cast("int").alias("at"), "value")
+
+
+def xml_text(content) -> "F.Column":
+    """The text of XML bytes in the encoding that they declare (UTF-8 without one); what does not decode is null.
+    Encodings beyond UTF-8 have to be decoded in Python."""
+    @F.pandas_udf("string")
+    def run(contents: pd.Series) -> pd.Series:
+        def one(data):
+            if data is None:
+                return None
+            head = re.match(rb"""\s*<\?xml[^>]*encoding\s*=\s*["']([^"']+)["']""", data[:200])
+            try:
+                return bytes(data).decode(head[1].decode("ascii") if head else "utf-8-sig")
+            except (LookupError, UnicodeDecodeError):
+                return None
+
+        return contents.map(one)
+
+    return run(content)

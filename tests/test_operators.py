@@ -1,12 +1,13 @@
 import datetime as dt
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text as T
 from fieldloom.operators import encodings, graph, intervals, keyed, manifest, slow_calls, traces, updates
-from fieldloom.sources import texts
+from fieldloom.sources import documents, texts
 
 
 def one(spark, expr, **values):
@@ -129,6 +130,27 @@ def test_page_is_refused_beyond_its_size(spark):
         traces.page(spark.range(3), ["id"], 0, 1001)
 
 
+def test_modules_and_paragraphs(spark, tmp_path):
+    for path, text in {"a/pom.xml": "<project><artifactId>one</artifactId></project>", "b/pom.xml": "<project><artifactId>one</artifactId></project>", "c/pom.xml": "<project><artifactId>${x}</artifactId></project>",
+                       "c/target/pom.xml": "<project><artifactId>two</artifactId></project>", "d/pom.xml": "<project", "d/other.xml": "<project><artifactId>no</artifactId></project>"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    assert [(r.artifact, r.folder.rsplit("/", 1)[1]) for r in documents.modules(spark, str(tmp_path)).collect()] == [("one", "b")]
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>one </w:t><w:t>two</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>end</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
+        z.writestr("word/document.xml", body)
+    found = documents.paragraphs(documents.files(spark, str(tmp_path / "x.docx")))
+    assert [(r.line_no, r.line) for r in found.orderBy("line_no").collect()] == [(0, "one two"), (1, "end")]
+
+
+def test_xml_text_in_its_encoding(spark):
+    data = ["<?xml version='1.0' encoding='gb2312'?><a>中文</a>".encode("gb2312"), "<a>中文</a>".encode(), b"<?xml version='1.0' encoding='odd'?>", b"\xff\xff", None]
+    df = spark.createDataFrame(list(enumerate(data)), "i int, content binary")
+    out = [r.t for r in df.select("i", texts.xml_text(F.col("content")).alias("t")).orderBy("i").collect()]
+    assert out[0].endswith("<a>中文</a>") and out[1:] == ["<a>中文</a>", None, None, None]
+
+
 def test_updates(spark):
     r = spark.createDataFrame([("p", "t", "config-created"), ("p", "t", "ok"), ("q", "t", None)], "plugin string, target string, status string")
     assert [(x.plugin, x.created, x.missing) for x in updates.config_notes(r).collect()] == [("p", 1, 0)]
