@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize, table
+from fieldloom.llm.common import Steps, table
 from fieldloom.llm.components import connected_components
 from fieldloom.llm.vectors import matrix, runs, same_width, usable
 
@@ -108,9 +108,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     zeros. An empty table gives an empty result.
     """
     x = usable(vectors, key, vector).where(F.exists("vec", lambda v: v != 0))
-    x = materialize(x)
+    steps = Steps(vectors.sparkSession)
+    x = steps.keep(x)
     # Equal vectors: one class each, counted with partial sums.
-    classes = materialize(x.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = steps.keep(x.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()  # at most SAMPLE rows
     chosen = choose_pivots(unit_rows(matrix([r[0] for r in sample])), pivots) if sample else np.zeros((0, 1))
     top = min(top, len(chosen))
@@ -136,7 +137,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
                 [b.column("rep"), b.column("copies"), pa.array([r.tobytes() for r in unit]), pa.array([r.tobytes() for r in tops]),
                  pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], ["node", "copies", "unit", "tops", "keys"])
 
-    nodes = materialize(classes.mapInArrow(describe, "node long, copies long, unit binary, tops binary, keys array<long>"))
+    nodes = steps.keep(classes.mapInArrow(describe, "node long, copies long, unit binary, tops binary, keys array<long>"))
     listed = nodes.select(F.explode("keys").alias("key"), "node")
     sizes = listed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     nb = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -169,7 +170,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, key: str = "vec_id"
                 some = n > 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(ids[root[some]])], ["node", "links", "to"])
 
-    found = materialize(work.mapInArrow(verify, "node long, links long, to long"))
+    found = steps.keep(work.mapInArrow(verify, "node long, links long, to long"))
+    steps.drop(nodes)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
     # Components are named by their least id; a class's own least id is its node.

@@ -1,5 +1,8 @@
 """Brute force and edge cases of the operators on embeddings."""
 
+import fractions
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -74,6 +77,37 @@ def test_topk_edges(spark):
     assert topk_search.top_k(t.limit(0)).count() == 0
 
 
+def test_topk_of_any_size(spark, monkeypatch):
+    """Components that doubles can't score exactly, scores beyond a long, and vectors of unlike lengths."""
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 20)
+    rng = np.random.default_rng(4)
+    m = [[float(x) for x in rng.integers(-3, 4, 4)] for _ in range(300)]
+    m[7], m[100], m[101], m[150], m[200] = [1e9, 1.0, -1e9, 0.5], [123456789.25, 987654.5, 1e7, -3.0], [2.0], [1e300, 1e300, 0.0, 0.0], [1e150, -1e9, 1.0, 0.0]
+    rows = [(i, v, 0) for i, v in enumerate(m)]
+    out = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    q = [[math.floor(fractions.Fraction(x) * 1024) for x in v] for v in m]
+    limit = 2**124
+    want = set()
+    for i in range(0, 300, 100):
+        scores = [(max(-limit, min(limit, sum(a * b for a, b in zip(q[i], q[j])))), -j) for j in range(300) if j != i]  # noqa: B905
+        want |= {(i, r, -j, max(-(2**63), min(2**63 - 1, s))) for r, (s, j) in enumerate(sorted(scores, reverse=True)[:10], 1)}
+    assert {tuple(r) for r in out} == want
+
+
+def test_topk_skips_far_cells(spark, monkeypatch):
+    """In clustered vectors a query does not go to the shards of every cell, and the result stays whole."""
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 100)
+    rng = np.random.default_rng(6)
+    corners = np.array(np.meshgrid([-50, 50], [-50, 50], [-50, 50])).reshape(3, 8).T
+    m = (np.repeat(corners, 200, axis=0) + rng.normal(size=(1600, 3))).astype(np.float32)
+    sent = []
+    whole = topk_search.visits
+    monkeypatch.setattr(topk_search, "visits", lambda q, *a: sent.append((whole(q, *a).count(), q.count(), int(a[2].sum()))) or whole(q, *a))
+    out = {tuple(r) for r in topk_search.top_k(table(spark, m)).select("query_id", "rank", "vec_id", "score").collect()}
+    assert out == brute_top(m, list(range(1600)))
+    assert sent[0][0] < sent[0][1] * (sent[0][2] - 1) / 2
+
+
 def test_kdtree_bounds_hold():
     rng = np.random.default_rng(0)
     p, q = rng.normal(size=(500, 8)), rng.normal(size=(20, 8))
