@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize
+from fieldloom.llm.common import Steps
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node long, component long`` (the least node reachable) for every node of an edge.
 
     Each round hangs every node's larger neighbours on the least one it knows (large star), then
@@ -17,10 +17,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     split, as nothing after the join needs a node's rows together. Self-loops and repeated
     edges do no harm; without edges the result is empty.
     """
-    e = materialize(edges.where(F.col(a) != F.col(b))
-                    .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    steps = Steps(edges.sparkSession)
+    e = steps.keep(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -28,12 +28,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").distinct())
+        last, e = e, steps.keep(small.where("u <> v").distinct())
+        steps.drop(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize, table
+from fieldloom.llm.common import Steps, portions, table
 from fieldloom.llm.components import connected_components
 from fieldloom.llm.shingles import minhash, set_digest, shingle_set
 from fieldloom.llm.vectors import runs
@@ -42,34 +42,68 @@ BLOCK = 512
 LARGE = 48
 #: Symbols (of 8 bits) of the long signature, and the most that may differ.
 LONG, LONG_THRESHOLD = 2048, 504
+#: Nodes of one block where nodes have long signatures.
+WIDE = 2048
 #: Nearest signatures of each node that are tried first.
 NEAREST = 2
+#: Keys that at least HOT of about HOT_SAMPLE nodes share are dealt over SALTS partitions.
+HOT_SAMPLE, HOT, SALTS = 20_000, 16, 64
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n, d1, d2, sig``: set size, set digests and signature of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, "text"):
             rows = []
-            for text in batch["text"]:
+            for text in b.column("text").to_pylist():
                 s = shingle_set(text, width)
                 rows.append((len(s), *set_digest(s), minhash(s, K).tobytes() if len(s) else None))
-            out = pd.DataFrame(rows, columns=["n", "d1", "d2", "sig"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            n, d1, d2, sig = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())],
+                                             ["doc_id", "n", "d1", "d2", "sig"])
 
-    return docs.mapInPandas(run, "doc_id long, n long, d1 long, d2 long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sig binary")
 
 
 def listed(nodes: DataFrame) -> DataFrame:
-    """``key, place, node``: one key for every chunk and place of an allowed error."""
+    """``key, node``: one key for every chunk and place of an allowed error. The last six bits of a
+    key are its place, the rest is a hash of the other symbols."""
     keys = []
     for c in range(CHUNKS):
         for gap in range(CHUNK):
             symbols = [F.expr(f"substring(sig, {2 * (c * CHUNK + i) + 1}, 2)") for i in range(CHUNK) if i != gap]
-            keys.append(F.xxhash64(F.lit(c * CHUNK + gap), *symbols))
-    return nodes.select(F.posexplode(F.array(*keys)).alias("place", "key"), F.col("doc_id").alias("node"))
+            keys.append(F.shiftleft(F.xxhash64(*symbols), 6).bitwiseOR(F.lit(c * CHUNK + gap).cast("long")))
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), F.col("doc_id").alias("node"))
+
+
+def lists(nodes: DataFrame) -> DataFrame:
+    """``key, node, salt, size, first``: the members of lists of two or more nodes, with the number of
+    nodes and the least node of the list (of the list's share of the salt, where that is not -1).
+
+    The keys are shuffled once and counted in a window. A key that so many nodes share that it would
+    fill a task is dealt over SALTS partitions: such keys are told from a sample of about HOT_SAMPLE
+    nodes, of which they hold at least HOT; there are at most K * HOT_SAMPLE / HOT of them, whatever
+    the input's size. The sample decides only how rows are dealt.
+    """
+    n = nodes.count()
+    sample = nodes.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(max(1, n // HOT_SAMPLE))) == 0)
+    hot = listed(sample).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HOT).select("key", F.lit(SALTS).alias("salts"))
+    dealt = listed(nodes).join(F.broadcast(hot), "key", "left")
+    dealt = dealt.select("key", "node", F.coalesce(F.pmod(F.xxhash64("node"), "salts"), F.lit(-1)).cast("int").alias("salt"))
+    part = Window.partitionBy("key", "salt")
+    return (dealt.withColumn("size", F.count(F.lit(1)).over(part)).withColumn("first", F.min("node").over(part))
+            .where("size > 1 or salt >= 0"))
+
+
+def unsalted(members: DataFrame) -> DataFrame:
+    """``key, place, node, size, nb, first`` of whole lists, with the number of blocks of BLOCK nodes."""
+    whole = members.where("salt >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min("node").alias("_first"))
+    size = F.coalesce("_size", "size")
+    # As many rows as there are hot keys, see lists().
+    return members.join(F.broadcast(whole), "key", "left").select(
+        "key", F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("place"), "node", size.alias("size"),
+        F.ceil(size / BLOCK).cast("int").alias("nb"), F.coalesce("_first", "first").alias("first"))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,6 +131,7 @@ def block_pairs(work: DataFrame, first: bool, percent: int = 0) -> DataFrame:
     block's medoid and of nearest signatures; else all pairs whose parts differ and, where there
     are long signatures, that are near by those and whose set sizes allow ``percent`` similarity.
     """
+    work = work.select([c for c in ("key", "place", "node", "bi", "bj", "own", "part", "n", "sig", "long") if c in work.columns])
     work = work.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "own", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +186,15 @@ def in_blocks(members: DataFrame, grid: bool) -> DataFrame:
 
 def long_sketch(docs: DataFrame, width: int) -> DataFrame:
     """``node, n, long``: set size and long signature of every document."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.iloc[i : i + 512]
-                sets = [shingle_set(t, width) for t in part["text"]]
-                long = [minhash(s, LONG).astype(np.uint8).tobytes() for s in sets]
-                yield pd.DataFrame({"node": part["doc_id"].to_numpy(), "n": [len(s) for s in sets], "long": long})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, "text"):
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            for i in range(0, len(sets), 512):
+                long = [minhash(s, LONG).astype(np.uint8).tobytes() for s in sets[i : i + 512]]
+                n = [len(s) for s in sets[i : i + 512]]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(n)), pa.array(n, pa.int64()), pa.array(long, pa.binary())], ["node", "n", "long"])
 
-    return docs.mapInPandas(run, "node long, n long, long binary")
+    return docs.mapInArrow(run, "node long, n long, long binary")
 
 
 def within_threshold(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,22 +213,20 @@ def within_threshold(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.mapInPandas(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those (a, b) with 100 * |A and B| >= percent * |A or B| on the full shingle sets.
 
-    ``docs`` is first cut to the documents in a pair; the pairs are sorted by ``a`` inside each
-    partition so that a document with many partners is hashed once per partition.
+    The pairs are sorted by ``a`` inside each partition so that a document with many partners is
+    hashed once per partition.
     """
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    need = materialize(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"))
-    joined = (pairs.join(need.withColumnsRenamed({"doc_id": "b", "text": "_tb"}), "b")
-              .join(need.withColumnsRenamed({"doc_id": "a", "text": "_ta"}), "a").sortWithinPartitions("a"))
+    joined = (pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "_tb"}), "b")
+              .join(texts.withColumnsRenamed({"doc_id": "a", "text": "_ta"}), "a").sortWithinPartitions("a"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
-        for x in batches:
+        for x in portions(portions(batches, "_ta"), "_tb"):
             found = []
-            for a, b, ta, tb in zip(x["a"], x["b"], x["_ta"], x["_tb"], strict=True):
+            for a, b, ta, tb in zip(*(x.column(c).to_pylist() for c in ("a", "b", "_ta", "_tb")), strict=True):
                 if last != (a, ta):
                     last, left = (a, ta), shingle_set(ta, width)
                 right = shingle_set(tb, width)
@@ -201,9 +234,11 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                     both = len(np.intersect1d(left, right, assume_unique=True))
                     if both * 100 >= percent * (len(left) + len(right) - both):
                         found.append((a, b))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return joined.mapInPandas(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,43 +251,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     columns do not matter. An empty table gives an empty result.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = materialize(sketch(docs, width))
+    steps = Steps(docs.sparkSession)
+    sketches = steps.keep(sketch(docs, width))
     alive = sketches.where("n > 0 and doc_id is not null")
     same = ["n", "d1", "d2"]
     classes = alive.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     # A key with several rows links their classes, so each class is an edge from row to rep.
     copies = alive.select("doc_id", *same).join(classes, same).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    copies = materialize(copies.distinct())
-    nodes = materialize(alive.join(classes.select(*same, F.col("rep").alias("doc_id")), ["doc_id", *same], "left_semi")
-                        .select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]))
-    texts = docs.where("doc_id is not null")
-    keys = listed(nodes)
-    sizes = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
-    sizes = materialize(sizes)
-    more = sizes.where("size > 2").select("key", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"))
-    members = materialize(keys.join(more, "key"))
+    copies = steps.keep(copies.distinct())
+    nodes = steps.keep(alive.join(classes.select(*same, F.col("rep").alias("doc_id")), ["doc_id", *same], "left_semi")
+                       .select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]))
+    listing = steps.keep(lists(nodes))
+    # Texts are shuffled once, and from then on only those of documents that share a list with another.
+    texts = steps.keep(docs.join(listing.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"))
+    members = unsalted(listing)
     sig = nodes.select(F.col("doc_id").alias("node"), "sig")
-    start = block_pairs(in_blocks(members, False).join(sig, "node"), True)
-    twos = within_threshold(sizes.where("size = 2").select("a", "b").distinct(), nodes)
-    tried = materialize(start.union(twos).distinct())
-    links = materialize(confirm(tried, texts, width, percent))
-    parts = materialize(connected_components(links.union(copies)))
+    start = block_pairs(in_blocks(members.where("size > 2"), False).join(sig, "node"), True)
+    twos = within_threshold(members.where("size = 2 and node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), nodes)
+    tried = steps.keep(start.union(twos).distinct())
+    links = steps.keep(confirm(tried, texts, width, percent))
+    parts = steps.keep(connected_components(links.union(copies)))
 
     # Pairs whose ends are still in different components.
-    own = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    split = own.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi"), F.min("node").alias("_first")).where("_lo <> _hi").select("key", "_first")
-    rest = materialize(own.join(split, "key"))
+    own = members.where("size > 2").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    split = own.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo <> _hi").select("key")
+    rest = steps.keep(own.join(split, "key", "left_semi"))
     few = block_pairs(in_blocks(rest.where(F.col("size") <= LARGE), True).join(sig, "node"), False)
-    hubs = rest.where(F.col("size") > LARGE).select(F.col("_first").alias("a"), F.col("node").alias("b"))
-    groups = materialize(connected_components(hubs))
+    hubs = rest.where(F.col("size") > LARGE).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    groups = steps.keep(connected_components(hubs))
     grouped = rest.where(F.col("size") > LARGE).select("node", "part").distinct().join(groups, "node").withColumnRenamed("component", "key")
-    nb = grouped.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
-    long = materialize(long_sketch(texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width))
+    nb = grouped.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("nb"))
+    long = steps.keep(long_sketch(texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width))
     many = block_pairs(in_blocks(grouped.join(nb, "key").withColumn("place", F.lit(-1)), True).join(sig, "node").join(long, "node"), False, percent)
-    cross = materialize(few.union(many).distinct().join(tried, ["a", "b"], "left_anti"))
+    cross = steps.keep(few.union(many).distinct().join(tried, ["a", "b"], "left_anti"))
+    steps.drop(listing, nodes, tried, rest, groups, long)
     if not cross.isEmpty():
-        found = materialize(confirm(cross, texts, width, percent))
+        found = steps.keep(confirm(cross, texts, width, percent))
         parts = connected_components(links.union(copies).union(found))
+        steps.drop(found)
+    steps.drop(cross, links, copies, texts)
 
     of = parts.select(F.col("node").alias("doc_id"), "component")
     out = sketches.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
