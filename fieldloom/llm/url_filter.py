@@ -9,10 +9,12 @@ Rules on (host, path) go before that: the longest that fits wins.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import salted_join, table
+from fieldloom.llm.common import fresh, materialize, salted_join, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which names are registered; others are the last label.
@@ -27,19 +29,25 @@ STRENGTH = (2.0, 1000.0)
 
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds ``host`` and ``path``: the host after the first ``://`` up to ``/ ? #`` or the end,
-    A-Z lower-cased, and the path up to ``? #`` or the end; both empty without ``://``."""
-    rest = F.when(F.instr(F.col(url), "://") > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise(F.lit(""))
-    df = df.withColumn("_rest", F.regexp_extract(rest, r"(?s)^([^?#]*)", 1))
-    df = df.withColumn("_host", F.substring_index("_rest", "/", 1))
-    return (df.withColumn("path", F.expr("substring(_rest, length(_host) + 1)"))
-            .withColumn("host", F.translate("_host", UPPER, LOWER)).drop("_rest", "_host"))
-
-
-def domain_of(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host."""
-    last, two, three = (F.substring_index(host, ".", -n) for n in (1, 2, 3))
-    double = two.isin(*TWO_LABEL_SUFFIXES)
-    return F.when(double, three).otherwise(two), F.when(double, two).otherwise(last)
+    A-Z lower-cased, and the path up to ``? #`` or the end; both empty for null and without ``://``."""
+    rest, bare = fresh(df, "rest", "bare")
+    at = F.instr(F.col(url), "://")
+    after = F.when(at > 0, F.substr(F.col(url), at + 3)).otherwise(F.lit(""))
+    df = df.withColumn(rest, F.regexp_extract(after, r"(?s)^([^?#]*)", 1))
+    df = df.withColumn(bare, F.substring_index(rest, "/", 1))
+    return (df.withColumn("path", F.substr(F.col(rest), F.length(bare) + 1))
+            .withColumn("host", F.translate(bare, UPPER, LOWER)).drop(rest, bare))
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host. ``suffixes``: those of several labels under which names are
+    registered, as a public list has them; the longest that fits counts, else the last label."""
+    suffix, domain = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+    for labels in sorted({s.count(".") + 1 for s in suffixes}):
+        end = F.substring_index(host, ".", -labels)
+        fits = end.isin(*[s for s in suffixes if s.count(".") + 1 == labels])
+        suffix, domain = F.when(fits, end).otherwise(suffix), F.when(fits, F.substring_index(host, ".", -labels - 1)).otherwise(domain)
+    return domain, suffix
 
 
 def _strength(df: DataFrame, by: list[str]) -> DataFrame:
@@ -60,16 +68,17 @@ def _strength(df: DataFrame, by: list[str]) -> DataFrame:
     return a.select(*by, F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), s)).alias("_s"))
 
 
-def reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad") -> DataFrame:
+def reputation(outcomes: DataFrame, host: str = "host", bad: str = "bad", suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Per host: ``host, n_labelled, n_bad, mean, lower`` of the posterior bad rate.
 
     Rows with a null outcome do not count. Hosts are counted with partial sums (a hot host is one
-    row per task); domains and suffixes are summed from the hosts.
+    row per task) and written, so that the outcomes are worked out once; domains and suffixes are
+    summed from the hosts.
     """
     known = outcomes.where(F.col(bad).isNotNull())
     hosts = known.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(bad).cast("long")).alias("k"))
-    domain, suffix = domain_of(F.col("host"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
+    domain, suffix = domain_of(F.col("host"), suffixes)
+    hosts = materialize(hosts).withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     top = suffixes.agg(F.sum("n").alias("_an"), F.sum("k").alias("_ak"))
@@ -105,7 +114,7 @@ def apply_rules(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], url: str = "url",
-                bad_rate: float = BAD_RATE) -> DataFrame:
+                bad_rate: float = BAD_RATE, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Columns of ``pages`` and ``host, path, rule, verdict, bad_rate, bad_rate_lower``.
 
     ``outcomes`` has ``host`` and ``bad`` (0, 1 or null). Without a fitting rule a page is
@@ -115,9 +124,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     names of the added ones are replaced. The join to the reputations is salted, so a host
     with a third of the pages is spread.
     """
-    added = ("host", "path", "rule", "verdict", "rule_verdict", "bad_rate", "bad_rate_lower", "_salt")
+    added = ("host", "path", "rule", "verdict", "rule_verdict", "bad_rate", "bad_rate_lower")
     judged = apply_rules(split_url(pages.drop(*added), url), rules)
-    rep = reputation(outcomes).select("host", F.col("mean").alias("bad_rate"), F.col("lower").alias("bad_rate_lower"))
+    rep = reputation(outcomes, suffixes=suffixes).select("host", F.col("mean").alias("bad_rate"), F.col("lower").alias("bad_rate_lower"))
     out = salted_join(judged, rep, "host")
     own = F.when(F.col("bad_rate_lower") >= bad_rate, F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("verdict", F.coalesce("rule_verdict", own)).drop("rule_verdict")
