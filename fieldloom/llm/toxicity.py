@@ -16,18 +16,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import materialize, table
+from fieldloom.llm.common import Steps, portions, table
 from fieldloom.llm.shingles import minima, shingle_set
 
 #: Labelled documents used for fitting, at most; chosen by a hash of their id.
 SAMPLE = 12_000
-#: Terms kept, at most.
-TERMS = 3_000
 #: A term is kept when its toxic rate is at least RATE and its log-likelihood ratio against the
 #: overall rate at least EVIDENCE (chance gives that to one term in about a million).
 RATE, EVIDENCE = 0.5, 14.0
@@ -49,6 +46,8 @@ EVEN = (1 - THRESHOLD) / THRESHOLD
 REPORTING = frozenset("said says say wrote writes called calls word term quote quoted quotes slur sagte sagt schrieb nannte wort begriff zitat "
                       "dit disait écrit appelé mot terme citation dijo dice escribió llamó palabra término cita".split())
 QUOTES = "\"'“”„«»‘’"
+MARK = re.compile(rf"[{QUOTES}\n]")
+WORD_CHAR = re.compile(r"\w")
 WORD = re.compile(r"[^\W\d_]+")
 #: Words with the digits and symbols inside them, as in id1ot or i*iot.
 MIXED = re.compile(r"[^\W_]+(?:[-*@$!#+.|_'’]{1,3}[^\W_]+)*")
@@ -141,7 +140,7 @@ class Matcher:
     A word near a term counts as such before it counts for a stem. In a text, a stem's kind also says how many different words begin with it (up to MANY).
     """
 
-    KNOWN, MANY = 300_000, 4
+    KNOWN, MANY = 150_000, 4
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon, self.exact = lexicon, set(lexicon.words)
@@ -165,10 +164,10 @@ class Matcher:
             allowed = np.where(lengths < EDITS[0], 0, np.where(lengths < EDITS[1], 1, 2))
             worth = np.flatnonzero(allowed)
             masks = letters(new)[worth]
-            for i in range(0, len(worth), 8192):
-                some = worth[i : i + 8192]
+            for i in range(0, len(worth), 1024):
+                some = worth[i : i + 1024]
                 # Each edit changes at most two letters of the set and one of the length.
-                few = np.bitwise_count(masks[i : i + 8192, None] ^ self.masks) <= 2 * allowed[some, None]
+                few = np.bitwise_count(masks[i : i + 1024, None] ^ self.masks) <= 2 * allowed[some, None]
                 few &= np.abs(lengths[some, None] - self.size) <= allowed[some, None]
                 close[some] = few.any(axis=1)
         for w, c in zip(new, close.tolist(), strict=True):
@@ -198,33 +197,39 @@ class Matcher:
             return dict.fromkeys(found.values(), 1.0)
         out: dict[str, float] = {}
         spans = list(WORD.finditer(lowered))
+        marks = [m.start() for m in MARK.finditer(lowered)]
         for i, m in enumerate(spans):
             if kind := found.get(m[0]):
-                out[kind] = max(out.get(kind, 0.0), self._context(lowered, spans, i, m))
+                out[kind] = max(out.get(kind, 0.0), self._context(lowered, spans, marks, i, m))
         if any(not w.isalpha() for w in found):
             starts = [m.start() for m in spans]
             for m in MIXED.finditer(lowered):
                 if not m[0].isalpha() and (kind := found.get(m[0])):
-                    out[kind] = max(out.get(kind, 0.0), self._context(lowered, spans, bisect_left(starts, m.start()), m))
+                    out[kind] = max(out.get(kind, 0.0), self._context(lowered, spans, marks, bisect_left(starts, m.start()), m))
         return out
 
     @staticmethod
-    def _context(text: str, spans: list[re.Match], i: int, m: re.Match) -> float:
-        """QUOTED for a hit ``m`` (the words before it end at ``i``) in quotation marks or after a reporting word, else 1."""
-        before, after = text[max(0, m.start() - 80) : m.start()], text[m.end() : m.end() + 80]
-        reported = any(s[0] in REPORTING for s in spans[max(0, i - WINDOW) : i])
-        quoted = before[-1:] != "" and before[-1:] in QUOTES and after[:1] != "" and after[:1] in QUOTES
-        if not quoted:
-            near = re.search(rf"[{QUOTES}]\w[^{QUOTES}\n]*$", before), re.search(rf"^[^{QUOTES}\n]*\w?[{QUOTES}](?!\w)", after)
-            quoted = all(near)
-        return QUOTED if quoted or reported else 1.0
+    def _context(text: str, spans: list[re.Match], marks: list[int], i: int, m: re.Match) -> float:
+        """QUOTED for a hit ``m`` (the words before it end at ``i``) in quotation marks or after a reporting word, else 1.
+
+        A quotation reaches from an opening mark (a letter follows) to the next mark, a closing one
+        (no letter follows), however far that is, within one line.
+        """
+        if any(s[0] in REPORTING for s in spans[max(0, i - WINDOW) : i]):
+            return QUOTED
+        at = bisect_left(marks, m.start())
+        after = bisect_left(marks, m.end())
+        if not at or after == len(marks):
+            return 1.0
+        left, right = marks[at - 1], marks[after]
+        if text[left] == "\n" or text[right] == "\n":
+            return 1.0
+        opens, closes = WORD_CHAR.match(text, left + 1), not WORD_CHAR.match(text, right + 1)
+        return QUOTED if (opens and closes) or (left + 1 == m.start() and right == m.end()) else 1.0
 
 
 class Scorer:
-    """Scores of texts: (score, number of kinds of hits) each. Texts are taken in portions of
-    about PORTION characters, so a batch of long texts needs little memory."""
-
-    PORTION = 2_000_000
+    """Scores of texts: (score, number of kinds of hits) each."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon, self.matcher = lexicon, Matcher(lexicon)
@@ -242,19 +247,14 @@ class Scorer:
         return worth[kind] if kind in worth else self.lexicon.inherited(kind)
 
     def scores(self, texts: list[str | None]) -> Iterator[tuple[float, int]]:
-        held, size = [], 0
-        for i, t in enumerate(texts):
-            held.append(_words(t))
-            size += len(t or "")
-            if size >= self.PORTION or i == len(texts) - 1:
-                self.matcher.learn(set().union(*(w for _, w in held)))
-                for lowered, words in held:
-                    hits = self.matcher.hits(lowered, words)
-                    clean = 1.0 - self.lexicon.base
-                    for kind, weight in sorted(hits.items()):
-                        clean *= 1.0 - min(0.995, self._worth(kind)) * weight
-                    yield (1.0 - clean) / (1.0 - clean + clean * EVEN), len(hits)
-                held, size = [], 0
+        held = [_words(t) for t in texts]
+        self.matcher.learn(set().union(*(w for _, w in held)))
+        for lowered, words in held:
+            hits = self.matcher.hits(lowered, words)
+            clean = 1.0 - self.lexicon.base
+            for kind, weight in sorted(hits.items()):
+                clean *= 1.0 - min(0.995, self._worth(kind)) * weight
+            yield (1.0 - clean) / (1.0 - clean + clean * EVEN), len(hits)
 
 
 def _words(text: str | None) -> tuple[str, list[str]]:
@@ -274,58 +274,62 @@ def training_rows(docs: DataFrame, labels: DataFrame, use, limit: int = SAMPLE)
 def unlike(sample: DataFrame) -> DataFrame:
     """The rows of a bounded sample without most near copies, whose shared words would pass for
     evidence: a row stays if it is the least of those that share any of its four minimum hashes."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                s = shingle_set(text)
-                if len(s):
-                    rows += [(doc_id, int(v)) for v in minima(s, 4)]
-            yield pd.DataFrame(rows, columns=["doc_id", "value"]).astype("int64")
-
-    least = F.min("doc_id").over(Window.partitionBy("value"))
-    copies = sample.mapInPandas(run, "doc_id long, value long").withColumn("_least", least).where("_least < doc_id").select("doc_id").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, "text"):
+            kept = [(i, minima(s, 4)) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if len(s := shingle_set(t))]
+            if kept:
+                ids, values = zip(*kept, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, 4)), pa.array(np.concatenate(values))], ["doc_id", "value"])
+
+    # The least id of a value by partial sums and a join back: a value that many share is no task of its own.
+    values = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, value long")
+    least = values.groupBy("value").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("value", "least")
+    copies = values.join(F.broadcast(least), "value").where("least < doc_id").select("doc_id").distinct()
     return sample.join(copies, "doc_id", "left_anti")
 
 
 def fit(sample: DataFrame) -> Lexicon:
-    """A lexicon from ``text, toxic`` rows. At most TERMS terms, and the counts of them and of the
-    sample's words near them, reach the driver."""
+    """A lexicon from ``text, toxic`` rows, a bounded sample. The terms with enough evidence, and the
+    counts of them and of the sample's words near them, reach the driver."""
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches, "text"):
+            n, k = Counter(), Counter()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = set(filter(str.isalpha, _words(text)[1]))
-                stems = {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
-                rows += [(t, toxic) for t in words | stems]
-            yield pd.DataFrame(rows, columns=["term", "toxic"])
+                found = words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n}
+                n.update(found)
+                if toxic:
+                    k.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([k[t] for t in n], pa.int64())], ["term", "n", "k"])
 
-    counted = sample.mapInPandas(terms, "term string, toxic int").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    counted = sample.select("text", "toxic").mapInArrow(terms, "term string, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     totals = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not totals[0] or not totals[1]:
         return Lexicon(base=0.01)
     rate = totals[1] / totals[0]
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     ratio = k * F.log(k / (n * rate)) + F.when(n > k, (n - k) * F.log((n - k) / (n * max(1e-9, 1 - rate)))).otherwise(0.0)
-    kept = counted.where((k >= RATE * n) & (k > 0) & (ratio >= EVIDENCE)).orderBy(F.desc("k"), "term").limit(TERMS).collect()
+    kept = counted.where((k >= RATE * n) & (k > 0) & (ratio >= EVIDENCE)).orderBy(F.desc("k"), "term").collect()
     rates = {r.term[:-1]: r.k / r.n for r in kept if r.term.endswith("*")}
     # A stem within a stem adds nothing unless it says clearly more.
     least = [s for s in sorted(rates, key=len) if not any(s[:n] in rates and rates[s[:n]] >= rates[s] - 0.1 for n in range(1, len(s)))]
     lexicon = Lexicon([r.term for r in kept if not r.term.endswith("*")], least, rates={s: rates[s] for s in least})
 
-    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
-        for b in batches:
-            rows = []
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
+        for b in portions(batches, "text"):
+            n, k = Counter(), Counter()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 lowered, words = _words(text)
                 matcher.learn(set(words))
                 hits = matcher.hits(lowered, words, context=False) or {"none": 1.0}
-                rows += [(k, toxic) for k in hits]
-            yield pd.DataFrame(rows, columns=["kind", "toxic"])
+                n.update(hits.keys())
+                if toxic:
+                    k.update(hits.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([k[t] for t in n], pa.int64())], ["kind", "n", "k"])
 
-    found = sample.mapInPandas(kinds, "kind string, toxic int").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k"))
+    found = sample.select("text", "toxic").mapInArrow(kinds, "kind string, n long, k long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     met = found.orderBy("kind").collect()
     near = [r for r in met if r.kind.startswith("near:")]
     for r in met:
@@ -350,16 +354,16 @@ def score(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "t
     read. Repeated rows score alike; an empty table gives an empty result.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
-        for b in batches:
-            rows = [(s, int(s >= threshold), n) for s, n in scorer.scores(b["_text"].tolist())]
-            out = pd.DataFrame(rows, columns=["score", "predicted", "n_hits"])
-            out.insert(0, "doc_id", b["_id"].to_numpy())
-            yield out
+        for b in portions(batches, "_text"):
+            got = list(scorer.scores(b.column("_text").to_pylist()))
+            scores, hits = np.array([s for s, _ in got]), np.array([n for _, n in got], np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(hits)],
+                                             ["doc_id", "score", "predicted", "n_hits"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, f"doc_id {kind}, score double, predicted int, n_hits int")
+    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, n_hits int")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -367,7 +371,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
-        for b in batches:
+        for b in portions(batches, text):
             yield b.filter(pa.array([s < threshold for s, _ in scorer.scores(b.column(text).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -378,8 +382,13 @@ def held_out() -> "F.Column":
 
 
 def train(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Lexicon:
-    sample = materialize(training_rows(docs, table(spark, sf_dir, "labels"), ~held_out()))
-    return fit(materialize(unlike(sample)))
+    """A lexicon from the labelled rows of ``docs`` that are not held out."""
+    steps = Steps(spark)
+    labelled = steps.keep(training_rows(docs, table(spark, sf_dir, "labels"), ~held_out()))
+    sample = steps.keep(unlike(labelled))
+    lexicon = fit(sample)
+    steps.drop(labelled, sample)
+    return lexicon
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
