@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import chat_template, embedding_dedup, minhash_dedup, mixing, pii, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filter
+from fieldloom.llm import chat_template, embedding_dedup, minhash_dedup, mixing, periodic_runs, pii, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": topk_search.op8_topk,
     "op9_mix": mixing.op9_mix,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
 }
 
 ORACLES = {
