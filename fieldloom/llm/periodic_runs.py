@@ -3,7 +3,7 @@
 A run is a maximal stretch of words with smallest period q (words q apart are equal) and a length of at
 least ``max(LEAST, 3 * q)``. Runs are found exactly:
 
-* Periods below FIRST are scanned lag by lag over all words of a portion of texts.
+* Periods below 2 * LEAST are scanned lag by lag over all words of a portion of texts.
 * Longer ones are found by minimizers, scale by scale. At the scale of the periods P to 2 P - 1, k-grams of
   P / 2 words are hashed; those that lie inside a run of a period up to a third of their length (all of them
   known from the scales before) are left out. The minima of all windows of P / 2 k-grams are the scale's
@@ -29,8 +29,6 @@ from fieldloom.llm.common import portions, table
 
 #: Words that a run has at least, besides three periods.
 LEAST = 24
-#: The first period that minimizers find: twice the least k-gram, which is as long as the shortest run.
-FIRST = 2 * LEAST
 #: Bytes of text whose words are worked on at once.
 BYTES = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -133,7 +131,7 @@ def find_runs(words: np.ndarray, sizes: np.ndarray, least: int = LEAST) -> np.nd
     """
     longest = int(sizes.max(initial=0))
     found = [np.zeros((0, 3), np.int64)]
-    first = 2 * least
+    first = 2 * least  # the first period that minimizers find: the least k-gram is as long as the shortest run
     for lag in range(1, min(first - 1, longest // 3) + 1):
         start, end = stretches(words[:-lag] == words[lag:], max(least, 3 * lag) - lag)
         if len(start):
