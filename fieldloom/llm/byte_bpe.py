@@ -311,9 +311,10 @@ def _binary(sizes: np.ndarray, data: bytes, null: np.ndarray) -> pa.Array:
     return (pc.if_else(pa.array(null), pa.scalar(None, pa.large_binary()), out) if null.any() else out).cast(pa.binary())
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None,
+           packed: bool = True) -> DataFrame:
     """Columns of ``docs`` and ``ids``: each text's ids as a binary of little-endian unsigned 32-bit integers, as
-    files of training data hold them (``unpacked`` gives them as an array); with ``decoded``, also the bytes that the ids stand for.
+    files of training data hold them, or as an array of longs if not ``packed``; with ``decoded``, also the bytes that the ids stand for.
 
     Null text: null ids (and null bytes). Empty text: no ids. Texts are encoded whole whatever their length, the strings of
     special tokens as any other; repeated rows alike. Columns of ``docs`` named like the new ones are replaced. An empty table gives
@@ -328,14 +329,18 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids:
             for n, lengths, got in codec.encode(b.column(text)):
                 part = b.slice(at, n)
                 null = part.column(text).is_null().to_numpy(zero_copy_only=False)
-                columns, names = [*part.columns, _binary(4 * lengths, got.astype("<u4").tobytes(), null)], [*part.schema.names, ids]
+                if packed:
+                    own = _binary(4 * lengths, got.astype("<u4").tobytes(), null)
+                else:
+                    own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(got.astype(np.int64)), mask=pa.array(null))
+                columns, names = [*part.columns, own], [*part.schema.names, ids]
                 if decoded:
                     columns.append(_binary(sums(codec.v.length[got], lengths), codec.decode(got), null))
                     names.append(decoded)
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += n
 
-    added = [T.StructField(c, T.BinaryType()) for c in (ids, decoded) if c]
+    added = [T.StructField(ids, T.BinaryType() if packed else T.ArrayType(T.LongType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
@@ -360,15 +365,6 @@ def decode(docs: DataFrame, ranks: bytes, ids: str = "ids", decoded: str = "deco
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(decoded, T.BinaryType())]))
 
 
-def unpacked(ids: str) -> "F.Column":
-    """Packed ids as an array of longs."""
-    digits = F.hex(ids)
-    places = F.sequence(F.lit(0), F.octet_length(ids) / 4 - 1)
-    part = lambda i, k: F.substr(digits, (8 * i + 2 * k + 1).cast("int"), F.lit(2))
-    return F.when(F.octet_length(ids) > 0, F.transform(places.cast("array<int>"), lambda i: F.conv(F.concat(*[part(i, k) for k in (3, 2, 1, 0)]), 16, 10).cast("long"))).when(
-        F.col(ids).isNotNull(), F.array().cast("array<long>"))
-
-
 def read_ranks(spark: SparkSession, path: str) -> bytes:
     """A rank file's bytes, read once at the driver and sent with the tasks (under 1 MB)."""
     if "://" in path:

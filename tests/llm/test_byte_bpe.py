@@ -86,9 +86,9 @@ def test_edge_rows(spark, data, enc):
     rows = [(1, None, b"x"), (2, "", b"x"), (3, "twice", None), (3, "twice", None), (None, "no id", None), (4, "long " * 400_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids binary")
     out = byte_bpe.encode(docs, data, public_tokenizers.PATTERN)
-    got = out.withColumn("list", byte_bpe.unpacked("ids")).collect()
+    got = byte_bpe.encode(docs, data, public_tokenizers.PATTERN, packed=False).collect()
     assert [(r["doc_id"], r["text"]) for r in got] == [r[:2] for r in rows]
-    assert [r["list"] for r in got] == [None if t is None else enc.encode_ordinary(t) for _, t, _ in rows]
+    assert [r["ids"] for r in got] == [None if t is None else enc.encode_ordinary(t) for _, t, _ in rows]
     back = byte_bpe.decode(out, data).collect()
     assert [None if r["decoded"] is None else bytes(r["decoded"]).decode() for r in back] == [r[1] for r in rows]
     assert byte_bpe.encode(docs.limit(0), data, public_tokenizers.PATTERN).count() == 0
