@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import byte_bpe, chat_template, embedding_dedup, minhash_dedup, mixing, periodic_runs, pii, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filter
+from fieldloom.llm import byte_bpe, chat_template, embedding_dedup, minhash_dedup, mixing, periodic_runs, pii, sentencepiece_codec, substring_dedup, token_alignment, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_byte_bpe": byte_bpe.op12_byte_bpe,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 
 ORACLES = {
