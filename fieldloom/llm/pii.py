@@ -18,13 +18,17 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import fresh, table
 
 ROUNDS = 8
-#: What can be personal, in the order in which it is tried.
+#: What can be personal, in the order in which it is tried. Repeated groups are possessive or bounded: others recurse in
+#: Java, once for each turn, and a long value would overflow the stack.
+_NAMED = r"\b(?:password|passwd|token|secret|api_key|apikey)"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
-    "secret": r"(?<=\b(?:password|passwd|token|secret|api_key|apikey) ?[=:] ?[\"']?)[A-Za-z0-9_/+-]{8,}+",
+    "hex": r"(?<![A-Za-z0-9])(?=[a-f]*+[0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
+    # quoted: all that is quoted; right after an equals sign, with a digit: up to the next blank or delimiter; else from eight characters on
+    "secret": rf"(?<={_NAMED} ?[=:] ?\")[^\s\"]++(?=\")|(?<={_NAMED} ?[=:] ?')[^\s']++(?=')"
+              rf"|(?<={_NAMED}=)(?=[^\s\"'<>,;&0-9]*+[0-9])[^\s\"'<>,;&]++|(?<={_NAMED} ?[=:] ?[\"']?)[A-Za-z0-9_/+-]{{8,}}+",
     "ip": rf"(?<![A-Za-z0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[A-Za-z0-9])",
     "date": r"(?<![A-Za-z0-9./-])(?:[12][0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]{2}(?<sep>[/.])[0-9]{2}\k<sep>[12][0-9]{3})(?![A-Za-z0-9])(?![./-][0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",

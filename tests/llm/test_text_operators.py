@@ -465,6 +465,30 @@ def test_values_in_odd_places(spark):
     assert not any(secret[i : i + 40] in out[4] for i in range(len(secret) - 40))
 
 
+#: 200,000 characters of each pattern's own repeat; 30,000 where all of them are one value and get a pseudonym.
+REPEATS = {
+    "email": ["a@b" + ".c" * 100_000, "a." * 15_000 + "@b.c", "a@b-" * 50_000, "a@" * 100_000], "key": ["AKIA" * 50_000], "hex": ["a1" * 15_000, "abcdef" * 33_000 + "x1"],
+    "secret": ["password=" + "Zz9/" * 7_500, 'token: "' + "!a1" * 10_000 + '"', "secret='" + "-" * 200_000, "api_key=" + "." * 200_000],
+    "ip": ["1." * 100_000, "255.255.255.255." * 12_000], "date": ["2020-01-01-" * 18_000, "01/01/2020/" * 18_000], "ssn": ["123-45-6789-" * 16_000],
+    "iban": ["DE12 3456 " * 20_000, "DE12" + "A" * 200_000], "phone": ["+1 23 45 " * 22_000, "(123) 456 " * 20_000], "card": ["4111 1111 " * 20_000, "4" * 200_000],
+}
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_long_repeats_of_each_pattern(spark, kind):
+    out = pii.pseudonymise(docs(spark, REPEATS[kind]), "k").select(F.length("text").alias("n"), "n_found").collect()
+    found = regex.compile(pii.ANY.replace(r"\k<sep>", "(?P=sep)"), regex.ASCII)
+    assert [(r.n, r.n_found) for r in out] == [(len(t), len(found.findall(t))) for t in REPEATS[kind]]
+
+
+def test_short_and_signed_secrets(spark):
+    texts = ["password=abc123 x", 'password: "p@ssw0rd!xy" x', "token='it$9' x", "secret = off", "password: none", "the secret: we know", "api_key=k-1,b"]
+    out = [r.text for r in pii.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    assert out == [brute_pseudonyms(t, "k")[0] for t in texts]
+    assert [a != b for a, b in zip(out, texts, strict=True)] == [True, True, True, False, False, False, True]
+    assert all(a.endswith(" x") for a in out[:3]) and out[6].endswith(",b")
+
+
 def test_dates_are_a_permutation(spark):
     days = spark.range(0, 12 * 31 * 30).select(F.format_string("%02d/%02d/%d", F.col("id") % 31 + 1, F.floor(F.col("id") / 31) % 31 + 1, 1990 + F.floor(F.col("id") / 961)).alias("text"))
     new = pii.pseudonymise(days, "k").select("text")
