@@ -4,6 +4,7 @@ import fractions
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.llm import embedding_dedup, topk_search
@@ -33,6 +34,37 @@ def test_embedding_links_and_recall(spark):
     assert (out.kept == (out.component_id == out.index)).all()
 
 
+def shifted(n, mean_cosine, cosine, dims=64, seed=3):
+    """Pairs at ``cosine`` of unit vectors whose cosines are about ``mean_cosine`` otherwise."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    first = unit(np.sqrt(mean_cosine) * unit(rng.normal(size=dims)) + np.sqrt(1 - mean_cosine) * unit(rng.normal(size=(n // 2, dims))))
+    aside = rng.normal(size=first.shape)
+    aside = unit(aside - (aside * first).sum(1, keepdims=True) * first)
+    return np.concatenate([first, cosine * first + np.sqrt(1 - cosine**2) * aside])
+
+
+@pytest.mark.parametrize("mean_cosine", [0.0, 0.5, 0.8])
+@pytest.mark.parametrize("cosine", [0.902, 0.918])
+def test_embedding_recall_near_the_threshold(spark, mean_cosine, cosine):
+    m = shifted(3000, mean_cosine, cosine)
+    links = m @ m.T >= 0.9
+    np.fill_diagonal(links, False)
+    t = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    out = embedding_dedup.near_duplicates(t).toPandas().set_index("vec_id").sort_index()
+    assert (out.n_links.to_numpy() <= links.sum(1)).all()
+    assert out.n_links.sum() >= 0.9 * links.sum() > 0
+
+
+def test_embedding_exact(spark):
+    m = clustered(700, seed=4)
+    x = m.astype(float) / np.linalg.norm(m.astype(float), axis=1)[:, None]
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    out = embedding_dedup.near_duplicates(table(spark, m), exact=True).toPandas().set_index("vec_id").sort_index()
+    assert (out.n_links.to_numpy() == links.sum(1)).all()
+
+
 def test_embedding_large_list(spark):
     """One group larger than several blocks: every link counts once."""
     rng = np.random.default_rng(2)
