@@ -29,7 +29,7 @@ from fieldloom.llm.sentencepiece_codec import BYTE, MARK, NORMAL, USER_DEFINED,
 from fieldloom.llm.vectors import runs
 
 #: Bytes of text in a chunk; one longer text is a chunk of its own.
-BYTES = 16_000_000
+BYTES = 5_000_000
 #: Units that one call of the second tokenizer gets as one text.
 AT_ONCE = 100
 #: Units of texts whose groups are written at once.

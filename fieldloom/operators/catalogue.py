@@ -131,13 +131,16 @@ def header_warnings(headers: Column, roles_at: list[Column]) -> Column:
     return F.concat(repeated, left)
 
 
-def fields(grids: DataFrame, context: str | None = None) -> DataFrame:
+def fields(grids: DataFrame, context: str | None = None, inherit: bool = True) -> DataFrame:
     """The fields of all tables, one row each.
 
     ``context`` names a column of ``grids`` with the part of the message a row belongs to, for
-    ``json_path``. Rows without code and name, sample rows and blank rows are left out.
+    ``json_path``. Rows without code and name, sample rows and blank rows are left out. With ``inherit``, tables without
+    a header take one from the tables before.
     """
-    known = roles(with_inherited(tables(grids)).where("not skipped and headers is not null")).drop("first")
+    by_table = tables(grids)
+    by_table = with_inherited(by_table) if inherit else by_table.withColumn("inherited", F.lit(False))
+    known = roles(by_table.where("not skipped and headers is not null")).drop("first")
     # What depends on the header alone is worked out once per table.
     known = known.withColumn("_keys", header_keys(F.col("headers"))).withColumn("_warned", header_warnings(F.col("headers"), [F.col(f"role_{r}") for r in HEADERS]))
     rows = grids.join(known, TABLE).where(F.col("inherited") | (F.col("row_idx") > F.col("header_idx")))
@@ -249,6 +252,46 @@ def section_context(by_line: DataFrame, key: str = "doc_id", order: str = "line_
                      blank(held["_sub"]["no"]).alias("subsection_no"), blank(held["_sub"]["title"]).alias("subsection_title"), blank(held["_part"]).alias("part"))
 
 
+def segments(grids: DataFrame, context: str | None = None) -> DataFrame:
+    """Tables cut at their marker rows: ``grids``' rows with ``segment`` (the number of markers so far) and ``part``.
+
+    A row that names the request or the response starts a segment of that part; what else stands in it, but for its first
+    marker cell, is the segment's first row. A row that names an interface ends a segment and goes. The part holds until the
+    next one is named; before the first it is ``context`` (a column of ``grids``, if any). Blank rows go, and so do tables
+    without a marker: they are no segments.
+    """
+    rows = Window.partitionBy(*TABLE).orderBy("row_idx")
+    upto = rows.rowsBetween(Window.unboundedPreceding, 0)
+    marker = row_marker(F.col("cells"))
+    named = F.when(marker.isin("request", "response"), marker)
+    at = F.get(F.filter(F.transform("cells", lambda c, i: F.when(row_marker(F.array(c)).isNotNull(), i)), lambda i: i.isNotNull()), F.lit(0))
+    df = grids.withColumns({"_marker": marker, "_named": named, "_at": F.when(named.isNotNull(), at)})
+    df = df.withColumns({"segment": F.count("_marker").over(upto), "part": F.coalesce(F.last("_named", ignorenulls=True).over(upto), F.col(context) if context else F.lit("")),
+                         "_markers": F.count("_marker").over(Window.partitionBy(*TABLE))})
+    bare = F.transform("cells", lambda c, i: F.when(i == F.col("_at"), "").otherwise(c))
+    df = df.where("_markers > 0 and (_marker is null or _marker <> 'interface')").withColumn("cells", F.when(F.col("_at").isNull(), F.col("cells")).otherwise(bare))
+    return df.where(F.exists("cells", lambda c: T.text(c) != "")).drop("_marker", "_named", "_at", "_markers")
+
+
+def segment_fields(grids: DataFrame, context: str | None = None) -> DataFrame:
+    """The fields of segmented tables, with ``segment``, ``part`` and ``interface_title`` beside what ``fields`` gives.
+
+    Every segment has a header of its own, the marker row's rest or a row below it; none is inherited. A segment's title
+    is the interface that its own fields name (see ``interface_hints``), else the last one named by a segment before it in its
+    table; '' without one.
+    """
+    cut = segments(grids, context)
+    as_tables = cut.withColumn("sheet", F.struct("sheet", "segment"))
+    found = fields(as_tables, "part", inherit=False)
+    hints = interface_hints(found)
+    titled = found.select(*TABLE).distinct().join(hints, TABLE, "left")
+    before = Window.partitionBy("doc_id", "sheet.sheet").orderBy("sheet.segment").rowsBetween(Window.unboundedPreceding, 0)
+    titled = titled.select(*TABLE, F.coalesce(F.last("hint", ignorenulls=True).over(before), F.lit("")).alias("interface_title"))
+    parts = cut.select("doc_id", F.struct("sheet", "segment").alias("sheet"), "part").distinct()
+    out = found.join(titled, TABLE).join(parts, TABLE)
+    return out.select("doc_id", "sheet.sheet", "sheet.segment", *[c for c in out.columns if c not in TABLE])
+
+
 def field_report(catalogue: DataFrame) -> DataFrame:
     """``doc_id, sheet, row_idx, line``: the fields as rows of a Markdown table of twelve columns; the marker is ``*``
     for a field marked as required, with `` mismatch`` where its column says otherwise."""

@@ -5,44 +5,55 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Names that stand for code page 936, as its readers take them.
+CODE_PAGE_936 = ("gb2312", "gbk", "gb18030")
+
+
+def codec(name: str) -> str:
+    """The codec for an encoding's name: code page 936 for the whole GB family."""
+    return "gbk" if name.lower().replace("-", "").replace("_", "") in CODE_PAGE_936 else name
+
+
 def encoding_of(content: bytes | None) -> str:
-    """ascii, utf8, gb2312 or unknown (also: UTF-16 with a mark). Empty counts as ascii."""
+    """ascii, utf8, gb2312 (code page 936) or unknown (also: UTF-16 with a mark). Empty counts as ascii."""
     data = content or b""
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "unknown"
-    for name, codec in (("ascii", "ascii"), ("utf8", "utf-8"), ("gb2312", "gb2312")):
+    for name, reader in (("ascii", "ascii"), ("utf8", "utf-8"), ("gb2312", codec("gb2312"))):
         try:
-            data.decode(codec)
-            return name
+            text = data.decode(reader)
         except UnicodeDecodeError:
             continue
+        if text.encode(reader) == data:
+            return name
     return "unknown"
 
 
 def detect(files: DataFrame) -> DataFrame:
-    """Adds ``encoding`` to ``path, content``: ascii, utf8, gb2312 or unknown (also: UTF-16 with a mark). Null and
-    empty count as ascii.
+    """Adds ``encoding`` to ``path, content``: ascii, utf8, gb2312 (code page 936) or unknown (also: UTF-16 with a mark).
+    Null and empty count as ascii.
 
-    ASCII and UTF-8 are told by built-in functions; only what is neither goes to Python, which knows the
-    rows and cells of GB2312.
+    ASCII and UTF-8 are told by built-in functions; only the rows that they leave open go through Python, which
+    knows the rows and cells of the code page.
     """
-    @F.pandas_udf("string")
-    def other(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda x: None if x is None else encoding_of(x))
-
     content = F.coalesce("content", F.lit(b""))
     marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
     text = content.cast("string")
-    valid = F.is_valid_utf8(text)
-    known = F.when(marked, "unknown").when(valid, F.when(F.octet_length(text) == F.length(text), "ascii").otherwise("utf8"))
-    files = files.withColumn("encoding", known)
-    rest = other(F.when(F.col("encoding").isNull(), F.col("content")))
-    return files.withColumn("encoding", F.coalesce("encoding", rest))
+    known = F.when(marked, "unknown").when(F.is_valid_utf8(text), F.when(F.octet_length(text) == F.length(text), "ascii").otherwise("utf8"))
+    files = files.drop("encoding").withColumn("encoding", known)
+
+    def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = [encoding_of(x.as_py()) for x in b.column("content")]
+            yield b.set_column(b.schema.get_field_index("encoding"), "encoding", pa.array(told, pa.string()))
+
+    open_ = files.where("encoding is null")
+    return files.where("encoding is not null").union(open_.mapInArrow(other, files.schema))
 
 
 def verdict(encoding: Column, expected: str) -> Column:
@@ -55,7 +66,7 @@ def recode(files: DataFrame, source: str = "utf-8", target: str = "gb2312") -> D
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def one(data):
             try:
-                return (data or b"").decode(source).encode(target), None
+                return (data or b"").decode(codec(source)).encode(codec(target)), None
             except UnicodeError as e:
                 return None, type(e).__name__
 

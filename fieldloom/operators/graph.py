@@ -23,11 +23,15 @@ class _Seen:
             self.df, self.steps = stored(self.df), 1
 
 
-def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``start, name, depth``: what each start reaches over ``name -> depends_on``, itself at depth
-    0, each name once at its least depth. Cycles end; names without edges are kept as leaves. It ends when
-    a level brings nothing new, however many levels there are."""
+    0, each name once at its least depth. Cycles end; names without edges are kept as leaves. With ``known``
+    (name), names that are not there are left out, starts as well, and nothing is reached over them. It ends when a level brings nothing new, however many levels there are."""
     e = stored(edges.select(F.col("name").alias("_from"), F.col("depends_on").alias("_to")).distinct())
+    if known is not None:
+        names = known.select("name").distinct()
+        e = stored(e.join(names, e["_to"] == names["name"], "left_semi"))
+        starts = starts.join(names, "name", "left_semi")
     new = stored(starts.select(F.col("name").alias("start"), F.col("name"), F.lit(0).alias("depth")).distinct())
     seen, depth = _Seen(new), 0
     while not new.isEmpty():

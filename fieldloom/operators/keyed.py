@@ -113,6 +113,21 @@ def longest_prefix(df: DataFrame, path: str, roots: list[tuple[str, str]], defau
     return out
 
 
+def longest_root(df: DataFrame, path: str, roots: DataFrame, key: list[str], separator: str = "/") -> DataFrame:
+    """``df`` with ``root`` and ``mode`` of the longest root that is the path or above it; nulls where none is.
+
+    ``roots``: root, mode. Each path is exploded into itself and what is above it, which join the roots by equality, so the
+    table of roots may be of any size. ``key`` names the columns that tell ``df``'s rows apart. Of a root that is given
+    more than once, the least mode counts; a null path has no root. Roots end without a separator.
+    """
+    one = roots.where("root is not null").groupBy("root").agg(F.min("mode").alias("mode"))
+    parts = F.split(F.col(path), F.lit(f"\\Q{separator}\\E"), -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), separator))
+    tried = df.where(F.col(path).isNotNull()).select(*key, F.explode(F.array_distinct(above)).alias("root"))
+    best = tried.join(one, "root").groupBy(*key).agg(F.max_by(F.struct("root", "mode"), F.length("root")).alias("_best"))
+    return df.join(best, key, "left").select(*df.columns, F.col("_best.root").alias("root"), F.col("_best.mode").alias("mode"))
+
+
 def first_capability(offers: DataFrame) -> DataFrame:
     """Per capability one plugin: required before optional, then by visit order."""
     return one_per_key(offers, ["capability"], [F.when(F.col("kind") == "required", 0).otherwise(1), F.col("visit")])

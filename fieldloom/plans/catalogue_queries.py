@@ -85,3 +85,27 @@ def field_match(spark: SparkSession, sf_dir: str) -> DataFrame:
   count(*) FILTER (match_source = 'low-confidence-candidate') AS low_confidence, count(*) FILTER (match_source = 'unmatched') AS unmatched, count(*) FILTER (needs_review) AS review FROM m""")
 def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.summary(_matches(spark, sf_dir))
+
+
+#: A table per brand with parts of requests and responses: marker rows with a header, rows of fields, rows that name an interface.
+SEGMENTED = """
+SELECT p_brand AS doc_id, 'S1' AS sheet, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS row_idx,
+       CASE p_size % 10 WHEN 0 THEN 'request' WHEN 5 THEN 'response' WHEN 9 THEN 'interface' END AS marker,
+       CASE p_size % 10 WHEN 0 THEN '请求参数（加密前）' WHEN 5 THEN '返回结果' WHEN 9 THEN '接口名称' ELSE '' END AS c1,
+       CASE p_size % 10 WHEN 0 THEN '参数名称' WHEN 5 THEN '参数名称' WHEN 9 THEN '/api' ELSE CASE WHEN p_partkey % 7 = 0 THEN 'n_type' ELSE replace(p_name, ' ', '_') END END AS c2,
+       CASE p_size % 10 WHEN 0 THEN '必填' WHEN 5 THEN '必填' WHEN 9 THEN '' ELSE 'Y' END AS c3,
+       CASE p_size % 10 WHEN 0 THEN '数据类型' WHEN 5 THEN '数据类型' WHEN 9 THEN '' ELSE 'string' END AS c4,
+       CASE p_size % 10 WHEN 0 THEN '描述' WHEN 5 THEN '描述' WHEN 9 THEN '' ELSE concat('固定格式:', upper(replace(p_type, ' ', '_'))) END AS c5 FROM part"""
+
+
+@query(f"""WITH r AS ({SEGMENTED}), s AS (
+  SELECT *, count(marker) OVER w AS segment, last_value(CASE WHEN marker <> 'interface' THEN marker END IGNORE NULLS) OVER w AS part,
+         last_value(marker IGNORE NULLS) OVER w AS opened FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY row_idx ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT * FROM s WHERE marker IS NULL AND opened IN ('request', 'response')),
+h AS (SELECT doc_id, segment, arg_min(regexp_extract(c5, '[A-Z][A-Z0-9_]{{3,}}'), row_idx) FILTER (c2 = 'n_type') AS hint FROM f GROUP BY 1, 2),
+t AS (SELECT doc_id, segment, coalesce(last_value(hint IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY segment ROWS UNBOUNDED PRECEDING), '') AS interface_title FROM h)
+SELECT doc_id, sheet, segment, row_idx, part, c2 AS code, part || '.' || c2 AS json_path, interface_title FROM f JOIN t USING (doc_id, segment)""")
+def segment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(SEGMENTED.replace("FROM part", "FROM {p}"), p=table(spark, sf_dir, "part"))
+    out = catalogue.segment_fields(rows.select("doc_id", "sheet", "row_idx", F.array("c1", "c2", "c3", "c4", "c5").alias("cells")))
+    return out.select("doc_id", "sheet", "segment", "row_idx", "part", "code", "json_path", "interface_title")

@@ -184,3 +184,24 @@ def logs_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     points = e.where("event_type = 'purchase'").select(F.col("event_id").alias("point"), "user_id", F.col("ts").alias("at"))
     return traces.around(points, e, "user_id", 600).select("point", "event_id")
+
+
+_SPANS = """SELECT o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, o_orderkey * 7919 % 2592000) AS held_from,
+  TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, o_orderkey * 7919 % 2592000 + CASE WHEN o_orderkey % 1000 = 7 THEN 86400 ELSE o_custkey % 900 END) AS held_to FROM {o}"""
+
+
+@query("""WITH o AS (SELECT o_orderkey, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(o_orderkey * 7919 % 2592000) AS held_from,
+  TIMESTAMP '2024-01-01 00:00:00' + to_seconds(o_orderkey * 7919 % 2592000 + CASE WHEN o_orderkey % 1000 = 7 THEN 86400 ELSE o_custkey % 900 END) AS held_to FROM orders),
+e AS (SELECT event_id, ts, make_timestamp(epoch_us(ts) + CAST(floor(value) AS BIGINT) * 1000000) AS done FROM events)
+SELECT event_id, o_orderkey FROM e JOIN o ON ts < held_to AND held_from < done""")
+def overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").selectExpr("event_id", "ts", "timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) + CAST(floor(value) AS BIGINT) * 1000000) AS done")
+    o = spark.sql(_SPANS, o=table(spark, sf_dir, "orders"))
+    return intervals.overlap_join(e, o, ("ts", "done"), ("held_from", "held_to"), width=600).select("event_id", "o_orderkey")
+
+
+@query("""WITH g AS (SELECT lag(ts) OVER (ORDER BY ts) AS gap_start, ts AS gap_end FROM events WHERE ts IS NOT NULL)
+SELECT CAST(epoch_us(gap_start) AS BIGINT) AS start_us, CAST(epoch_us(gap_end) AS BIGINT) AS end_us FROM g WHERE epoch_us(gap_end) - epoch_us(gap_start) >= 120 * 1000000""")
+def quiet_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = intervals.quiet_spans(table(spark, sf_dir, "events"), "ts", 120)
+    return out.select(F.unix_micros("gap_start").alias("start_us"), F.unix_micros("gap_end").alias("end_us"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text as T
-from fieldloom.operators import encodings, intervals
+from fieldloom.operators import encodings, intervals, keyed, nested
 from fieldloom.plans.registry import query
 from fieldloom.shared import table
 from fieldloom.sources import texts
@@ -102,3 +102,42 @@ def nearest_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = texts.lines(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("title", F.when(F.length("line") < 60, F.col("line")))
     out = intervals.carried(intervals.nearest_title(ls, "title", ["doc_id"], "line_no"), "title", ["doc_id"], "line_no", "section")
     return out.select("doc_id", "line_no", "near_title", "section")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT conv_id, turn, i, line, unnest(string_split(line, '. ')) AS sentence, generate_subscripts(string_split(line, '. '), 1) - 1 AS j FROM l)
+SELECT conv_id, turn, 'said.role' AS path, '' AS at, role AS value FROM conversations
+UNION ALL SELECT conv_id, turn, 'said.lines[].size', CAST(i AS VARCHAR), CAST(length(line) AS VARCHAR) FROM l
+UNION ALL SELECT conv_id, turn, 'said.lines[].sentences[]', i || ',' || j, sentence FROM w
+UNION ALL SELECT conv_id, turn, 'said.lines[]', '', NULL FROM conversations WHERE text IS NULL""")
+def nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.length(x).alias("size"), F.split(x, r"\. ", -1).alias("sentences")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("role", lines.alias("lines")).alias("said"))
+    return nested.flatten_paths(rows, ["conv_id", "turn"]).withColumn("at", F.array_join(F.col("at").cast("array<string>"), ","))
+
+
+_PLACES = """SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS place FROM pages"""
+
+
+@query(f"""WITH p AS ({_PLACES}), cut AS (SELECT page_id, string_split(place, '/') AS parts FROM p),
+above AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS n, parts FROM cut),
+a AS (SELECT DISTINCT page_id, array_to_string(parts[1:n], '/') AS root FROM above),
+roots AS (SELECT root, min('m' || CAST(page_id % 5 AS VARCHAR)) AS mode FROM a WHERE page_id % 2 = 0 GROUP BY 1),
+best AS (SELECT page_id, arg_max(root, length(root)) AS root, arg_max(mode, length(root)) AS mode FROM a JOIN roots USING (root) GROUP BY 1)
+SELECT p.page_id, place, root, mode FROM p LEFT JOIN best USING (page_id)""")
+def rooted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = spark.sql(_PLACES.replace("FROM pages", "FROM {p}"), p=table(spark, sf_dir, "pages"))
+    parts = F.split("place", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    roots = places.where("page_id % 2 = 0").select(F.explode(above).alias("root"), F.concat(F.lit("m"), (F.col("page_id") % 5).cast("string")).alias("mode"))
+    return keyed.longest_root(places, "place", roots, ["page_id"])
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CASE WHEN strlen(text) = length(text) THEN 'ascii' ELSE 'utf8' END WHEN 1 THEN 'unknown' WHEN 2 THEN 'gb2312' ELSE 'unknown' END AS encoding FROM documents""")
+def byte_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    ascii_ = F.encode(F.regexp_replace("text", r"[^\x00-\x7f]", ""), "US-ASCII")
+    at = F.col("doc_id") % 4
+    # UTF-16 with its mark; a character that only the wider GB code page has; a byte that begins nothing
+    content = F.when(at == 0, F.encode("text", "UTF-8")).when(at == 1, F.encode("text", "UTF-16")).when(at == 2, F.concat(ascii_, F.unhex(F.lit("E946")))).otherwise(F.concat(F.unhex(F.lit("FF")), ascii_))
+    return encodings.detect(d.select("doc_id", F.lit("p").alias("path"), content.alias("content"))).select("doc_id", "encoding")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.encodings import codec
 
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line_no, line`` of every text."""
@@ -110,8 +111,8 @@ def yaml_values(by_line: DataFrame, key: str) -> DataFrame:
 
 
 def xml_text(content) -> "F.Column":
-    """The text of XML bytes in the encoding that they declare (UTF-8 without one); what does not decode is null.
-    Encodings beyond UTF-8 have to be decoded in Python."""
+    """The text of XML bytes in the encoding that they declare (UTF-8 without one, code page 936 for the GB family); what
+    does not decode is null. Encodings beyond UTF-8 have to be decoded in Python."""
     @F.pandas_udf("string")
     def run(contents: pd.Series) -> pd.Series:
         def one(data):
@@ -119,7 +120,7 @@ def xml_text(content) -> "F.Column":
                 return None
             head = re.match(rb"""\s*<\?xml[^>]*encoding\s*=\s*["']([^"']+)["']""", data[:200])
             try:
-                return bytes(data).decode(head[1].decode("ascii") if head else "utf-8-sig")
+                return bytes(data).decode(codec(head[1].decode("ascii")) if head else "utf-8-sig")
             except (LookupError, UnicodeDecodeError):
                 return None
 
