@@ -29,7 +29,7 @@ from fieldloom.llm.sentencepiece_codec import BYTE, MARK, NORMAL, USER_DEFINED,
 from fieldloom.llm.vectors import runs
 
 #: Bytes of text in a chunk; one longer text is a chunk of its own.
-BYTES = 5_000_000
+BYTES = 2_000_000
 #: Units that one call of the second tokenizer gets as one text.
 AT_ONCE = 100
 #: Units of texts whose groups are written at once.
@@ -303,6 +303,7 @@ def measures(docs: DataFrame, first: bytes, second: bytes, pattern: str, key: st
             chunk = TaskContext.get().partitionId() << 32 | n
             yield from _chunk_rows(aligner, b.column("text"), b.column("key"), b.column("times").to_numpy(), chunk)
             n += 1
+            pa.default_memory_pool().release_unused()
 
     chunks = steps.keep(distinct.mapInArrow(work, _CHUNK))
     pairs = chunks.where("part = 0").select("chunk", F.explode(F.arrays_zip("pairs", "weights")).alias("x")).select("chunk", F.col("x.pairs").alias("pair"), F.col("x.weights").alias("weight"))
@@ -326,7 +327,7 @@ def align(docs: DataFrame, first: bytes, second: bytes, pattern: str, text: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(first, second, pattern)
-        for b in portions(batches, text, BYTES // 8):
+        for b in portions(batches, text, BYTES):
             full = pc.fill_null(pc.not_equal(b.column(text), ""), False).to_numpy(zero_copy_only=False)
             out = np.full(b.num_rows, None, object)
             if full.any():
