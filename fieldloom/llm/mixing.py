@@ -27,8 +27,7 @@ def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | N
 
     ``weights`` are target shares (any scale; sources not named get 0). Without them the target
     share is ``n_docs ** temperature``. ``total`` is the wanted number of rows (default: as many
-    as there are). A null source is a source of its own,
-    named ''. Counts cover all documents; partial sums make a hot source cheap.
+    as there are). A null source counts as the source ''. Counts cover all documents; partial sums make a hot source cheap.
     """
     sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
     if weights is None:

@@ -234,12 +234,18 @@ def visits(queries: DataFrame, lo: np.ndarray, hi: np.ndarray, shards: np.ndarra
     return queries.select("id", "vec", "least", "shard").mapInArrow(run, "id long, vec array<double>, least double, shard int")
 
 
+def shipped(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """The vectors of each shard, once for each block that has queries for it."""
+    asked = queries.groupBy("shard").agg(F.collect_set("block").alias("blocks"))  # numbers of blocks: few beside a shard's vectors
+    return vectors.join(asked, "shard").select("shard", F.explode("blocks").alias("block"), F.lit(0).alias("kind"), "id", "vec", F.lit(0.0).alias("least"))
+
+
 def search_shards(vectors: DataFrame, queries: DataFrame, blocks: int, k: int) -> DataFrame:
     """``query_id, vec_id, high, low``: each query's best in each shard it goes to. A shard's vectors come once for
-    each block of queries and before them, its tree is built once for the block."""
+    each block of queries that go there and before them, its tree is built once for the block."""
     block = F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(blocks)).cast("int")
-    v = vectors.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("kind"), "id", "vec", F.lit(0.0).alias("least"))
     q = queries.select("shard", block.alias("block"), F.lit(1).alias("kind"), "id", "vec", "least")
+    v = shipped(vectors, q.select("shard", "block"))
     both = v.union(q).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +299,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
     own = F.get(first_shard, F.col("cell")) + F.pmod(F.xxhash64("id"), F.get(n_shards, F.col("cell"))).cast("int")
     x = x.withColumn("shard", own.cast("int"))
     queries = x.where(is_query)
-    first = steps.keep(search_shards(x, queries.withColumn("least", F.lit(float("-inf"))), blocks, k))
+    first = steps.keep(search_shards(x, queries.withColumn("least", F.lit(float("-inf"))), 1, k))  # a shard holds few of its own
     kth = first.groupBy("query_id").agg(F.min(F.struct("high", "low")).alias("kth"), F.count(F.lit(1)).alias("n"))
     near = (F.shiftleft("kth.high", LOW) + F.col("kth.low")).cast("double")
     far = F.col("kth.high").cast("double") * 2.0**LOW

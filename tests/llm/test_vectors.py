@@ -147,3 +147,12 @@ def test_kdtree_bounds_hold():
     b = tree.bounds(q)
     for node, (i, j) in enumerate(tree.span):
         assert (b[:, node] >= (q @ tree.points[i:j].T).max(axis=1) - 1e-9).all()
+
+
+def test_shards_go_only_where_queries_are(spark):
+    """Of 40 shards and 6 blocks, only the pairs that hold queries get a shard's vectors."""
+    v = spark.range(4000).select((F.col("id") % 40).cast("int").alias("shard"), "id", F.array(F.lit(1.0)).alias("vec"))
+    q = spark.range(90).select((F.col("id") % 3).cast("int").alias("shard"), (F.col("id") % 2).cast("int").alias("block"), "id")
+    out = topk_search.shipped(v, q)
+    assert out.count() == 3 * 2 * 100
+    assert {(r.shard, r.block) for r in out.select("shard", "block").distinct().collect()} == {(i % 3, i % 2) for i in range(90)}
