@@ -43,8 +43,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated by Poisson counts towards the sources' target shares, shuffled. A null source is a
-    source of its own; rows that repeat id and text draw alike."""
+    """Documents repeated by Poisson counts towards the sources' target shares, shuffled. A null source counts
+    as the source ''; rows that repeat id and text draw alike."""
     return mixing.mix(docs).select(docs.columns)
 
 
