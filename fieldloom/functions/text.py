@@ -293,10 +293,24 @@ def has_mojibake(c: Column) -> Column:
     return F.coalesce(c.rlike(MOJIBAKE), F.lit(False))
 
 
+#: What may stand beside the elements of XML, and the tags of elements.
+_XML_ASIDE = r"(?s)<!--.*?-->|<[?].*?[?]>|<!\[CDATA\[.*?\]\]>|<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>"
+_XML_TAG = r"""</?[^\s<>/!?"'](?:[^<>"']|"[^"]*"|'[^']*')*+>"""
+
+
 def is_well_formed_xml(c: Column) -> Column:
-    """Whether a text parses as XML with one root element."""
+    """Whether a text parses as XML with one root element and nothing but comments and the like beside it."""
     read = F.from_xml(c, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return c.isNotNull() & (F.trim(c) != "") & read["_bad"].isNull()
+    bare = F.regexp_replace(F.regexp_replace(c, _XML_ASIDE, ""), r"^[\s\x{FEFF}]+|\s+$", "")
+
+    def step(acc: Column, tag: Column) -> Column:
+        ends, whole = tag.startswith("</"), tag.endswith("/>")
+        depth = acc["depth"] + F.when(ends, -1).when(whole, 0).otherwise(1)
+        return F.struct(depth.alias("depth"), (acc["roots"] + F.when((acc["depth"] == 0) & ~ends, 1).otherwise(0)).alias("roots"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("roots"))
+    roots = F.aggregate(F.regexp_extract_all(bare, F.lit(_XML_TAG), F.lit(0)), start, step, lambda acc: acc["roots"])
+    return c.isNotNull() & bare.startswith("<") & bare.endswith(">") & read["_bad"].isNull() & (roots == 1)
 
 
 def language_name(code: Column, names: dict[str, str]) -> Column:

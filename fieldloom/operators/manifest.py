@@ -17,6 +17,7 @@ from fieldloom.operators import intervals
 VERSIONS = ("1.0", "1.1", "1.2")
 MODES = ("serial", "multi-agent", "retrospective")
 STATUSES = ("completed", "not-applicable", "blocked")
+ATTEMPT_STATUSES = ("completed", "blocked", "suspended")
 STAGES = ("explorer", "classifier", "backend-coder", "frontend-coder", "template-seed", "verifier", "summary")
 ORDER = [("explorer", "classifier"), ("classifier", "backend-coder"), ("classifier", "frontend-coder"), ("classifier", "template-seed"),
          ("backend-coder", "verifier"), ("frontend-coder", "verifier"), ("template-seed", "verifier"), ("verifier", "summary")]
@@ -124,6 +125,34 @@ def attempt_issues(stages: DataFrame, attempts: DataFrame) -> DataFrame:
     ])
 
 
+def attempt_rules(runs: DataFrame, stages: DataFrame, attempts: DataFrame) -> DataFrame:
+    """What schema 1.2 asks of attempts beyond ``attempt_issues``: each has its values, a known status, times in order and
+    active seconds within them; a stage that applies has one at least, others none; a finished stage doesn't end suspended.
+
+    ``attempts``: run_id, stage, attempt, status, started, completed, active_seconds, reason; ``stages``: run_id, name, status.
+    Only runs of version 1.2 are looked at. Attempts of stages that aren't there are looked at too.
+    """
+    asked = runs.where("version = '1.2'").select("run_id")
+    a = attempts.join(asked, "run_id", "left_semi")
+    span = (F.unix_micros(F.col("completed").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / F.lit(1e6)
+    timed = F.coalesce(span >= 0, F.lit(False))
+    each = _checked(a,
+                    ("J7", F.col("stage"), "attempt is incomplete", F.col("attempt").isNull() | _blank("status") | F.col("started").isNull() | F.col("completed").isNull()
+                     | F.col("active_seconds").isNull() | F.col("reason").isNull()),
+                    ("J7", F.col("stage"), "unknown attempt status", ~F.coalesce(F.col("status").isin(*ATTEMPT_STATUSES), F.lit(False))),
+                    ("J7", F.col("stage"), "attempt times are invalid", ~timed),
+                    ("J7", F.col("stage"), "active seconds are invalid", timed & (F.col("active_seconds").isNull() | (F.col("active_seconds") < 0) | (F.col("active_seconds") > span))))
+    ends = a.groupBy("run_id", "stage").agg(F.count(F.lit(1)).alias("_n"), F.max_by("status", F.struct("attempt", "started")).alias("_last"))
+    named = stages.join(asked, "run_id", "left_semi").select("run_id", F.col("name").alias("stage"), F.col("status").alias("_status"))
+    both = named.join(ends, ["run_id", "stage"], "left")
+    idle = F.coalesce(F.col("_status") == "not-applicable", F.lit(False))
+    per_stage = _checked(both,
+                         ("J7", F.col("stage"), "a stage that doesn't apply has attempts", idle & F.col("_n").isNotNull()),
+                         ("J7", F.col("stage"), "stage has no attempt", ~idle & F.col("_n").isNull()),
+                         ("J7", F.col("stage"), "stage ends with a suspended attempt", F.col("_last") == "suspended"))
+    return each.union(per_stage)
+
+
 def order_issues(runs: DataFrame, stages: DataFrame) -> DataFrame:
     pairs = stages.sparkSession.createDataFrame(ORDER, "before string, after string")
     live = stages.join(runs.where("not coalesce(retrospective, false)").select("run_id"), "run_id", "left_semi")

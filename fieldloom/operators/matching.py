@@ -83,3 +83,45 @@ def summary(matches: DataFrame, *keys: str) -> DataFrame:
     return matches.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), F.count_if("matched").alias("matched"), source("local-feedback").alias("feedback"),
         source("low-confidence-candidate").alias("low_confidence"), source("unmatched").alias("unmatched"), F.count_if("needs_review").alias("review"))
+
+
+#: Headings and texts of the match report.
+REPORT_HEAD, SUMMARY_HEAD, RESULT_HEAD, REVIEW_HEAD, UNMATCHED_HEAD, NOTHING = "# Field Match", "## 字段匹配摘要", "## 匹配结果", "## 需人工确认", "## 未匹配字段", "- 暂无。"
+REPORT_COLUMNS = ("字段代码", "字段名称", "候选", "置信度", "来源", "需人工确认", "原因")
+REPORT_COUNTS = (("totalFields", "total"), ("matched", "matched"), ("localFeedback", "feedback"), ("lowConfidenceCandidates", "low_confidence"), ("unmatched", "unmatched"), ("needsReview", "review"))
+
+
+def report(matches: DataFrame) -> DataFrame:
+    """``doc_id, part, sheet, at, line_no, line``: the match report of each document as lines, in the order of these columns.
+
+    ``matches`` is what ``match`` gives for fields with ``doc_id, sheet, row_idx``. The parts are the summary (0), a table for
+    each view (1), the fields to review (2) and those of them without a match (3). A document's lines are rows of
+    their own, so a document of any size is no single row; ``sheet`` and ``at`` (the field's row) are null but in the lines of views and fields.
+    """
+    esc = lambda c: T.escape_cell(F.col(c).cast("string"))
+    none = F.lit(None)
+
+    def lines(df: DataFrame, part: int, sheet, at, array) -> DataFrame:
+        return df.select("doc_id", F.lit(part).alias("part"), sheet.cast("string").alias("sheet"), at.cast("long").alias("at"), F.posexplode(array).alias("line_no", "line"))
+
+    counts = summary(matches, "doc_id")
+    said = [F.concat(F.lit(f"- {name}: `"), F.col(c).cast("string"), F.lit("`")) for name, c in REPORT_COUNTS]
+    named = F.concat(F.lit("- document: `"), esc("doc_id"), F.lit("`"))
+    head = lines(counts, 0, none, none, F.array(*map(F.lit, (REPORT_HEAD, "", SUMMARY_HEAD, "")), named, *said, *map(F.lit, ("", RESULT_HEAD, ""))))
+    table_head = F.array(F.concat(F.lit("### "), esc("sheet")), F.lit(""), F.lit("| " + " | ".join(REPORT_COLUMNS) + " |"), F.lit("| " + " | ".join(["---"] * len(REPORT_COLUMNS)) + " |"))
+    views = matches.select("doc_id", "sheet").distinct()
+    first = lines(views, 1, F.col("sheet"), F.lit(-1), table_head)
+    last = lines(views, 1, F.col("sheet"), F.lit(2**62), F.array(F.lit("")))
+    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("code", "name", "candidate", "confidence", "match_source")], F.when(F.col("needs_review"), "Y").otherwise("N"), F.coalesce("reason", F.lit("")))
+    rows = lines(matches, 1, F.col("sheet"), F.col("row_idx"), F.array(T.markdown_row(cells, len(REPORT_COLUMNS))))
+
+    def listed(part: int, heading: tuple[str, ...], chosen: DataFrame, line) -> DataFrame:
+        own = chosen.groupBy("doc_id").agg(F.lit(True).alias("_some"))
+        titles = lines(counts.select("doc_id").join(own, "doc_id", "left"), part, none, none, F.concat(F.array(*map(F.lit, heading)), F.when(F.col("_some"), F.array().cast("array<string>")).otherwise(F.array(F.lit(NOTHING)))))
+        return titles.union(lines(chosen, part, F.col("sheet"), F.col("row_idx"), F.array(line)))
+
+    code = F.concat(F.lit("- `"), esc("code"), F.lit("`"))
+    review = matches.where("needs_review")
+    out = head.union(first).union(rows).union(last)
+    out = out.union(listed(2, (REVIEW_HEAD, ""), review, F.concat(code, F.lit(": "), esc("reason"))))
+    return out.union(listed(3, ("", UNMATCHED_HEAD, ""), review.where("match_source = 'unmatched'"), F.concat(code, F.lit(" "), esc("name"))))

@@ -109,3 +109,25 @@ def segment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(SEGMENTED.replace("FROM part", "FROM {p}"), p=table(spark, sf_dir, "part"))
     out = catalogue.segment_fields(rows.select("doc_id", "sheet", "row_idx", F.array("c1", "c2", "c3", "c4", "c5").alias("cells")))
     return out.select("doc_id", "sheet", "segment", "row_idx", "part", "code", "json_path", "interface_title")
+
+
+_COUNTED = ", ".join(f"'- {name}: `' || {c} || '`'" for name, c in matching.REPORT_COUNTS)
+
+
+@query(MATCH + f""", d AS (SELECT p_brand AS doc_id, CAST(p_size % 5 AS VARCHAR) AS sheet, p_partkey AS row_idx, m.*, CASE match_source WHEN 'unmatched' THEN '未找到可靠通用规则或项目本地反馈' ELSE 'r' END AS reason FROM m JOIN part USING (p_partkey)),
+n AS (SELECT doc_id, count(*) AS total, count(*) FILTER (match_source IN ('local-feedback', 'builtin-rule')) AS matched, count(*) FILTER (match_source = 'local-feedback') AS feedback,
+  count(*) FILTER (match_source = 'low-confidence-candidate') AS low_confidence, count(*) FILTER (match_source = 'unmatched') AS unmatched, count(*) FILTER (needs_review) AS review FROM d GROUP BY 1),
+l AS (
+  SELECT doc_id, 0 AS part, NULL::VARCHAR AS sheet, -2::BIGINT AS "at", ['# Field Match', '', '## 字段匹配摘要', '', '- document: `' || doc_id || '`', {_COUNTED}, '', '## 匹配结果', ''] AS ls FROM n
+  UNION ALL SELECT DISTINCT doc_id, 1, sheet, -1, ['### ' || sheet, '', '| {' | '.join(matching.REPORT_COLUMNS)} |', '|{' --- |' * 7}'] FROM d
+  UNION ALL SELECT DISTINCT doc_id, 1, sheet, 4611686018427387904, [''] FROM d
+  UNION ALL SELECT doc_id, 1, sheet, row_idx, ['| ' || code || ' |  | ' || candidate || ' | ' || confidence || ' | ' || match_source || ' | ' || CASE WHEN needs_review THEN 'Y' ELSE 'N' END || ' | ' || reason || ' |'] FROM d
+  UNION ALL SELECT doc_id, 2, NULL, -2, CASE WHEN review > 0 THEN ['## 需人工确认', ''] ELSE ['## 需人工确认', '', '- 暂无。'] END FROM n
+  UNION ALL SELECT doc_id, 2, sheet, row_idx, ['- `' || code || '`: ' || reason] FROM d WHERE needs_review
+  UNION ALL SELECT doc_id, 3, NULL, -2, CASE WHEN unmatched > 0 THEN ['', '## 未匹配字段', ''] ELSE ['', '## 未匹配字段', '', '- 暂无。'] END FROM n
+  UNION ALL SELECT doc_id, 3, sheet, row_idx, ['- `' || code || '` '] FROM d WHERE match_source = 'unmatched')
+SELECT doc_id, part, sheet, "at", CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS line FROM l""")
+def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("doc_id"), (F.col("p_size") % 5).cast("string").alias("sheet"), F.col("p_partkey").alias("row_idx"))
+    matches = _matches(spark, sf_dir).join(p, "p_partkey").withColumn("reason", F.when(F.col("match_source") == "unmatched", F.col("reason")).otherwise("r"))
+    return matching.report(matches).withColumn("at", F.coalesce("at", F.lit(-2)))  # null in the report's other lines

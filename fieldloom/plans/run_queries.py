@@ -139,3 +139,24 @@ l AS (SELECT name, 0 AS level FROM names WHERE name NOT IN (SELECT name FROM e)
 SELECT name, max(level) AS level FROM l GROUP BY 1""")
 def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(_edges(table(spark, sf_dir, "part")))
+
+
+_ATTEMPTS = """SELECT run_id, name AS stage, attempt, CASE WHEN status = 'running' THEN 'suspended' WHEN run_id % 11 = 0 THEN 'odd' ELSE status END AS status, started, completed,
+  CASE WHEN run_id % 7 = 0 THEN NULL WHEN run_id % 5 = 0 THEN 1e9 ELSE 10.0 END AS active_seconds, CASE WHEN run_id % 13 = 0 THEN NULL ELSE '' END AS reason FROM st WHERE attempt < 7"""
+
+
+@query(f"""WITH st AS ({STAGES.replace('DAYS', _DUCK_DAYS)}), r AS ({RUNS}), one AS (SELECT run_id FROM r WHERE version = '1.2'),
+a AS (SELECT * FROM ({_ATTEMPTS}) WHERE run_id IN (FROM one)),
+e AS (SELECT run_id, stage, coalesce(list_filter([
+    CASE WHEN active_seconds IS NULL OR reason IS NULL THEN 'attempt is incomplete' END, CASE WHEN status NOT IN ('completed', 'blocked', 'suspended') THEN 'unknown attempt status' END,
+    CASE WHEN completed < started THEN 'attempt times are invalid' END,
+    CASE WHEN completed >= started AND (active_seconds IS NULL OR active_seconds > epoch_us(completed) / 1e6 - epoch_us(started) / 1e6) THEN 'active seconds are invalid' END], lambda x: x IS NOT NULL), []) AS said FROM a),
+g AS (SELECT run_id, stage, arg_max(status, struct_pack(a := attempt, s := started)) AS last FROM a GROUP BY 1, 2),
+p AS (SELECT st.run_id, name AS stage, list_filter([CASE WHEN status = 'not-applicable' AND g.run_id IS NOT NULL THEN 'a stage that doesn''t apply has attempts' END,
+    CASE WHEN status <> 'not-applicable' AND g.run_id IS NULL THEN 'stage has no attempt' END, CASE WHEN last = 'suspended' THEN 'stage ends with a suspended attempt' END], lambda x: x IS NOT NULL) AS said
+  FROM st LEFT JOIN g ON g.run_id = st.run_id AND g.stage = st.name WHERE st.run_id IN (FROM one))
+SELECT run_id, stage AS subject, unnest(said) AS message FROM e UNION ALL SELECT run_id, stage, unnest(said) FROM p""")
+def manifest_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = _stages(spark, sf_dir)
+    attempts = spark.sql(_ATTEMPTS.replace("FROM st", "FROM {st}"), st=stages)
+    return manifest.attempt_rules(_runs(spark, sf_dir), stages, attempts).select("run_id", "subject", "message")

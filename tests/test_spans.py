@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import catalogue, encodings, graph, intervals, keyed, nested
+from fieldloom.functions import text
+from fieldloom.operators import catalogue, encodings, graph, intervals, keyed, manifest, matching, nested
 from fieldloom.sources import texts
 
 T0 = dt.datetime(2024, 1, 1)
@@ -109,3 +110,35 @@ def test_closure_over_known_names(spark):
     known = spark.createDataFrame([(n,) for n in "abcd"], "name string")
     out = graph.closure(edges, spark.createDataFrame([("a",), ("x",)], "name string"), known)
     assert sorted((r.start, r.name, r.depth) for r in out.collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "d", 2)]
+
+
+def test_one_root(spark):
+    good = ["<a/>", " <a/>\n", '<?xml version="1.0"?><a><b>1</b><b>2</b></a>', "<!-- <x/> --><a/>", "<a/><!-- <x> -->", '<a x="1>2">t</a>', "<a><![CDATA[<b>]]></a>", "<a><a/></a>"]
+    bad = ["<a/><c/>", "<a>1</a><a>2</a>", "<a>x</a> tail", "head <a/>", "<a><b></a>", "text", "", None, "<a></a><b>", "<" * 50]
+    got = {r.x: r.ok for r in spark.createDataFrame([(x,) for x in good + bad], "x string").select("x", text.is_well_formed_xml(F.col("x")).alias("ok")).collect()}
+    assert {x for x, ok in got.items() if ok} == set(good)
+
+
+def test_attempt_rules(spark):
+    runs = spark.createDataFrame([("r", "1.2"), ("old", "1.1")], "run_id string, version string")
+    stages = spark.createDataFrame([("r", "explorer", "completed"), ("r", "classifier", "not-applicable"), ("r", "verifier", "completed"), ("r", "summary", "completed"), ("old", "explorer", "completed")],
+                                   "run_id string, name string, status string")
+    t = lambda s: T0 + dt.timedelta(seconds=s)
+    attempts = spark.createDataFrame(
+        [("r", "explorer", 1, "blocked", t(0), t(10), 5.0, "x"), ("r", "explorer", 2, "suspended", t(10), t(20), 10.0, "x"), ("r", "classifier", 1, "completed", t(0), t(1), 1.0, "x"),
+         ("r", "summary", 1, "done", t(5), t(1), 1.0, "x"), ("r", "summary", 2, "completed", t(5), t(6), 2.0, "x"), ("r", "summary", 3, "completed", t(6), None, None, None), ("old", "explorer", 1, "odd", None, None, None, None)],
+        "run_id string, stage string, attempt int, status string, started timestamp, completed timestamp, active_seconds double, reason string")
+    got = sorted((r.subject, r.message) for r in manifest.attempt_rules(runs, stages, attempts).collect())
+    assert got == sorted([("explorer", "stage ends with a suspended attempt"), ("classifier", "a stage that doesn't apply has attempts"), ("verifier", "stage has no attempt"), ("summary", "unknown attempt status"),
+                          ("summary", "attempt times are invalid"), ("summary", "active seconds are invalid"), ("summary", "attempt is incomplete"), ("summary", "attempt times are invalid")])
+
+
+def test_match_report_reads_as_markdown(spark):
+    fields = spark.createDataFrame([("d|1", "v", 1, "patientId", "", "", None), ("d|1", "v", 2, "odd|Code", "n", "", None), ("e", "w", 1, "patientId", "", "", None)],
+                                   "doc_id string, sheet string, row_idx int, code string, name string, json_path string, description string")
+    entries = spark.createDataFrame([], "key string, candidate string, confidence double, reason string, seq int")
+    out = matching.report(matching.match(fields, matching.feedback(entries), matching.rules(spark)))
+    lines = {d: [r.line for r in out.where(F.col("doc_id") == d).orderBy("part", "sheet", "at", "line_no").collect()] for d in ("d|1", "e")}
+    assert lines["d|1"][:5] == ["# Field Match", "", "## 字段匹配摘要", "", "- document: `d\\|1`"] and "- totalFields: `2`" in lines["d|1"]
+    assert lines["d|1"][-8:] == ["", "## 需人工确认", "", "- `odd\\|Code`: 未找到可靠通用规则或项目本地反馈", "", "## 未匹配字段", "", "- `odd\\|Code` n"]
+    assert lines["e"][-8:] == ["", "## 需人工确认", "", "- 暂无。", "", "## 未匹配字段", "", "- 暂无。"]
