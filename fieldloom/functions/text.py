@@ -337,6 +337,21 @@ def text_class(c: Column, dictionary: Column, external: Column, user_input: Colu
     return kind, action
 
 
+def region_counts(text: Column, patterns: dict[str, str], start: str, end: str) -> Column:
+    """How often each pattern is found in the lines of a text that lie between a line that matches ``start`` and the next one
+    that matches ``end``: a struct of counts by the patterns' names. The marking lines don't count; a line that matches
+    both ends a region; a region may be open at the end of the text. The lines are folded once, whatever the number of patterns. Null without a text."""
+    zero = F.struct(F.lit(False).alias("inside"), *[F.lit(0).cast("long").alias(n) for n in patterns])
+
+    def step(acc: Column, line: Column) -> Column:
+        begins, ends = line.rlike(start), line.rlike(end)
+        counted = acc["inside"] & ~begins & ~ends
+        counts = [(acc[n] + F.when(counted, F.size(F.regexp_extract_all(line, F.lit(p), F.lit(0)))).otherwise(0)).cast("long").alias(n) for n, p in patterns.items()]
+        return F.struct(F.when(ends, False).when(begins, True).otherwise(acc["inside"]).alias("inside"), *counts)
+
+    return F.aggregate(F.split(text, "\r?\n", -1), zero, step, lambda acc: F.struct(*[acc[n].alias(n) for n in patterns]))
+
+
 def key_values(key: str):
     """A function of a JSON text: the distinct texts, whatever their case, of a key at any depth; the first
     spelling stays. JSON of any shape has to be walked, so this runs in Python."""

@@ -2,60 +2,74 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.shared import stored
+from fieldloom.shared import Steps
 
 #: Stored steps that are read together before they are written as one.
 COMPACT = 8
 
 
 class _Seen:
-    """A growing table of stored steps, written as one when there are many."""
+    """A growing table of kept steps, written as one when there are many; the parts are removed then."""
+
+    def __init__(self, steps: Steps, first: DataFrame) -> None:
+        self.steps, self.parts = steps, [first]
 
-    def __init__(self, first: DataFrame) -> None:
-        self.df, self.steps = first, 1
+    @property
+    def df(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
 
     def add(self, new: DataFrame) -> None:
-        self.df, self.steps = self.df.union(new), self.steps + 1
-        if self.steps >= COMPACT:
-            self.df, self.steps = stored(self.df), 1
+        self.parts.append(new)
+        if len(self.parts) >= COMPACT:
+            whole = self.steps.keep(self.df)
+            self.steps.drop(*[p for p in self.parts if p is not new])  # the newest is still read as the next level's start
+            self.parts = [whole]
 
 
 def closure(edges: DataFrame, starts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``start, name, depth``: what each start reaches over ``name -> depends_on``, itself at depth
     0, each name once at its least depth. Cycles end; names without edges are kept as leaves. With ``known``
     (name), names that are not there are left out, starts as well, and nothing is reached over them. It ends when a level brings nothing new, however many levels there are."""
-    e = stored(edges.select(F.col("name").alias("_from"), F.col("depends_on").alias("_to")).distinct())
+    steps = Steps(edges.sparkSession)
+    e = edges.select(F.col("name").alias("_from"), F.col("depends_on").alias("_to")).distinct()
     if known is not None:
         names = known.select("name").distinct()
-        e = stored(e.join(names, e["_to"] == names["name"], "left_semi"))
+        e = e.join(names, e["_to"] == names["name"], "left_semi")
         starts = starts.join(names, "name", "left_semi")
-    new = stored(starts.select(F.col("name").alias("start"), F.col("name"), F.lit(0).alias("depth")).distinct())
-    seen, depth = _Seen(new), 0
+    e = steps.keep(e)
+    new = steps.keep(starts.select(F.col("name").alias("start"), F.col("name"), F.lit(0).alias("depth")).distinct())
+    seen, depth = _Seen(steps, new), 0
     while not new.isEmpty():
         depth += 1
         step = new.join(e, F.col("name") == F.col("_from")).select("start", F.col("_to").alias("name"), F.lit(depth).alias("depth")).distinct()
-        new = stored(step.join(seen.df.select("start", "name"), ["start", "name"], "left_anti"))
+        new = steps.keep(step.join(seen.df.select("start", "name"), ["start", "name"], "left_anti"))
         seen.add(new)
+    steps.drop(e)
     return seen.df
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """``name, level``: leaves have level 0, others one more than the highest they depend on; null
     for names on or above a cycle. Ordering by level puts leaves first."""
-    e = stored(edges.select("name", "depends_on").distinct())
-    names = e.select("name").union(e.select("depends_on")).distinct()
-    ready = stored(names.join(e.select("name").distinct(), "name", "left_anti").withColumn("level", F.lit(0)))
-    done, left, level = _Seen(ready), e, 0
+    steps = Steps(edges.sparkSession)
+    e = steps.keep(edges.select("name", "depends_on").distinct())
+    names = steps.keep(e.select("name").union(e.select("depends_on")).distinct())
+    ready = steps.keep(names.join(e.select("name").distinct(), "name", "left_anti").withColumn("level", F.lit(0)))
+    done, left, level = _Seen(steps, ready), e, 0
     while not ready.isEmpty():
         level += 1
         # Edges to what has just got its level are done with; a name without edges left is next.
-        rest = stored(left.join(ready.select(F.col("name").alias("depends_on")), "depends_on", "left_anti"))
-        ready = stored(left.select("name").distinct().join(rest.select("name").distinct(), "name", "left_anti").withColumn("level", F.lit(level)))
+        rest = steps.keep(left.join(ready.select(F.col("name").alias("depends_on")), "depends_on", "left_anti"))
+        ready = steps.keep(left.select("name").distinct().join(rest.select("name").distinct(), "name", "left_anti").withColumn("level", F.lit(level)))
+        steps.drop(left)
         left = rest
         done.add(ready)
+    steps.drop(left)
     return names.join(done.df, "name", "left")
 
 

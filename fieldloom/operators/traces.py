@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.shared import stored
+
 
 def summary(logs: DataFrame, trace: str = "trace_id", ts: str = "ts") -> DataFrame:
     """Per trace: rows and seconds between the first and the last."""
@@ -65,6 +67,33 @@ def page(df: DataFrame, order: list, offset: int, limit: int, most: int = 1000)
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def numbered(df: DataFrame, order: list[str], as_: str = "row_no", parts: int | None = None) -> DataFrame:
+    """``df`` with ``as_``: each row's number from 0 in the order of the columns ``order``, which tell rows apart.
+
+    Rows are dealt over ranges of the order and kept; a row's number is its number in its range and the sum of the rows of
+    the ranges before, of which there are ``parts`` (default: as many as shuffle partitions), so no task sees the whole table.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["n"] for r in kept.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each range
+    before, starts = 0, []
+    for part in range(max(sizes, default=0) + 1):
+        starts.append(F.lit(before).cast("long"))
+        before += sizes.get(part, 0)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return kept.withColumn(as_, F.get(F.array(*starts), F.col("_part")) + inside - 1).drop("_part")
+
+
+def pages(df: DataFrame, order: list[str], size: int = 500) -> DataFrame:
+    """All pages at once: ``df`` with ``page`` and ``place`` (both from 0) and whether the page is ``short``, after which paging stops.
+    The last page is short; where all pages are full, none is, and the page after the last would be empty."""
+    rows = numbered(df, order)
+    full = F.count(F.lit(1)).over(Window.partitionBy("page")) == size
+    return (rows.withColumn("page", F.floor(F.col("row_no") / size)).withColumn("place", F.col("row_no") % size)
+            .withColumn("short", ~full).drop("row_no"))
+
+
 def search(df: DataFrame, must: dict[str, str] | None = None, phrase: tuple[str, str] | None = None,
            must_not: dict[str, str] | None = None, exists: list[str] | None = None) -> DataFrame:
     """Rows that match all fields of ``must``, hold the phrase, match none of ``must_not`` and have ``exists``."""

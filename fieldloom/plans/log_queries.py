@@ -205,3 +205,9 @@ SELECT CAST(epoch_us(gap_start) AS BIGINT) AS start_us, CAST(epoch_us(gap_end) A
 def quiet_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = intervals.quiet_spans(table(spark, sf_dir, "events"), "ts", 120)
     return out.select(F.unix_micros("gap_start").alias("start_us"), F.unix_micros("gap_end").alias("end_us"))
+
+
+@query("""WITH n AS (SELECT event_id, row_number() OVER (ORDER BY value, event_id) - 1 AS n FROM events), p AS (SELECT event_id, n // 500 AS page, n % 500 AS place FROM n)
+SELECT event_id, page, place, count(*) OVER (PARTITION BY page) < 500 AS short FROM p""")
+def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.pages(table(spark, sf_dir, "events").select("event_id", "value"), ["value", "event_id"]).select("event_id", "page", "place", "short")

@@ -141,3 +141,14 @@ def byte_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     # UTF-16 with its mark; a character that only the wider GB code page has; a byte that begins nothing
     content = F.when(at == 0, F.encode("text", "UTF-8")).when(at == 1, F.encode("text", "UTF-16")).when(at == 2, F.concat(ascii_, F.unhex(F.lit("E946")))).otherwise(F.concat(F.unhex(F.lit("FF")), ascii_))
     return encodings.detect(d.select("doc_id", F.lit("p").alias("path"), content.alias("content"))).select("doc_id", "encoding")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+m AS (SELECT *, CASE WHEN contains(line, 'oi') THEN 'end' WHEN contains(line, 'the') THEN 'begin' END AS mark FROM l),
+s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM m),
+c AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '[A-Z][a-z]+'))) AS BIGINT) AS capitals, CAST(sum(len(regexp_extract_all(line, '[0-9]+'))) AS BIGINT) AS numbers,
+  CAST(sum(len(regexp_extract_all(line, '[.,;]'))) AS BIGINT) AS stops FROM s WHERE mark IS NULL AND held = 'begin' GROUP BY 1)
+SELECT doc_id, coalesce(capitals, 0) AS capitals, coalesce(numbers, 0) AS numbers, coalesce(stops, 0) AS stops FROM documents LEFT JOIN c USING (doc_id) WHERE text IS NOT NULL""")
+def region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = T.region_counts(F.col("text"), {"capitals": "[A-Z][a-z]+", "numbers": "[0-9]+", "stops": "[.,;]"}, "the", "oi")
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", counts.alias("c")).select("doc_id", "c.*")

@@ -12,10 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again. A local folder is set up
-    only in a local session without the setting."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``. A local folder is set up only in a local session
+    without the setting."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
@@ -23,6 +22,31 @@ def stored(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fieldloom-")
         sc.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/fieldloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder
+
+
+class Steps:
+    """Frames written to the shared folder and read back, and removed when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/fieldloom"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove frames that nothing reads any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for f in frames:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(f))[1])
+            path.getFileSystem(conf).delete(path, True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    return Steps(df.sparkSession).keep(df)

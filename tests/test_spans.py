@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
-from fieldloom.operators import catalogue, encodings, graph, intervals, keyed, manifest, matching, nested
+from fieldloom.operators import catalogue, encodings, graph, intervals, keyed, manifest, matching, nested, traces
 from fieldloom.sources import texts
 
 T0 = dt.datetime(2024, 1, 1)
@@ -142,3 +142,19 @@ def test_match_report_reads_as_markdown(spark):
     assert lines["d|1"][:5] == ["# Field Match", "", "## 字段匹配摘要", "", "- document: `d\\|1`"] and "- totalFields: `2`" in lines["d|1"]
     assert lines["d|1"][-8:] == ["", "## 需人工确认", "", "- `odd\\|Code`: 未找到可靠通用规则或项目本地反馈", "", "## 未匹配字段", "", "- `odd\\|Code` n"]
     assert lines["e"][-8:] == ["", "## 需人工确认", "", "- 暂无。", "", "## 未匹配字段", "", "- 暂无。"]
+
+
+@pytest.mark.parametrize("n, size", [(0, 5), (23, 5), (25, 5), (3, 100)])
+def test_pages_put_together_are_the_table(spark, n, size):
+    df = spark.range(n).select((F.col("id") % 3).alias("k"), "id").repartition(4)
+    out = traces.pages(df, ["k", "id"], size)
+    rows = [(r.k, r.id) for r in out.orderBy("page", "place").collect()]
+    assert rows == sorted((i % 3, i) for i in range(n))
+    assert out.where("short").select("page").distinct().count() == (1 if n % size else 0)
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_region_counts(spark):
+    rows = [(1, "a\nBEGIN\nx1 x2\ny\nEND x3\nx4\nBEGIN\r\nx5"), (2, "BEGIN END\nx1"), (3, ""), (4, None)]
+    out = spark.createDataFrame(rows, "k int, t string").select("k", text.region_counts(F.col("t"), {"x": "x[0-9]", "y": "y"}, "BEGIN", "END").alias("c")).collect()
+    assert {r.k: r.c and tuple(r.c) for r in out} == {1: (3, 1), 2: (0, 0), 3: (0, 0), 4: None}
