@@ -2,37 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker turns into objects at once.
-PORTION = 1_000_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from fieldloom.shared import Steps, table
 
+__all__ = ["Steps", "fresh", "materialize", "portions", "salted_join", "table", "unit_hash"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    A temporary folder is used only where the setting is absent and Spark runs in one local process.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="fieldloom-")
-        sc.setCheckpointDir(named)
-    return named
+#: Bytes of text that a Python worker turns into objects at once.
+PORTION = 1_000_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -40,28 +23,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return Steps(df.sparkSession).keep(df)
 
 
-class Steps:
-    """Frames written to the shared folder and read back, and removed when later steps are written too."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/fieldloom"
-        self.paths: dict[int, tuple[DataFrame, str]] = {}
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = out, path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Remove frames that nothing reads any more."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for f in frames:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(f))[1])
-            path.getFileSystem(conf).delete(path, True)
-
-
 def portions(batches: Iterator[pa.RecordBatch], text: str, size: int = PORTION) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts hold about ``size`` bytes (one longer text is a slice of
     its own), so that a worker's memory depends neither on Arrow's batch size nor on long rows."""
