@@ -168,6 +168,22 @@ def summary(catalogue: DataFrame) -> DataFrame:
                                            F.count_if(F.col("required_reason").endswith("推导")).alias("inferred_required"))
 
 
+def diagnostics_report(catalogue: DataFrame, notes: DataFrame, converter: str = "built-in") -> DataFrame:
+    """``doc_id, line_no, line``: the diagnostics of each document that has fields or notes: counts of views, fields, warnings, fields of low
+    confidence and inferred required flags, then its notes (``doc_id, sheet, diagnostic``), each once, by table."""
+    counts = catalogue.groupBy("doc_id").agg(
+        F.countDistinct("sheet").alias("views"), F.count(F.lit(1)).alias("fields"), F.sum(F.size("warnings")).alias("warned"),
+        F.count_if(F.col("confidence") < 1).alias("low"), F.count_if(F.col("required_reason").contains("推导")).alias("inferred"))
+    said = notes.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("sheet", "diagnostic"))).alias("notes"))  # a line a table at most
+    both = counts.join(said, "doc_id", "full")
+    told = [F.concat(F.lit(f"- {label}: `"), F.coalesce(F.col(c), F.lit(0)).cast("string"), F.lit("`")) for label, c in (
+        ("views", "views"), ("fields", "fields"), ("fieldWarnings", "warned"), ("lowConfidenceFields", "low"), ("inferredRequiredFields", "inferred"))]
+    head = F.array(F.lit("# Diagnostics"), F.lit(""), F.lit(f"- converter: `{converter}`"), *told, F.lit(""), F.lit("## Notes"), F.lit(""))
+    none = F.array(F.lit("- 未发现解析级错误；字段语义匹配仍需后续诊断。"))
+    listed = F.coalesce(F.transform("notes", lambda n: F.concat(F.lit("- "), n["diagnostic"])), none)
+    return both.select("doc_id", F.posexplode(F.concat(head, listed)).alias("line_no", "line"))
+
+
 def review(documents: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``doc_id, issue`` for documents without fields and fields without code and name."""
     empty = documents.select("doc_id").join(catalogue.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("no fields").alias("issue"))

@@ -192,6 +192,43 @@ def where_given(df: DataFrame, required: dict[str, object], optional: dict[str,
     return df
 
 
+def schedule_page(df: DataFrame, required: dict[str, object], optional: dict[str, object], period: tuple[str, object, object] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row ``n`` with the number of rows, the rows) equal to all required and the given optional values and, with ``period``
+    (column, first day, last day), within these days; a day that is None is open."""
+    rows = where_given(df, required, optional)
+    if period:
+        day, first, last = F.to_date(period[0]), period[1], period[2]
+        rows = rows.where((day >= F.lit(first)) if first is not None else F.lit(True)).where((day <= F.lit(last)) if last is not None else F.lit(True))
+    return rows.agg(F.count(F.lit(1)).alias("n")), rows
+
+
+def period_report(df: DataFrame, keys: list[str], status: str, values: list[str], day: str, first=None, last=None, tenant: tuple[str, object] | None = None) -> DataFrame:
+    """Counts of each of a fixed list of states per key, of the rows from ``first`` to ``last`` (both today by default) and, with
+    ``tenant`` (column, value), of that tenant only. A report for a tenant that is None is refused: it would show all tenants' rows."""
+    if tenant and tenant[1] is None:
+        raise ValueError("no tenant given")
+    rows = df.where(F.to_date(day).between(F.coalesce(F.lit(first).cast("date"), F.current_date()), F.coalesce(F.lit(last).cast("date"), F.current_date())))
+    rows = rows.where(F.col(tenant[0]) == F.lit(tenant[1])) if tenant else rows
+    return pivot_counts(rows, keys, status, values)
+
+
+def first_by(df: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:
+    """The first ``n`` rows of each key, with ``place`` from 1, by the columns ``order``: ascending, nulls last."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.asc_nulls_last(c) for c in order]))
+    return df.withColumn("place", place).where(F.col("place") <= n)
+
+
+def any_of(df: DataFrame, conditions: list[Column]) -> DataFrame:
+    """Rows that meet any of the conditions, each once, as a union of scans that each filter by one condition and none before it. Each
+    scan's filter can be pushed down or use its own partitions, which a filter with OR can't."""
+    out, before = None, F.lit(False)
+    for c in conditions:
+        c = F.coalesce(c, F.lit(False))
+        rows = df.where(c).where(~before)
+        out, before = rows if out is None else out.union(rows), before | c
+    return out
+
+
 def whitespace_shares(diffs: DataFrame, lines: int = 80, share: float = 0.7) -> DataFrame:
     """Adds ``ratio`` and ``verdict`` from ``normal`` and ``ignoring`` (white space) changed-line counts."""
     ratio = F.when(F.col("normal") > 0, (F.col("normal") - F.col("ignoring")) / F.col("normal")).otherwise(0.0)

@@ -131,3 +131,14 @@ def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("doc_id"), (F.col("p_size") % 5).cast("string").alias("sheet"), F.col("p_partkey").alias("row_idx"))
     matches = _matches(spark, sf_dir).join(p, "p_partkey").withColumn("reason", F.when(F.col("match_source") == "unmatched", F.col("reason")).otherwise("r"))
     return matching.report(matches).withColumn("at", F.coalesce("at", F.lit(-2)))  # null in the report's other lines
+
+
+_TOLD = ", ".join(f"'- {label}: `' || coalesce({c}, 0) || '`'" for label, c in (("views", "views"), ("fields", "fields"), ("fieldWarnings", "warned"), ("lowConfidenceFields", "0"), ("inferredRequiredFields", "inferred")))
+
+
+@query(FIELDS + f""", n AS (SELECT doc_id, count(DISTINCT sheet) AS views, count(*) AS fields, CAST(sum(n_warnings) AS BIGINT) AS warned, count(*) FILTER (ends_with(required_reason, '推导')) AS inferred FROM g GROUP BY 1),
+l AS (SELECT doc_id, ['# Diagnostics', '', '- converter: `built-in`', {_TOLD}, '', '## Notes', '', '- 非字段表，已跳过'] AS ls FROM (SELECT DISTINCT p_brand AS doc_id FROM part) LEFT JOIN n USING (doc_id))
+SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INTEGER) AS line_no, unnest(ls) AS line FROM l""")
+def diagnostics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grids(spark, sf_dir)
+    return catalogue.diagnostics_report(catalogue.fields(g), catalogue.diagnostics(catalogue.with_inherited(catalogue.tables(g))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.operators import keyed
+from fieldloom.operators import keyed, updates
 from fieldloom.plans.registry import query
 from fieldloom.shared import table
 
@@ -190,3 +190,47 @@ def whitespace_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", (F.col("l_quantity") * 3).cast("long").alias("normal"),
         F.when(F.col("l_linenumber") == 2, 0.0).otherwise(F.rint(F.col("l_quantity") * (F.floor(F.col("l_tax") * 100) / 100) * 10)).cast("long").alias("ignoring"))
     return keyed.whitespace_shares(d)
+
+
+@query("""SELECT c.c_custkey, n_name, o_orderkey FROM region r JOIN nation n ON n_regionkey = r_regionkey JOIN customer c ON c_nationkey = n_nationkey JOIN orders o ON o_custkey = c.c_custkey
+WHERE (o_orderkey + c_nationkey) % 5 = r_regionkey""")
+def tenant_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step names the tenant (a region) itself; a row of another tenant is never reached, whatever its keys."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("tenant"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(n.select("n_nationkey", "tenant"), "n_nationkey")
+    o = (table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+         .select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", ((F.col("o_orderkey") + F.col("c_nationkey")) % 5).cast("int").alias("tenant")))
+    start = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("tenant"))
+    return keyed.chain(start, [(n, "tenant"), (c, "n_nationkey"), (o, "c_custkey")], tenant="tenant").select("c_custkey", "n_name", "o_orderkey")
+
+
+@query("""SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P
+FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-06-30' AND o_orderpriority = '1-URGENT' GROUP BY 1""")
+def status_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed.period_report(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", ["F", "O", "P"], "o_orderdate", "1996-01-01", "1999-06-30", ("o_orderpriority", "1-URGENT"))
+
+
+@query("""WITH p AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND CAST(o_orderdate AS DATE) >= DATE '1997-01-01')
+SELECT 'row' AS kind, o_orderkey AS n FROM p UNION ALL SELECT 'count', count(*) FROM p""")
+def schedule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, rows = keyed.schedule_page(table(spark, sf_dir, "orders"), {"o_orderstatus": "O"}, {"o_custkey": None}, ("o_orderdate", "1997-01-01", None))
+    return rows.select(F.lit("row").alias("kind"), F.col("o_orderkey").alias("n")).union(n.select(F.lit("count"), "n"))
+
+
+@query("""WITH p AS (SELECT p_brand, p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS size FROM part)
+SELECT p_brand, p_partkey, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY size NULLS LAST, p_partkey) AS place FROM p) WHERE place <= 5""")
+def first_with_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("size"))
+    return keyed.first_by(p, ["p_brand"], ["size", "p_partkey"], 5).select("p_brand", "p_partkey", "place")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' OR l_quantity < 5 OR l_suppkey = 3")
+def any_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")
+    return keyed.any_of(l, [F.col("l_returnflag") == "R", F.col("l_quantity") < 5, F.col("l_suppkey") == 3]).select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'""")
+def rollback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.when(F.col("l_returnflag") == "A", "insert").when(F.col("l_returnflag") == "R", "update").alias("action"))
+    return updates.rollback_keys(done, ["l_orderkey", "l_partkey"])

@@ -152,3 +152,30 @@ SELECT doc_id, coalesce(capitals, 0) AS capitals, coalesce(numbers, 0) AS number
 def region_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = T.region_counts(F.col("text"), {"capitals": "[A-Z][a-z]+", "numbers": "[0-9]+", "stops": "[.,;]"}, "the", "oi")
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", counts.alias("c")).select("doc_id", "c.*")
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN false WHEN user_id % 3 = 0 THEN false WHEN user_id % 3 = 1 AND event_type = 'click' THEN false ELSE true END AS writes,
+  event_id % 2 + 1 AS changed, CASE WHEN user_id % 2 = 0 THEN '%' || user_id || ',{' || event_id % 10 || '}' ELSE '' END AS holes, CASE WHEN event_id % 4 = 3 THEN '' ELSE event_type END AS second,
+  CASE event_type WHEN 'click' THEN 'enabled' WHEN 'view' THEN 'disabled' ELSE 'available' END AS state, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS value, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS cjk FROM events""")
+def call_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tool calls, diffs, delimited records and settings made of events' values say."""
+    e = table(spark, sf_dir, "events")
+    id_, kind, user = F.col("event_id"), F.col("event_type"), F.col("user_id")
+    tool = F.when(kind == "view", "list").otherwise("query")
+    args = F.create_map(F.lit("mode"), F.when(user % 3 == 0, "count").otherwise("run"), F.lit("sql"), F.when((user % 3 == 1) & (kind == "click"), "  SELECT 1").otherwise("update t"))
+    diff = F.concat(F.lit("--- a\n+++ b\n context\n-"), kind, F.when(id_ % 2 == 1, "\n+new").otherwise(""))
+    holes = F.when(user % 2 == 0, F.concat(F.lit("a {"), (id_ % 10).cast("string"), F.lit("} %"), user.cast("string"))).otherwise("a {x}")
+    record = F.concat(F.lit("first"), F.when(id_ % 4 != 3, F.concat(F.lit("^"), kind)).otherwise(""))
+    state = F.when(kind == "click", " Initialized").when(kind == "view", "DISABLED").otherwise(kind)
+    xml = F.concat(F.lit("<a x=\"中\" y = \"plain\" z=\""), F.when(id_ % 2 == 0, kind).otherwise("文"), F.lit("\"/>"))
+    return e.select("event_id", T.writes(tool, args, ("list",)).alias("writes"), T.changed_lines(diff).cast("long").alias("changed"), F.array_join(T.placeholders(holes), ",").alias("holes"),
+                    T.piece(record, 2).alias("second"), T.status(state).alias("state"), T.configured(F.when(id_ % 5 == 0, F.concat(F.lit("TODO "), kind)).otherwise(kind)).alias("value"), T.cjk_attributes(xml).alias("cjk"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 IN (3, 4) THEN 'review' WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 5 = 2 THEN 'planned' ELSE 'applied' END
+  WHEN CASE doc_id % 3 WHEN 1 THEN 'utf8' ELSE 'gb2312' END = CASE doc_id % 5 WHEN 0 THEN 'utf8' WHEN 1 THEN 'gb2312' ELSE 'mixed' END THEN 'unchanged' ELSE 'conflict' END AS state FROM documents""")
+def profile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    verdict = F.element_at(F.array(*map(F.lit, ("utf8", "gb2312", "mixed", "unknown", "insufficient"))), (d % 5 + 1).cast("int"))
+    roots = table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"), F.when(d % 3 == 1, "utf8").when(d % 3 == 2, "gb2312").alias("declared"))
+    return encodings.profile_state(roots).select("doc_id", "state")
