@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -352,30 +349,23 @@ def region_counts(text: Column, patterns: dict[str, str], start: str, end: str)
     return F.aggregate(F.split(text, "\r?\n", -1), zero, step, lambda acc: F.struct(*[acc[n].alias(n) for n in patterns]))
 
 
+#: A string of a JSON text, and it with the scalar that follows it as a key. Strings are taken whole, so none is read from its inside.
+_JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
+_JSON_PAIR = rf"(?s)({_JSON_STRING})(?:\s*+:\s*+({_JSON_STRING}|-?[0-9][0-9.eE+-]*+|true|false)?+)?+"
+
+
 def key_values(key: str):
-    """A function of a JSON text: the distinct texts, whatever their case, of a key at any depth; the first
-    spelling stays. JSON of any shape has to be walked, so this runs in Python."""
-    def walk(value, out: dict[str, str]) -> None:
-        if isinstance(value, list):
-            for x in value:
-                walk(x, out)
-        elif isinstance(value, dict):
-            for k, x in value.items():
-                if k.lower() == key.lower() and isinstance(x, str | int | float) and str(x).strip():
-                    out.setdefault(str(x).lower(), str(x))
-                walk(x, out)
-
-    def one(text: str | None) -> list[str] | None:
-        out: dict[str, str] = {}
-        try:
-            walk(json.loads(text), out)
-        except (TypeError, ValueError):
-            return None
-        return list(out.values())
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+    """A function of a JSON text: the distinct scalar texts, whatever their case, of a key at any depth, in the order of the text; the first
+    spelling stays. Blank ones and nulls are left out; null for what is no JSON or repeats a key in one object. The text is read once, from left to right, whatever its depth."""
+    def plain(token: Column) -> Column:
+        return F.when(token.startswith('"'), F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]).otherwise(token)
+
+    def run(c: Column) -> Column:
+        names, values = (F.regexp_extract_all(c, F.lit(_JSON_PAIR), F.lit(n)) for n in (1, 2))
+        pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: (x["v"] != "") & (F.lower(plain(x["k"])) == key.lower()))
+        found = F.filter(F.transform(pairs, lambda x: plain(x["v"])), lambda v: F.trim(v) != "")
+        once = F.aggregate(found, F.array().cast("array<string>"), lambda acc, v: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(v)), acc).otherwise(F.array_append(acc, v)))
+        return F.when(F.try_parse_json(c).isNotNull(), once)
 
     return run
 

@@ -9,7 +9,7 @@ from fieldloom.functions import text as T
 from fieldloom.operators import encodings, intervals, keyed, nested
 from fieldloom.plans.registry import query
 from fieldloom.shared import table
-from fieldloom.sources import texts
+from fieldloom.sources import markup, texts
 
 
 @query("SELECT doc_id, CASE WHEN octet_length(encode(text)) = length(text) THEN 'ascii' ELSE 'utf8' END AS encoding, CASE WHEN octet_length(encode(text)) = length(text) THEN 'warning' ELSE 'ok' END AS verdict FROM documents")
@@ -179,3 +179,15 @@ def profile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.element_at(F.array(*map(F.lit, ("utf8", "gb2312", "mixed", "unknown", "insufficient"))), (d % 5 + 1).cast("int"))
     roots = table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"), F.when(d % 3 == 1, "utf8").when(d % 3 == 2, "gb2312").alias("declared"))
     return encodings.profile_state(roots).select("doc_id", "state")
+
+
+@query("""SELECT c_custkey, c_name AS code, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN c_mktsegment ELSE c_mktsegment || ',' || c_nationkey END AS tags, CAST(c_nationkey AS VARCHAR) AS place,
+  '<Request><code>' || c_name || '</code><item kind="' || c_nationkey || '">x</item>' || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '<tag>' || c_mktsegment || '</tag>' ELSE '<tag>' || c_mktsegment || '</tag><tag>' || c_nationkey || '</tag>' END
+  || '</Request>' AS again FROM customer""")
+def xml_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML made of customers, with none, one or two tags, read as objects by the schema of all, and written again."""
+    tag = lambda c: F.concat(F.lit("<tag>"), F.col(c).cast("string"), F.lit("</tag>"))
+    tags = F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, tag("c_mktsegment")).otherwise(F.concat(tag("c_mktsegment"), tag("c_nationkey")))
+    xml = F.concat(F.lit("<Request>"), tags, F.lit("<code>"), F.col("c_name"), F.lit('</code><item kind="'), F.col("c_nationkey").cast("string"), F.lit('">x</item></Request>'))
+    out = markup.xml_objects(table(spark, sf_dir, "customer").select("c_custkey", xml.alias("xml")), "xml")
+    return out.select("c_custkey", "object.code", F.array_join("object.tag", ",").alias("tags"), F.col("object.item._kind").alias("place"), markup.objects_xml(F.col("object"), "Request").alias("again"))

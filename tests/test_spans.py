@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import text
 from fieldloom.operators import catalogue, encodings, graph, intervals, keyed, manifest, matching, nested, traces
-from fieldloom.sources import texts
+from fieldloom.sources import markup, texts
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -158,3 +158,21 @@ def test_region_counts(spark):
     rows = [(1, "a\nBEGIN\nx1 x2\ny\nEND x3\nx4\nBEGIN\r\nx5"), (2, "BEGIN END\nx1"), (3, ""), (4, None)]
     out = spark.createDataFrame(rows, "k int, t string").select("k", text.region_counts(F.col("t"), {"x": "x[0-9]", "y": "y"}, "BEGIN", "END").alias("c")).collect()
     assert {r.k: r.c and tuple(r.c) for r in out} == {1: (3, 1), 2: (0, 0), 3: (0, 0), 4: None}
+
+
+def test_xml_as_objects(spark):
+    rows = [(1, "<Request><a1>1</a1><a1>2</a1><code>0</code></Request>"), (2, "<Request><a1>3</a1></Request>"), (3, "<R><code>x</code><s><t k='v'>w</t></s></R>"), (4, "<a><b>"), (5, None)]
+    df = spark.createDataFrame(rows, "k int, x string")
+    out = markup.xml_objects(df, "x")
+    got = {r.k: r.object for r in out.collect()}
+    assert (got[1].a1, got[1].code, got[2].a1, got[2].code, got[3].a1) == (["1", "2"], "0", ["3"], None, None)
+    assert got[3].s.t._k == "v" and got[3].s.t._VALUE == "w" and got[4] is None and got[5] is None
+    back = {r.k: r.x for r in out.where("object is not null").select("k", markup.objects_xml(F.col("object"), "Request").alias("x")).collect()}
+    assert back[1] == rows[0][1] and back[2] == rows[1][1]
+
+
+def test_key_values_at_any_depth(spark):
+    rows = [(1, '{"a": [{"PrintTemp": "X"}, {"b": {"printtemp": "y", "c": "\\"PrintTemp\\": \\"no\\""}}], "PRINTTEMP": "x"}'), (2, '["PrintTemp", "z"]'), (3, '{"PrintTemp": 5, "q": {"printTemp": {"PrintTemp": "in\\u4e2d"}}}'),
+            (4, "{broken"), (5, None), (6, '{"PrintTemp": " ", "q": {"Print\\u0054emp": "esc"}}'), (7, '{"a": 1, "a": 2}')]
+    out = {r.k: r.v for r in spark.createDataFrame(rows, "k int, x string").select("k", text.key_values("PrintTemp")(F.col("x")).alias("v")).collect()}
+    assert out == {1: ["X", "y"], 2: [], 3: ["5", "in中"], 4: None, 5: None, 6: ["esc"], 7: None}
