@@ -58,7 +58,7 @@ def grid(spark, rows):
 
 def test_mixed_request_and_response(spark):
     head = ["参数名称", "必填", "数据类型", "描述"]
-    rows = [["接口名称", "/api/imessage/third/notify/", "", "", ""], ["请求参数（加密前）", *head], ["", "n_type", "Y", "string", "固定格式:PUSH_CLINIC_RESERVATION"],
+    rows = [["接口名称", "/api/notify/", "", "", ""], ["请求参数（加密前）", *head], ["", "n_type", "Y", "string", "固定格式:PUSH_CLINIC_RESERVATION"],
             ["", "notify_no", "Y", "string", "消息唯一 ID"], ["返回结果", *head], ["", "code", "Y", "INT", "接口调用状态"], ["", "", None, "", ""], ["", "msg", "Y", "String", "描述信息"]]
     out = catalogue.segment_fields(grid(spark, rows)).orderBy("row_idx").collect()
     assert [r.json_path for r in out] == ["request.n_type", "request.notify_no", "response.code", "response.msg"]
@@ -67,7 +67,7 @@ def test_mixed_request_and_response(spark):
 
 def test_stored_procedure(spark):
     note = "ph、taker、taketime、takerid为领取麻醉精神药品相关信息"
-    rows = [["名称", "mdc2_zy_patient_list", "mdc2_zy_patient_list"], ["入参表"] * 3, ["字段名", "数据类型", "字段描述"], ["startdate", "varchar(20)", "开始日期"], ["出参表"] * 3,
+    rows = [["名称", "patient_list", "patient_list"], ["入参表"] * 3, ["字段名", "数据类型", "字段描述"], ["startdate", "varchar(20)", "开始日期"], ["出参表"] * 3,
             ["字段名", "数据类型", "允许空", "主键", "字段描述", "默认值"], ["hiscode", "varchar(128)", "否", "是", "医院代码", "'0'"], [note, note], ["注：该存储过程", "注：该存储过程"]]
     out = {r.code: r for r in catalogue.segment_fields(grid(spark, rows)).collect()}
     assert set(out) == {"startdate", "hiscode"}
