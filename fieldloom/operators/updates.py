@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 CONFIG = {"missing": "config-missing-key", "merged": "config-merged-key", "deprecated_candidate": "config-deprecated-candidate", "review_required": "config-review-required",
           "missing_file": "config-missing-file", "created": "config-created"}
 
+#: The columns of a table of terms.
+TERMS = ("文件名", "入口CSP", "位置/类型", "中文源文案", "占位符语义", "HIS系统最佳目标语言翻译", "备注")
+
 
 def config_notes(results: DataFrame) -> DataFrame:
     """``plugin, target`` and how many results there are of each state of CONFIG; targets without any are left out."""
@@ -40,6 +43,15 @@ def profile_table(profiles: DataFrame, columns: list[str], by: str = "name") ->
     return profiles.select(*[blank(c) for c in columns]).orderBy(by)
 
 
+def term_table(terms: DataFrame, kind: str = "backend-dict") -> DataFrame:
+    """The TERMS columns of ``file, text, meaning, translation, note`` rows: no entry page, all of one ``kind``, missing values empty. A file's
+    text has one translation, with what belongs to it: the smallest one that is not blank."""
+    blank = F.coalesce(F.trim("translation") == "", F.lit(True))
+    best = terms.groupBy("file", "text").agg(F.min(F.struct(blank.alias("blank"), "translation", "meaning", "note")).alias("best"))
+    values = [F.col("file"), F.lit(""), F.lit(kind), F.col("text"), F.col("best.meaning"), F.col("best.translation"), F.col("best.note")]
+    return best.select(*[F.coalesce(v.cast("string"), F.lit("")).alias(name) for name, v in zip(TERMS, values, strict=True)])
+
+
 def insert_statements(terms: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """``statement``: an INSERT for each row, quotes doubled, missing values NULL."""
     quoted = [F.coalesce(F.concat(F.lit("'"), F.replace(F.col(c).cast("string"), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL")) for c in columns]

@@ -117,6 +117,17 @@ def insert_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.insert_statements(c, "terms", ["code", "name"])
 
 
+@query("""
+WITH t AS (SELECT p_brand AS file, p_type AS text, CASE WHEN p_size % 7 = 0 THEN ' ' WHEN p_size % 7 = 1 THEN NULL ELSE p_name || '|' || p_partkey END AS translation, 'size ' || p_size AS note FROM part),
+b AS (SELECT *, row_number() OVER (PARTITION BY file, text ORDER BY coalesce(trim(translation) = '', true), translation NULLS FIRST, note NULLS FIRST) AS n FROM t)
+SELECT '| ' || coalesce(replace(file, '|', '\\|'), '') || ' |  | backend-dict | ' || coalesce(replace(text, '|', '\\|'), '') || ' |  | ' || coalesce(replace(translation, '|', '\\|'), '') || ' | '
+  || coalesce(replace(note, '|', '\\|'), '') || ' |' AS line FROM b WHERE n = 1""")
+def term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("p_size") % 7 == 0, " ").when(F.col("p_size") % 7 != 1, F.concat("p_name", F.lit("|"), F.col("p_partkey").cast("string")))
+    terms = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_type").alias("text"), F.lit(None).cast("string").alias("meaning"), said.alias("translation"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("note"))
+    return updates.term_table(terms).select(T.markdown_row(F.array(*[f"`{c}`" for c in updates.TERMS]), len(updates.TERMS)).alias("line"))
+
+
 @query("""SELECT CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE 0 END AS error_code,
   CASE WHEN c_custkey % 4 = 0 THEN 'missing parameters: c_name' END AS error FROM customer""")
 def parameter_check(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,19 @@ def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.layout_rows(items, ["p_brand"], "p_partkey", 0.5).select("p_partkey", "line", "gap")
 
 
+@query("""
+WITH i AS (SELECT p_brand, CAST(p_partkey % 97 AS DOUBLE) AS xcol, CAST(p_size AS DOUBLE) AS yrow, p_partkey, p_partkey % 3 <> 0 AS label, (p_partkey % 8) * 0.25::DOUBLE AS width FROM part),
+j AS (SELECT *, CASE WHEN yrow - lag(yrow) OVER w > 0.5 THEN 1 ELSE 0 END AS jump FROM i WINDOW w AS (PARTITION BY p_brand ORDER BY yrow, xcol, p_partkey)),
+k AS (SELECT *, sum(jump) OVER (PARTITION BY p_brand ORDER BY yrow, xcol, p_partkey ROWS UNBOUNDED PRECEDING) AS line FROM j),
+s AS (SELECT p_partkey, label, lead(label) OVER w AS following, lead(xcol) OVER w - xcol - width AS free FROM k WINDOW w AS (PARTITION BY p_brand, line ORDER BY xcol, p_partkey)),
+f AS (SELECT p_partkey, CASE WHEN label AND NOT following THEN free END AS space FROM s)
+SELECT p_partkey, space, CASE WHEN space < 0 THEN 'overlap' WHEN space < 1.5 THEN 'tight' WHEN space > 2.5 THEN 'wide' WHEN space IS NOT NULL THEN 'ok' END AS fit FROM f""")
+def label_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "part").select("p_brand", (F.col("p_partkey") % 97).cast("double").alias("xcol"), F.col("p_size").cast("double").alias("yrow"), "p_partkey",
+                                                (F.col("p_partkey") % 3 != 0).alias("label"), ((F.col("p_partkey") % 8) * F.lit(0.25)).alias("width"))
+    return intervals.label_gaps(items, ["p_brand"], "p_partkey", "label", "width", 0.5).select("p_partkey", "space", "fit")
+
+
 @query("""WITH RECURSIVE e AS (SELECT p_partkey AS name, p_partkey // 3 AS depends_on FROM part WHERE p_partkey // 3 > 0 UNION SELECT p_partkey, p_partkey // 5 FROM part WHERE p_partkey // 5 > 0),
 r AS (SELECT p_partkey AS start, p_partkey AS name, 0 AS depth FROM part UNION SELECT start, depends_on, depth + 1 FROM r JOIN e USING (name))
 SELECT start, name, min(depth) AS depth FROM r GROUP BY 1, 2""")

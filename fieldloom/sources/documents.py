@@ -104,12 +104,10 @@ def grids(docs: DataFrame) -> DataFrame:
     """Grids of ``path, content, suffix`` rows. An unknown suffix is an error; see ``supported``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             for path, content, suffix in zip(b["path"], b["content"], b["suffix"], strict=True):
                 if suffix not in READERS:
                     raise ValueError(f"cannot read {suffix} files: {path}")
-                rows += [(path, *r) for r in READERS[suffix](bytes(content))]
-            yield pd.DataFrame(rows, columns=["doc_id", "sheet", "row_idx", "cells"])
+                yield pd.DataFrame([(path, *r) for r in READERS[suffix](bytes(content))], columns=["doc_id", "sheet", "row_idx", "cells"])
 
     return docs.mapInPandas(run, GRID)
 
@@ -118,12 +116,29 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no, line``: the text of the DOCX files among ``path, content, suffix`` rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(path, i, p) for path, content in zip(b["path"], b["content"], strict=True) for i, p in enumerate(docx_paragraphs(bytes(content)))]
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "line"])
+            for path, content in zip(b["path"], b["content"], strict=True):
+                yield pd.DataFrame([(path, i, p) for i, p in enumerate(docx_paragraphs(bytes(content)))], columns=["doc_id", "line_no", "line"])
 
     return docs.where("suffix = '.docx'").mapInPandas(run, "doc_id string, line_no int, line string")
 
 
+def markdown(docs: DataFrame) -> DataFrame:
+    """``doc_id, markdown`` of the DOCX files among ``path, content, suffix`` rows: the file's name as title, the paragraphs, then
+    each table that has rows under its number, its first row as header. A row holds one document's text."""
+    docx = docs.where("suffix = '.docx'")
+    title = docx.select(F.col("path").alias("doc_id"), F.lit(0).alias("part"), F.concat(F.lit("# "), F.regexp_extract("path", "[^/]*$", 0)).alias("block"))
+    said = paragraphs(docx).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("lines"))
+    said = said.select("doc_id", F.lit(1).alias("part"), F.array_join("lines.line", "\n\n").alias("block"))
+    number = F.regexp_extract("sheet", r"(\d+)$", 1).cast("int")
+    found = grids(docx).groupBy("doc_id", number.alias("n")).agg(F.max(F.size("cells")).alias("width"), F.array_sort(F.collect_list(F.struct("row_idx", "cells"))).alias("rows"))
+    body = F.transform("rows", lambda r: T.markdown_row(r["cells"], F.col("width")))
+    rule = T.markdown_row(F.array_repeat(F.lit("---"), F.col("width")), 0)
+    lines = F.concat(F.array(F.concat(F.lit("## 表格 "), F.col("n").cast("string")), F.lit("")), F.slice(body, 1, 1), F.array(rule), F.slice(body, 2, F.size("rows")))
+    blocks = title.unionByName(said).unionByName(found.select("doc_id", (F.col("n") + 1).alias("part"), F.array_join(lines, "\n").alias("block")))
+    whole = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "block"))).alias("blocks"))
+    return whole.select("doc_id", F.concat(F.array_join("blocks.block", "\n\n"), F.lit("\n")).alias("markdown"))
+
+
 #: Folders of build output, whose modules do not count.
 BUILD_FOLDERS = ("target", "archetype-resources")
 

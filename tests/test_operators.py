@@ -142,6 +142,13 @@ def test_modules_and_paragraphs(spark, tmp_path):
         z.writestr("word/document.xml", body)
     found = documents.paragraphs(documents.files(spark, str(tmp_path / "x.docx")))
     assert [(r.line_no, r.line) for r in found.orderBy("line_no").collect()] == [(0, "one two"), (1, "end")]
+    assert documents.markdown(documents.files(spark, str(tmp_path / "x.docx"))).first().markdown == "# x.docx\n\none two\n\nend\n\n## 表格 1\n\n| cell |\n| --- |\n"
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    rows = f"<w:tr>{cell('a|b')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr>"
+    with zipfile.ZipFile(tmp_path / "y.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:tbl>{rows}</w:tbl><w:tbl>{rows}</w:tbl></w:body></w:document>')
+    table = "| a\\|b |  |\n| --- | --- |\n| 1 | 2 |"
+    assert documents.markdown(documents.files(spark, str(tmp_path / "y.docx"))).first().markdown == f"# y.docx\n\n## 表格 1\n\n{table}\n\n## 表格 2\n\n{table}\n"
 
 
 def test_xml_text_in_its_encoding(spark):
@@ -181,3 +188,15 @@ def test_texts(spark):
     assert {(r.block, r.name, r.value) for r in blocks.collect()} == {(0, "name", "a"), (0, "status", "ok"), (1, "name", "b")}
     f = texts.feedback_entries(spark.createDataFrame([('{"fields": {"a": {"candidate": "x", "confidence": 0.9}, "b": "y"}}',)], "json string")).orderBy("seq").collect()
     assert [(r.key, r.candidate, r.confidence) for r in f] == [("a", "x", 0.9), ("b", "y", None)]
+
+
+def test_label_gaps(spark):
+    at = [("f", 1, 0.0, 0.0, True, 3.0), ("f", 2, 5.0, 0.2, False, 9.0), ("f", 3, 20.0, 0.1, True, 1.0), ("f", 4, 20.5, 0.0, False, 1.0), ("f", 5, 0.0, 9.0, True, 1.0), ("f", 6, 2.0, 9.0, True, 1.0),
+          ("f", 7, 9.0, 9.0, False, 1.0), ("f", 8, 12.0, 9.0, True, None), ("f", 9, 13.0, 9.0, False, 1.0)]
+    out = intervals.label_gaps(spark.createDataFrame(at, "form string, id int, xcol double, yrow double, label boolean, width double"), ["form"], "id", "label", "width")
+    assert [(r.id, r.space, r.fit) for r in out.orderBy("id").collect()] == [(1, 2.0, "ok"), (2, None, None), (3, -0.5, "overlap"), (4, None, None), (5, None, None), (6, 6.0, "wide"), (7, None, None), (8, None, None), (9, None, None)]
+
+
+def test_term_table(spark):
+    df = spark.createDataFrame([("a.js", "x", None, " ", "n1"), ("a.js", "x", "m", "ex", "n2"), ("a.js", "x", "m", "why", "n3"), ("b.js", None, None, None, None)], "file string, text string, meaning string, translation string, note string")
+    assert sorted(tuple(r) for r in updates.term_table(df).collect()) == [("a.js", "", "backend-dict", "x", "m", "ex", "n2"), ("b.js", "", "backend-dict", "", "", "", "")]
