@@ -31,6 +31,32 @@ class _Seen:
             self.parts = [whole]
 
 
+def _keys(installed: DataFrame) -> DataFrame:
+    """``_key, _rank, _name``: what each module of ``name, folder`` may be called, in lower case; names go before folders."""
+    called = F.array(*[F.struct(F.lower(F.trim(c)).alias("_key"), F.lit(rank).alias("_rank")) for rank, c in enumerate(("name", "folder"))])
+    return installed.select(F.col("name").alias("_name"), F.explode(called).alias("_k")).select("_k._key", "_k._rank", "_name").where("_key <> ''")
+
+
+def as_installed(df: DataFrame, column: str, installed: DataFrame) -> DataFrame:
+    """The rows whose ``column`` calls a module of ``installed`` (``name, folder``) by its name or else by its folder, in any case, now by the
+    module's own name. Others, blanks and nulls are left out; of several modules called alike the first by name counts."""
+    known = _keys(installed).groupBy("_key").agg(F.min(F.struct("_rank", "_name")).alias("_best"))
+    found = df.join(known, F.lower(F.trim(column)) == F.col("_key"))
+    return found.withColumn(column, F.col("_best._name")).select(df.columns)
+
+
+def starts(installed: DataFrame, profile: DataFrame, asked: DataFrame | None = None, default: str | None = None) -> DataFrame:
+    """``name`` of the modules of ``installed`` (``name, folder``) that a closure starts from: those ``asked`` for (``name``), if that names any; else
+    those that ``profile`` (``key, state``) enables by name or folder; with an empty profile, the ``default``, if it is installed."""
+    asked = None if asked is None else asked.select("name").where("trim(name) <> ''")
+    if asked is not None and not asked.isEmpty():
+        return as_installed(asked, "name", installed).distinct()
+    if profile.isEmpty():
+        return installed.where(F.lower("name") == F.lower(F.lit(default))).select("name").distinct()
+    enabled = profile.where(F.lower(F.trim("state")) == "enabled").select(F.lower(F.trim("key")).alias("_key"))
+    return _keys(installed).join(enabled, "_key", "left_semi").select(F.col("_name").alias("name")).distinct()
+
+
 def closure(edges: DataFrame, starts: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``start, name, depth``: what each start reaches over ``name -> depends_on``, itself at depth
     0, each name once at its least depth. Cycles end; names without edges are kept as leaves. With ``known``

@@ -173,3 +173,23 @@ def manifest_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = _stages(spark, sf_dir)
     attempts = spark.sql(_ATTEMPTS.replace("FROM st", "FROM {st}"), st=stages)
     return manifest.attempt_rules(_runs(spark, sf_dir), stages, attempts).select("run_id", "subject", "message")
+
+
+def _installed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("Part-"), key).alias("name"), F.concat(F.lit("F"), key).alias("folder"))
+
+
+@query("""SELECT DISTINCT 'Part-' || p_partkey AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 45""")
+def enabled_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("l_partkey").cast("string")
+    profile = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") == 1, F.concat(F.lit("PART-"), key)).otherwise(F.concat(F.lit(" f"), key)).alias("key"),
+                                                      F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45), "Enabled").otherwise("off").alias("state"))
+    return graph.starts(_installed(spark, sf_dir), profile)
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'Part-' || p_partkey AS depends_on FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 3 <> 2""")
+def installed_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, form = F.col("l_partkey").cast("string"), F.col("l_linenumber") % 3
+    called = F.when(form == 0, F.concat(F.lit("f"), key)).when(form == 1, F.concat(F.lit("PART-"), key, F.lit(" "))).otherwise(F.concat(F.lit("other-"), key))
+    return graph.as_installed(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", called.alias("depends_on")), "depends_on", _installed(spark, sf_dir))

@@ -200,3 +200,17 @@ def test_label_gaps(spark):
 def test_term_table(spark):
     df = spark.createDataFrame([("a.js", "x", None, " ", "n1"), ("a.js", "x", "m", "ex", "n2"), ("a.js", "x", "m", "why", "n3"), ("b.js", None, None, None, None)], "file string, text string, meaning string, translation string, note string")
     assert sorted(tuple(r) for r in updates.term_table(df).collect()) == [("a.js", "", "backend-dict", "x", "m", "ex", "n2"), ("b.js", "", "backend-dict", "", "", "", "")]
+
+
+def test_starts_of_a_closure(spark):
+    installed = spark.createDataFrame([("Core", "core-dir"), ("Kit", "kit-dir"), ("Web", "kit"), ("Log", None)], "name string, folder string")
+    profile = spark.createDataFrame([("core-DIR", "Enabled"), ("web", "disabled"), ("gone", "enabled"), (None, "enabled")], "key string, state string")
+    names = lambda df: sorted(r.name for r in df.collect())
+    asked = spark.createDataFrame([("KIT",), (" ",), (None,), ("kit-dir",), ("gone",)], "name string")
+    assert names(graph.starts(installed, profile)) == ["Core"]
+    assert names(graph.starts(installed, profile, asked.where("name = ' '"))) == ["Core"]
+    assert names(graph.starts(installed, profile, asked)) == ["Kit"]  # a name goes before a folder
+    assert names(graph.starts(installed, profile.limit(0), None, "log")) == ["Log"] and names(graph.starts(installed, profile.limit(0))) == []
+    edges = graph.as_installed(spark.createDataFrame([("Core", "kit-dir"), ("Kit", "LOG"), ("Kit", "gone"), ("Web", None)], "name string, depends_on string"), "depends_on", installed)
+    reached = graph.closure(edges, graph.starts(installed, profile), installed)
+    assert {(r.name, r.depth) for r in reached.collect()} == {("Core", 0), ("Kit", 1), ("Log", 2)}
