@@ -133,6 +133,19 @@ def test_attempt_rules(spark):
                           ("summary", "attempt times are invalid"), ("summary", "active seconds are invalid"), ("summary", "attempt is incomplete"), ("summary", "attempt times are invalid")])
 
 
+@pytest.mark.parametrize("back", [False, True])
+def test_attempts_alike_follow_their_place(spark, back):
+    t = lambda d: T0 + dt.timedelta(days=d)
+    rows = [(1, "verifier", 2, "completed", t(0), t(9), 1), (1, "verifier", 2, "suspended", t(0), t(2), 2), (1, "verifier", 3, "completed", t(5), t(6), 3),
+            (2, "verifier", 2, "completed", t(0), t(2), 2), (2, "verifier", 2, "suspended", t(0), t(9), 1), (2, "verifier", 3, "completed", t(5), t(6), 3)]
+    df = spark.createDataFrame(sorted(rows, key=lambda r: r[-1], reverse=back), "run_id int, stage string, attempt int, status string, started timestamp, completed timestamp, place int").coalesce(1)
+    out = intervals.attempts(df, ["run_id"], "attempt", "started", "completed", ("place",)).where("attempt = 3")
+    assert out.count() == 0  # the one before ends on day 2 by place, in either order of rows
+    late = df.withColumn("place", -F.col("place"))
+    got = intervals.attempts(late, ["run_id"], "attempt", "started", "completed", ("place",)).where("attempt = 3").collect()
+    assert sorted(map(tuple, got)) == [(n, 3, "attempt overlaps the one before") for n in (1, 2)]
+
+
 def test_match_report_reads_as_markdown(spark):
     fields = spark.createDataFrame([("d|1", "v", 1, "patientId", "", "", None), ("d|1", "v", 2, "odd|Code", "n", "", None), ("e", "w", 1, "patientId", "", "", None)],
                                    "doc_id string, sheet string, row_idx int, code string, name string, json_path string, description string")
