@@ -144,6 +144,11 @@ def test_attempts_alike_follow_their_place(spark, back):
     late = df.withColumn("place", -F.col("place"))
     got = intervals.attempts(late, ["run_id"], "attempt", "started", "completed", ("place",)).where("attempt = 3").collect()
     assert sorted(map(tuple, got)) == [(n, 3, "attempt overlaps the one before") for n in (1, 2)]
+    runs = spark.createDataFrame([(1, "1.2"), (2, "1.2")], "run_id int, version string")
+    stages = spark.createDataFrame([(1, "verifier", "completed"), (2, "verifier", "completed")], "run_id int, name string, status string")
+    attempts = df.where("attempt = 2").withColumns({"active_seconds": F.lit(1.0), "reason": F.lit("x")})
+    got = manifest.attempt_rules(runs, stages, attempts, ("place",)).select("run_id", "message").collect()
+    assert [tuple(r) for r in got] == [(2, "stage ends with a suspended attempt")]
 
 
 def test_match_report_reads_as_markdown(spark):
