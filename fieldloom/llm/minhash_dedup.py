@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import Steps, portions, table
-from fieldloom.llm.components import connected_components
+from fieldloom.llm.components import connected_components, joined_components
 from fieldloom.llm.shingles import minhash, set_digest, shingle_set
 from fieldloom.llm.vectors import runs
 
@@ -277,7 +277,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     split = own.groupBy("key").agg(F.min("part").alias("_lo"), F.max("part").alias("_hi")).where("_lo <> _hi").select("key")
     rest = steps.keep(own.join(split, "key", "left_semi"))
     few = block_pairs(in_blocks(rest.where(F.col("size") <= LARGE), True).join(sig, "node"), False)
-    hubs = rest.where(F.col("size") > LARGE).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    # A node hangs on the least of its lists' first nodes, and so do the others of these (K at most).
+    firsts = rest.where(F.col("size") > LARGE).groupBy("node").agg(F.collect_set("first").alias("_firsts"))
+    hubs = firsts.select(F.array_min("_firsts").alias("a"), F.explode(F.array_union(F.array("node"), F.col("_firsts"))).alias("b"))
     groups = steps.keep(connected_components(hubs))
     grouped = rest.where(F.col("size") > LARGE).select("node", "part").distinct().join(groups, "node").withColumnRenamed("component", "key")
     nb = grouped.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("nb"))
@@ -287,8 +289,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     steps.drop(listing, nodes, tried, rest, groups, long)
     if not cross.isEmpty():
         found = steps.keep(confirm(cross, texts, width, percent))
-        parts = connected_components(links.union(copies).union(found))
-        steps.drop(found)
+        before, parts = parts, steps.keep(joined_components(parts, found))
+        steps.drop(found, before)
     steps.drop(cross, links, copies, texts)
 
     of = parts.select(F.col("node").alias("doc_id"), "component")

@@ -14,7 +14,8 @@ import regex
 from pyspark.sql import functions as F
 
 from fieldloom.llm import chat_template, minhash_dedup, mixing, pii, sentencepiece_codec, substring_dedup, toxicity, url_filter
-from fieldloom.llm.components import connected_components
+from fieldloom.llm.components import connected_components, joined_components
+from fieldloom.shared import Steps
 from tests.compare import rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,6 +103,25 @@ def test_components_chain_and_star(spark):
     assert out == {**{i: 0 for i in range(41)}, **{1000 + i: 1000 for i in range(50)}}
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    kept = []
+    keep = Steps.keep
+    monkeypatch.setattr(Steps, "keep", lambda self, df: kept.append(1) or keep(self, df))
+    star = spark.range(1, 500).select("id", F.lit(0).cast("long").alias("hub"))
+    assert connected_components(star.toDF("a", "b")).where("component = 0").count() == 500 and len(kept) == 1
+
+
+def test_components_with_more_edges(spark):
+    rng = random.Random(4)
+    old, new = ([(rng.randrange(300), rng.randrange(300)) for _ in range(n)] for n in (120, 90))
+    of = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    parts = connected_components(of(old))
+    got, want = joined_components(parts, of(new)), connected_components(of(old + new))
+    pairs = lambda df: sorted((r.node, r.component) for r in df.collect())
+    assert pairs(got) == pairs(want)
+    assert pairs(joined_components(parts, of(new).limit(0))) == pairs(parts)
+
+
 # --- 2: chat formatting ---------------------------------------------------------------------
 
 def test_template_language():
