@@ -11,6 +11,8 @@ from fieldloom.shared import Steps
 
 #: Stored steps that are read together before they are written as one.
 COMPACT = 8
+#: Levels of a closure in a row that may hold pairs of levels before; in a graph with cycles each is at most as large as the closure.
+OPEN = 3
 
 
 class _Seen:
@@ -69,14 +71,22 @@ def closure(edges: DataFrame, starts: DataFrame, known: DataFrame | None = None)
         starts = starts.join(names, "name", "left_semi")
     e = steps.keep(e)
     new = steps.keep(starts.select(F.col("name").alias("start"), F.col("name"), F.lit(0).alias("depth")).distinct())
-    seen, depth = _Seen(steps, new), 0
-    while not new.isEmpty():
+    seen, depth, last = _Seen(steps, new), 0, new.count()
+    whole, open_rows, open_levels, again = last, 0, 0, False
+    while last:
         depth += 1
         step = new.join(e, F.col("name") == F.col("_from")).select("start", F.col("_to").alias("name"), F.lit(depth).alias("depth")).distinct()
-        new = steps.keep(step.join(seen.df.select("start", "name"), ["start", "name"], "left_anti"))
+        # What was seen before is taken out only where that costs no more than the levels since then; the least depth is told at the end.
+        if open_rows + last >= whole or open_levels == OPEN:
+            step, open_rows, open_levels = step.join(seen.df.select("start", "name"), ["start", "name"], "left_anti"), 0, -1
+        else:
+            again = True
+        new = steps.keep(step)
+        last = new.count()
+        whole, open_rows, open_levels = whole + last, open_rows + last if open_levels >= 0 else 0, open_levels + 1
         seen.add(new)
     steps.drop(e)
-    return seen.df
+    return seen.df.groupBy("start", "name").agg(F.min("depth").alias("depth")) if again else seen.df
 
 
 def levels(edges: DataFrame) -> DataFrame:

@@ -112,6 +112,24 @@ def test_closure_over_known_names(spark):
     assert sorted((r.start, r.name, r.depth) for r in out.collect()) == [("a", "a", 0), ("a", "b", 1), ("a", "d", 2)]
 
 
+def test_closure_looks_back_seldom(spark, monkeypatch):
+    rng = random.Random(5)
+    for edges in ([(i, i + 1) for i in range(10)], [(rng.randrange(9), rng.randrange(9)) for _ in range(14)]):
+        want = {}
+        for start in {a for a, _ in edges}:
+            front, depth = {start}, 0
+            while front:
+                want |= {(start, n): depth for n in front}
+                front, depth = {b for a, b in edges if a in front} - {n for s, n in want if s == start}, depth + 1
+        looked, df = [], graph._Seen.df
+        monkeypatch.setattr(graph._Seen, "df", property(lambda self: looked.append(1) or df.fget(self)))  # noqa: B023
+        names = spark.createDataFrame(sorted({(a,) for a, _ in edges}), "name int")
+        out = graph.closure(spark.createDataFrame(edges, "name int, depends_on int"), names).collect()
+        monkeypatch.setattr(graph._Seen, "df", df)
+        assert sorted(((r.start, r.name), r.depth) for r in out) == sorted(want.items())
+        assert max(want.values()) < 8 or len(looked) < max(want.values())
+
+
 def test_one_root(spark):
     good = ["<a/>", " <a/>\n", '<?xml version="1.0"?><a><b>1</b><b>2</b></a>', "<!-- <x/> --><a/>", "<a/><!-- <x> -->", '<a x="1>2">t</a>', "<a><![CDATA[<b>]]></a>", "<a><a/></a>"]
     bad = ["<a/><c/>", "<a>1</a><a>2</a>", "<a>x</a> tail", "head <a/>", "<a><b></a>", "text", "", None, "<a></a><b>", "<" * 50]
