@@ -39,6 +39,27 @@ def test_overlap_join(spark, hot, width):
     assert intervals.overlap_join(a.limit(0), b.withColumnRenamed("k", "k2"), ("a0", "a1"), ("b0", "b1")).count() == 0
 
 
+def test_overlap_join_compares_few_pairs_more(spark):
+    rng = random.Random(3)
+    at = lambda: T0 + dt.timedelta(seconds=rng.randrange(100_000))
+    one, two = ([(i, a, a + dt.timedelta(seconds=rng.choice(d))) for i in range(1500) for a in [at()]] for d in ([10, 50, 200], [100, 400, 800, 9000]))
+    a, b = spark.createDataFrame(one, "a long, a0 timestamp, a1 timestamp"), spark.createDataFrame(two, "b long, b0 timestamp, b1 timestamp")
+    want = sum(x < v and u < y for _, x, y in one for _, u, v in two)
+    compared = intervals._placed(a, b, ("a0", "a1"), ("b0", "b1"), (), 600.0, 8, 100_000, 8).count()
+    assert intervals.overlap_join(a, b, ("a0", "a1"), ("b0", "b1"), width=600).count() == want <= compared < 2 * want
+
+
+@pytest.mark.parametrize("lefts, rights, hot", [(1, 400, 20), (400, 1, 20), (400, 400, 50), (200, 200, 5)])
+def test_overlap_join_deals_a_bin_of_either_side(spark, lefts, rights, hot):
+    end = T0 + dt.timedelta(seconds=5)
+    a = spark.createDataFrame([(i, T0, end) for i in range(lefts)], "a long, a0 timestamp, a1 timestamp")
+    b = spark.createDataFrame([(i, T0, end) for i in range(rights)], "b long, b0 timestamp, b1 timestamp")
+    got = intervals.overlap_join(a, b, ("a0", "a1"), ("b0", "b1"), hot=hot)
+    counts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == got.select("a", "b").distinct().count() == lefts * rights
+    assert len(counts) > 2 and max(counts) < 0.7 * lefts * rights
+
+
 @pytest.mark.parametrize("width, fan", [(1.0, 3), (60.0, 1000), (10**7, 2)])
 def test_quiet_spans(spark, width, fan):
     rng = random.Random(2)
