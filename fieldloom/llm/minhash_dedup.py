@@ -14,12 +14,16 @@ Large groups of copies cost little more than their size: documents with equal se
 node; of each list first only the pairs with its medoid and with the nearest signatures are
 confirmed; after that only pairs whose ends are still in different components. For that, lists
 that share nodes and are large are put together, so a group that fills many lists is worked on
-once, block against block, and its nodes get a signature of LONG symbols that leaves few pairs
+once, block against block of sets of like size, and its nodes get a signature of LONG symbols that leaves few pairs
 to confirm (at similarity 0.8, LONG_THRESHOLD is passed with a probability of about 1e-7).
+
+Texts are large beside all else, so before they are shuffled a bitmap leaves out most that no
+pair needs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +46,11 @@ BLOCK = 512
 LARGE = 48
 #: Symbols (of 8 bits) of the long signature, and the most that may differ.
 LONG, LONG_THRESHOLD = 2048, 504
-#: Nodes of one block where nodes have long signatures.
-WIDE = 2048
+#: Nodes of one block where nodes have long signatures; where that makes more than FEW blocks, blocks are up to WIDER times as large,
+#: as each node is sent to every block that it is compared with.
+WIDE, FEW, WIDER = 2048, 8, 4
+#: Bits of the bitmap that tells which texts are needed: half a million longs at most, whatever the input's size.
+BITS = 1 << 25
 #: Nearest signatures of each node that are tried first.
 NEAREST = 2
 #: Keys that at least HOT of about HOT_SAMPLE nodes share are dealt over SALTS partitions.
@@ -66,6 +73,17 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sig binary")
 
 
+def among(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among ``ids`` (one column), without a shuffle. Some others stay: those whose key hashes to an id's bit."""
+    def bit(c: str) -> "F.Column":
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(BITS)).cast("int")
+
+    at = ids.select(bit(ids.columns[0]).alias("_at"))
+    words = at.groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, _at & 63)")).alias("_bits"))
+    marked = df.withColumn("_at", bit(key)).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(words), "_word")
+    return marked.where("(_bits & shiftleft(1L, _at & 63)) <> 0").select(*df.columns)
+
+
 def listed(nodes: DataFrame) -> DataFrame:
     """``key, node``: one key for every chunk and place of an allowed error. The last six bits of a
     key are its place, the rest is a hash of the other symbols."""
@@ -123,6 +141,20 @@ def own_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return chunk * CHUNK + np.where(at.all(axis=1), 0, at.argmin(axis=1))
 
 
+def apart(s: np.ndarray, part: np.ndarray, cut: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of signatures within the threshold whose parts differ: of the first ``cut`` with the others or, where that is 0,
+    of all with all. A stripe of WIDE * WIDE pairs is held at once."""
+    step = max(1, WIDE * WIDE // (len(s) - cut))
+    for r in range(0, cut or len(s), step):
+        rows = slice(r, min(r + step, cut or len(s)))
+        other = part[rows, None] != part[cut:]
+        if not cut:
+            other = np.triu(other, r + 1)
+        if other.any():
+            i, j = np.nonzero(other & (distances(s[rows], s[cut:]) <= THRESHOLD))
+            yield i + r, j + cut
+
+
 def block_pairs(work: DataFrame, first: bool, percent: int = 0) -> DataFrame:
     """Pairs (a, b) within the threshold, from block against block of a list or group.
 
@@ -143,34 +175,32 @@ def block_pairs(work: DataFrame, first: bool, percent: int = 0) -> DataFrame:
             cut = int((t["own"].to_numpy() == bi).sum()) if bi != bj else 0
             if bi != bj and cut in (0, len(ids)):
                 continue  # the other block is empty
-            d = distances(s[:cut], s[cut:]) if cut else distances(s, s)
             if first:
+                d = distances(s[:cut], s[cut:]) if cut else distances(s, s)
                 medoid = int(d.sum(axis=1, dtype=np.int64).argmin())
                 np.fill_diagonal(d, 255)
                 near = np.argpartition(d, NEAREST - 1, axis=1)[:, :NEAREST] if len(ids) > NEAREST else d.argmin(axis=1)[:, None]
                 i = np.concatenate([np.full(len(ids), medoid), np.repeat(np.arange(len(ids)), near.shape[1])])
                 j = np.concatenate([np.arange(len(ids)), near.ravel()])
                 ok = d[i, j] <= THRESHOLD
-                i, j = i[ok], j[ok]
+                found = [(i[ok], j[ok])]
             else:
-                part = t["part"].to_numpy()
-                other = part[:cut, None] != part[cut:] if cut else np.triu(part[:, None] != part, 1)
-                i, j = np.nonzero(other & (d <= THRESHOLD))
-                j = j + cut
-            for x in range(0, len(i), 8192):
-                u, v = i[x : x + 8192], j[x : x + 8192]
-                if place >= 0:
-                    mine = own_place(s[u], s[v]) == place
-                    u, v = u[mine], v[mine]
-                if long is not None:
-                    like = np.minimum(n[u], n[v]) * 100 >= percent * np.maximum(n[u], n[v])
-                    u, v = u[like], v[like]
-                    like = (long[u] != long[v]).sum(axis=1) <= LONG_THRESHOLD
-                    u, v = u[like], v[like]
-                u, v = ids[u], ids[v]
-                if len(u):
-                    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                found = apart(s, t["part"].to_numpy(), cut)
+            for i, j in found:
+                for x in range(0, len(i), 8192):
+                    u, v = i[x : x + 8192], j[x : x + 8192]
+                    if place >= 0:
+                        mine = own_place(s[u], s[v]) == place
+                        u, v = u[mine], v[mine]
+                    if long is not None:
+                        like = np.minimum(n[u], n[v]) * 100 >= percent * np.maximum(n[u], n[v])
+                        u, v = u[like], v[like]
+                        like = (long[u] != long[v]).sum(axis=1) <= LONG_THRESHOLD
+                        u, v = u[like], v[like]
+                    u, v = ids[u], ids[v]
+                    if len(u):
+                        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     return work.mapInArrow(run, "a long, b long")
 
@@ -184,6 +214,28 @@ def in_blocks(members: DataFrame, grid: bool) -> DataFrame:
     return at.withColumn("bi", F.least("own", "_at")).withColumn("bj", F.greatest("own", "_at")).drop("_at")
 
 
+def in_size_blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Adds ``own, bi, bj`` for blocks of sets (``n``) of like size: each block by itself and with those whose sets can be ``percent`` similar.
+
+    Sizes are cut into classes, each 100 / percent times as large as the last. Of two sets that are ``percent`` similar the larger is
+    at most so many times as large, so their classes are one or neighbours (the margin is for rounding). Other pairs of blocks are not made.
+    """
+    share = min(max(percent, 1), 99) / 100
+    members = members.withColumn("_class", F.floor(F.log("n") * F.lit((1 - 1e-9) / -math.log(share))).cast("int"))
+    count = F.count(F.lit(1))
+    blocks = F.when(count <= FEW * WIDE, F.ceil(count / WIDE)).otherwise(F.greatest(F.lit(FEW), F.ceil(count / (WIDER * WIDE))))
+    classes = members.groupBy("key", "_class").agg(blocks.cast("int").alias("_blocks"))
+    classes = classes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("_class", "_blocks"))).alias("_of"))  # a row for each class, a hundred at most
+
+    def ids(step: int) -> "F.Column":
+        there = F.try_element_at("_of", F.col("_class") + step)
+        return F.when(there.isNotNull(), F.transform(F.sequence(F.lit(0), there - 1), lambda x: (F.col("_class") + step) * 65536 + x)).otherwise(F.array().cast("array<int>"))
+
+    own = members.join(classes, "key").withColumn("own", F.col("_class") * 65536 + F.pmod(F.xxhash64("node"), F.try_element_at("_of", "_class")).cast("int"))
+    at = own.withColumn("_at", F.explode(F.concat(ids(-1), ids(0), ids(1))))
+    return at.withColumn("bi", F.least("own", "_at")).withColumn("bj", F.greatest("own", "_at")).drop("_at", "_class", "_of")
+
+
 def long_sketch(docs: DataFrame, width: int) -> DataFrame:
     """``node, n, long``: set size and long signature of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +271,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     The pairs are sorted by ``a`` inside each partition so that a document with many partners is
     hashed once per partition.
     """
-    joined = (pairs.join(texts.withColumnsRenamed({"doc_id": "b", "text": "_tb"}), "b")
-              .join(texts.withColumnsRenamed({"doc_id": "a", "text": "_ta"}), "a").sortWithinPartitions("a"))
+    of_a, of_b = (among(texts, "doc_id", pairs.select(x)) for x in ("a", "b"))
+    joined = (pairs.join(of_b.withColumnsRenamed({"doc_id": "b", "text": "_tb"}), "b")
+              .join(of_a.withColumnsRenamed({"doc_id": "a", "text": "_ta"}), "a").sortWithinPartitions("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -262,8 +315,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     nodes = steps.keep(alive.join(classes.select(*same, F.col("rep").alias("doc_id")), ["doc_id", *same], "left_semi")
                        .select("doc_id", "sig").dropDuplicates(["doc_id", "sig"]))
     listing = steps.keep(lists(nodes))
-    # Texts are shuffled once, and from then on only those of documents that share a list with another.
-    texts = steps.keep(docs.join(listing.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text"))
+    # From here on only the texts of documents that share a list with another (and few others).
+    texts = steps.keep(among(docs, "doc_id", listing.select("node")))
     members = unsalted(listing)
     sig = nodes.select(F.col("doc_id").alias("node"), "sig")
     start = block_pairs(in_blocks(members.where("size > 2"), False).join(sig, "node"), True)
@@ -282,9 +335,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     hubs = firsts.select(F.array_min("_firsts").alias("a"), F.explode(F.array_union(F.array("node"), F.col("_firsts"))).alias("b"))
     groups = steps.keep(connected_components(hubs))
     grouped = rest.where(F.col("size") > LARGE).select("node", "part").distinct().join(groups, "node").withColumnRenamed("component", "key")
-    nb = grouped.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("nb"))
-    long = steps.keep(long_sketch(texts.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width))
-    many = block_pairs(in_blocks(grouped.join(nb, "key").withColumn("place", F.lit(-1)), True).join(sig, "node").join(long, "node"), False, percent)
+    long = steps.keep(long_sketch(among(texts, "doc_id", groups.select("node")).join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width))
+    sized = grouped.join(long.select("node", "n").distinct(), "node").withColumn("place", F.lit(-1))
+    many = block_pairs(in_size_blocks(sized, percent).join(sig, "node").join(long, ["node", "n"]), False, percent)
     cross = steps.keep(few.union(many).distinct().join(tried, ["a", "b"], "left_anti"))
     steps.drop(listing, nodes, tried, rest, groups, long)
     if not cross.isEmpty():

@@ -89,6 +89,65 @@ def test_near_duplicates_large_group(spark):
     assert {r.doc_id: r.component_id for r in out} == brute_components(list(enumerate(texts)))
 
 
+def test_near_duplicates_group_of_many_sizes(spark, monkeypatch):
+    """Of a large group each node meets only blocks of sets of like size, and texts that share no list are not kept."""
+    monkeypatch.setattr(minhash_dedup, "WIDE", 16)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(420)]
+    texts = []
+    for k in range(16):
+        for _ in range(14):
+            w = base[: int(90 * 1.1**k)]
+            for _ in range(rng.choice([1, 5, 10])):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    alone = [" ".join(f"u{i}x{j}" for j in range(50)) for i in range(40)]
+    seen, held, pairs, keep = [], [], minhash_dedup.block_pairs, Steps.keep
+
+    def watched(work, first, percent=0):
+        if "long" in work.columns:
+            seen.append((work.count(), work.groupBy("key").agg(F.countDistinct("node").alias("n")).agg(F.sum(F.col("n") * F.ceil(F.col("n") / 16))).first()[0]))
+        return pairs(work, first, percent)
+
+    def kept(self, df):
+        out = keep(self, df)
+        held.extend(out.count() for _ in [0] if out.columns == ["doc_id", "text"])
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "block_pairs", watched)
+    monkeypatch.setattr(Steps, "keep", kept)
+    out = minhash_dedup.near_duplicates(docs(spark, texts + alone), width=2).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute_components(list(enumerate(texts + alone)))
+    (rows, grid), = seen
+    assert 0 < rows < 0.7 * grid
+    assert held == [len(texts)]
+
+
+@pytest.mark.parametrize("percent", [1, 50, 80, 99, 100])
+def test_size_blocks_lose_no_pair(spark, percent, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "WIDE", 4)
+    sizes = [*range(1, 60), 64, 80, 100, 125, 10**6, 1250000, 10**9]
+    members = spark.createDataFrame([(7, i, n) for i, n in enumerate(sizes)], "key long, node long, n long")
+    cells = {}
+    for r in minhash_dedup.in_size_blocks(members, percent).collect():
+        cells.setdefault((r.bi, r.bj), []).append((r.node, r.own))
+    met = [(min(x, y), max(x, y)) for (bi, bj), rows in cells.items() for x, i in rows for y, j in rows if x < y and (bi == bj or i != j)]
+    assert len(met) == len(set(met))
+    assert {(x, y) for y in range(len(sizes)) for x in range(y) if 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y])} <= set(met)
+
+
+@pytest.mark.parametrize("cut", [0, 1, 37])
+def test_stripes_find_all_pairs(monkeypatch, cut):
+    monkeypatch.setattr(minhash_dedup, "WIDE", 9)
+    rng = np.random.default_rng(2)
+    s = rng.integers(0, 3, (90, minhash_dedup.K)).astype(np.uint16)
+    s[:60] = np.where(rng.random((60, minhash_dedup.K)) < 0.4, s[:60], s[0])
+    part = rng.integers(0, 3, 90)
+    got = [(i, j) for a, b in minhash_dedup.apart(s, part, cut) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    near = lambda i, j: part[i] != part[j] and (s[i] != s[j]).sum() <= minhash_dedup.THRESHOLD
+    assert sorted(got) == [(i, j) for i in range(cut or 90) for j in range(cut or i + 1, 90) if near(i, j)] and got
+
+
 def test_near_duplicates_edges(spark):
     assert minhash_dedup.near_duplicates(empty(spark)).count() == 0
     rows = spark.createDataFrame([(1, "a b c"), (1, "x y z"), (2, "x y z"), (3, "a b c"), (None, "a b c")], "doc_id long, text string")
